@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.llm.packing import op5_packing
+from quarrymill.llm.sharding import op4_sharding
 from quarrymill.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op4_sharding, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
