@@ -140,7 +140,7 @@ def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[labels]
 
 
-def links(points: DataFrame, reach: int = 3, shard: int = 16384, sample: int = 16384) -> DataFrame:
+def links(points: DataFrame, reach: int = 3, shard: int = 65536, sample: int = 16384) -> DataFrame:
     """(u, v): links that connect all of `points` (fp long, distinct) that are `reach` or fewer bits apart, over whatever others.
 
     The top of the tree is grown on the driver from at most `sample` fingerprints (and 8 a shard); every fingerprint is then
@@ -169,7 +169,7 @@ def links(points: DataFrame, reach: int = 3, shard: int = 16384, sample: int = 1
     return mapped(points, ["fp"], "shard long, fp long", each).groupBy("shard").applyInArrow(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, reach: int = 3, shard: int = 16384) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, reach: int = 3, shard: int = 65536) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable over links of `reach` or fewer bits.
 
     Nulls: a null text is empty, with fingerprint 0, linked like any other; a row with a null id keeps its fingerprint, links
