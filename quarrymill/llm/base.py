@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,12 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a checkpoint in the shared folder that the session names; sets one only where none is named, as in tests."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrymill-"))
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def _shared(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrymill-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a compressed Parquet table in the same shared folder; for large columns of which later steps read some."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """A text column as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.llm.kneser_ney import op10_kneser_ney
+from quarrymill.llm.lattice import op3_sentencepiece
+from quarrymill.llm.media import op9_media
+from quarrymill.llm.order_minhash import op8_order_minhash
 from quarrymill.llm.packing import op5_packing
+from quarrymill.llm.pii import op6_pii
 from quarrymill.llm.sharding import op4_sharding
 from quarrymill.llm.simhash import op1_simhash
+from quarrymill.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_sharding, op5_packing)}
+    found = (op1_simhash, op2_toxicity, op3_sentencepiece, op4_sharding, op5_packing, op6_pii, op8_order_minhash, op9_media, op10_kneser_ney)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
