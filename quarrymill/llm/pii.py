@@ -249,6 +249,20 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, field: Field, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of docs with the text masked, and its length, where there is such a column, counted anew."""
+    schema, names = docs.schema, docs.columns
+    arrow = arrow_schema(docs.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if t is None else mask(t, all_spans(t, field)[1]) for t in b.column(names.index(text_col)).to_pylist()]
+            new = {text_col: pa.array(texts, pa.string()), length_col: pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[n].cast(f.type) if n in new else b.column(i) for i, (n, f) in enumerate(zip(names, arrow))], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: see found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.llm.chat import OP7_SQL, op7_chat
 from quarrymill.llm.kneser_ney import op10_kneser_ney
 from quarrymill.llm.lattice import op3_sentencepiece
 from quarrymill.llm.media import op9_media
@@ -18,9 +19,9 @@ from quarrymill.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_toxicity, op3_sentencepiece, op4_sharding, op5_packing, op6_pii, op8_order_minhash, op9_media, op10_kneser_ney)
+    found = (op1_simhash, op2_toxicity, op3_sentencepiece, op4_sharding, op5_packing, op6_pii, op7_chat, op8_order_minhash, op9_media, op10_kneser_ney)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": OP7_SQL}
