@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -18,22 +19,95 @@ from quarrymill.llm.base import cut, mapped, table, utf8
 RUN = 1_000_000
 
 
-class Words(dict):
-    """Chunks of text without ASCII blanks to the little-endian bytes of their ids; of bounded size."""
+#: Lower-case chunks that surely fall into runs of letters, single digits and runs of signs; others are encoded whole.
+LETTERS = "a-zß-öø-ÿ"
+SIMPLE = re.compile(rf"[{LETTERS}!-&(-@\[-`{{-~]+")
+RUNS = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+
+
+class Recent:
+    """Keys to values in two generations: the older one goes when the younger is full, but for what was asked for meanwhile."""
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that have no value; the others are young afterwards."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, set()
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.add(k)
+        return out
+
+
+class Words:
+    """Texts to the little-endian bytes of their ids, with memories of bounded size for chunks between blanks and for runs.
+
+    The vocabulary drops white space and folds case, so no id depends on more than a chunk, nor in simple chunks on more than
+    a run. New runs are encoded many at a time; each ends with a token that ends a word.
+    """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        self.chunks, self.runs = Recent(most), Recent(most)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        cut_up: dict[bytes, list[str]] = {}
+        young = self.chunks.young  # missing() was asked for these chunks just now
+        for c in chunks:
+            text = c.decode().lower()
+            if SIMPLE.fullmatch(text):
+                cut_up[c] = RUNS.findall(text)
+            else:
+                young[c] = self._whole(c.decode())
+        new = list(self.runs.missing({r for runs in cut_up.values() for r in runs}))
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.nonzero(self.last[ids])[0] + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                self.runs.young.update(zip(part, [raw[a:b] for a, b in zip([0, *at], at)]))
+            else:
+                self.runs.young.update((r, self._whole(r)) for r in part)
+        known = self.runs.young
+        for c, runs in cut_up.items():
+            young[c] = b"".join([known[r] for r in runs])
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of whole texts, of which a few, or a part of a long one, are looked up at a time."""
+        for i in range(0, len(texts), 64):
+            for one in self._some([t.lower().split() for t in texts[i : i + 64]]):
+                yield one
+
+    def _some(self, cut_up: list[list[bytes]]) -> Iterator[bytes]:
+        wide = 1 << 18
+        if max(map(len, cut_up)) > wide:
+            for t in cut_up:
+                yield b"".join([next(self._some([t[start : start + wide]])) for start in range(0, max(1, len(t)), wide)])
+            return
+        found = [list(map(self.chunks.young.get, t)) for t in cut_up]
+        new = {c for t, f in zip(cut_up, found) if None in f for c, ids in zip(t, f) if ids is None}
+        self._learn(self.chunks.missing(new))
+        young = self.chunks.young
+        for t, f in zip(cut_up, found):
+            yield b"".join([young[c] if ids is None else ids for c, ids in zip(t, f)] if None in f else f)
 
 
 @cache
@@ -41,19 +115,14 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def encoded(text: bytes, known: Words) -> bytes:
-    """Ids of a whole text. The vocabulary drops white space and folds case, so no id depends on more than a chunk between blanks."""
-    return b"".join(map(known.__getitem__, text.lower().split()))
-
-
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids as little-endian 32-bit binary): each text's ids and a
     closing 0, cut only where longer than the capacity. A null text is empty and gives one piece of length 1."""
 
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
         known, rows = words(vocabulary), []
-        for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-            ids = encoded(text, known) + bytes(4)
+        for doc, own in zip(batch.column(0).to_pylist(), known.ids(utf8(batch.column(1)))):
+            ids = own + bytes(4)
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))

@@ -78,7 +78,19 @@ def test_texts(spark):
     t.encode_special_tokens = True
     known = packing.Words(PATH)
     for text in ["", " ", "É é à\n\tb", "don't I'LL  we've", "ΣΑΣ σ", "日本語 テスト", "a b c\x1cd\x85e", "x" * 5000, "<|endoftext|> 1234 ½ ⅷ", "e ́ x", "İ ı ẞ", "👍🏽 ok"]:
-        assert np.frombuffer(packing.encoded(text.encode(), known), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(next(known.ids([text.encode()])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzÀéßÿ÷ŒΣς'sdm19½!?&$#@^_`{|}~<>-/:[]\\ \n\t\u00a0\u0301é日"), max_size=40), max_size=5))
+def test_any_texts(texts):
+    t = Tokenizer.from_file(PATH) if not hasattr(test_any_texts, "t") else test_any_texts.t
+    t.encode_special_tokens = True
+    test_any_texts.t = t
+    known = packing.Words(PATH, most=5) if not hasattr(test_any_texts, "w") else test_any_texts.w
+    test_any_texts.w = known
+    got = [np.frombuffer(x, "<u4").tolist() for x in known.ids([x.encode() for x in texts])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_edges(spark):
