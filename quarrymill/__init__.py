@@ -1 +1,22 @@
 """Spark-native corpus curation and evaluation analytics."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Sends this package to the session's Python workers, once: functions that run there import it."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrymill", None) == context.applicationId:
+        return
+    here = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="quarrymill-"), "quarrymill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path(here.name) / p.relative_to(here))
+    context.addPyFile(path)
+    context._quarrymill = context.applicationId

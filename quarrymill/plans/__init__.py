@@ -1 +1,6 @@
+"""All queries over the reference's own operators, and their SQL."""
 
+from quarrymill.plans import curation, evaluation
+
+QUERIES = curation.QUERIES | evaluation.QUERIES
+SQL = curation.SQL | evaluation.SQL

@@ -23,6 +23,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from quarrymill import ship
+
+    ship(session)
     yield session
     session.stop()
 
