@@ -265,3 +265,66 @@ def q_stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Extension: the batch twin of streaming.windows.tumbling."""
     w = F.window("ts", "1 hour")
     return table(spark, d, "events").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query(f"WITH {JUDGED} SELECT lang, count(*) AS n, count(*) FILTER ((quality = 1) = (toxic = 0)) AS agree, count(*) FILTER (quality > 1 - toxic) AS wins, count(*) FILTER (quality < 1 - toxic) AS losses, round(avg(quality - (1 - toxic)), 6) AS delta, round(avg(quality - (1 - toxic)) / (stddev_samp(quality - (1 - toxic)) / sqrt(count(*))), 4) AS t FROM j GROUP BY 1")
+def q_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """two verdicts on the same items: agreement, wins and losses, the paired difference and its t."""
+    from quarrymill.functions.similarity import paired_t
+
+    rows = judged(spark, d).withColumn("d", (F.col("quality") - (1 - F.col("toxic"))).cast("double"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("agree"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.round(F.avg("d"), 6).alias("delta"), F.round(paired_t("d"), 4).alias("t"))
+
+
+@query(f"WITH {JUDGED} SELECT doc_id, CAST(c AS INT) AS copy, CASE WHEN score <= 2 THEN 'reject' WHEN score >= 4 THEN 'accept' ELSE 'review' END AS route FROM (SELECT doc_id, 3 + quality - 2 * toxic AS score, unnest(range(1, 3 + quality - 2 * toxic)) AS c FROM j)")
+def q_route_and_weigh(spark: SparkSession, d: str) -> DataFrame:
+    """L2, L9 (from prose): a score routes a document, and a weight drops or repeats it."""
+    from quarrymill.operators import release
+
+    rows = judged(spark, d).withColumn("score", 3 + F.col("quality") - 2 * F.col("toxic"))
+    return release.weighted(rows, F.col("score") - 1).select("doc_id", "copy", release.routed(F.col("score")).alias("route"))
+
+
+@query("SELECT conv_id, turn, CAST(floor(coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 256) AS BIGINT) AS win, CAST(floor(conv_id / 32) AS BIGINT) AS chunk FROM conversations")
+def q_token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of characters within a conversation, and batches of 32."""
+    from quarrymill.operators import release
+
+    rows = table(spark, d, "conversations").withColumn("size", F.length(F.coalesce("text", F.lit(""))))
+    return release.token_windows(rows, "conv_id", "turn", "size", 256).select("conv_id", "turn", F.col("window").alias("win"), release.chunks(F.col("conv_id")).alias("chunk"))
+
+
+@query("SELECT props, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def q_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    """E4, K1."""
+    from quarrymill.operators import release
+
+    return release.duplicate_ids(table(spark, d, "events"), "props")
+
+
+@query("""SELECT 'customer' AS side, k AS nation FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < 0)
+UNION ALL SELECT 'supplier', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)""")
+def q_missing_keys(spark: SparkSession, d: str) -> DataFrame:
+    """D12, D13, I6."""
+    from quarrymill.operators import release
+
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
+    c = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("nation"))
+    s = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("nation"))
+    return release.missing_keys(nations, c, "nation").select(F.lit("customer").alias("side"), "nation").unionByName(release.missing_keys(nations, s, "nation").select(F.lit("supplier").alias("side"), "nation"))
+
+
+@query()
+def q_credibility_rank(spark: SparkSession, d: str) -> DataFrame:
+    """S11 (from prose): ranks over the links of customers and the priorities of their orders."""
+    from quarrymill.operators.graphs import pagerank
+
+    edges = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.col("o_orderpriority").alias("b"))
+    return pagerank(edges).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("SELECT label, count(*) AS n, round(sum(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 3) AS energy FROM embeddings GROUP BY 1")
+def q_energy(spark: SparkSession, d: str) -> DataFrame:
+    """F15's sum over vectors, JVM-side."""
+    e = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(e), 3).alias("energy"))
