@@ -13,7 +13,7 @@ from quarrymill.llm import blocks as B
 from quarrymill.llm.base import arrow_schema, cut, kept, table
 
 #: Symbols (characters of a word and its two ends) in an n-gram; the quantile of trusted documents and the slack beyond it.
-ORDER, QUANTILE, SLACK = 4, 0.99, 1.15
+ORDER, QUANTILE, SLACK = 4, 0.99, 1.5
 #: Ids of trusted documents that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST = 2_000_000
 BEGIN, END = "\x02", "\x03"
