@@ -54,12 +54,12 @@ class Words:
     a run. New runs are encoded many at a time; each ends with a token that ends a word.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, chunks: int = 200_000, runs: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks, self.runs = Recent(most), Recent(most)
+        self.chunks, self.runs = Recent(chunks), Recent(runs)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")

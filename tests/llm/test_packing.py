@@ -87,7 +87,7 @@ def test_any_texts(texts):
     t = Tokenizer.from_file(PATH) if not hasattr(test_any_texts, "t") else test_any_texts.t
     t.encode_special_tokens = True
     test_any_texts.t = t
-    known = packing.Words(PATH, most=5) if not hasattr(test_any_texts, "w") else test_any_texts.w
+    known = packing.Words(PATH, 5, 5) if not hasattr(test_any_texts, "w") else test_any_texts.w
     test_any_texts.w = known
     got = [np.frombuffer(x, "<u4").tolist() for x in known.ids([x.encode() for x in texts])]
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
