@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import blocks as B
-from quarrymill.llm.base import arrow_schema, cut, kept, table
+from quarrymill.llm.base import arrow_schema, table
 
 SPACE = "▁"
+WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Code points of a part that the folds over Spark arrays take; longer parts are folded by a heap in Python.
 LONGEST = 60
+#: Documents in the sample whose most frequent parts are broadcast with their ids, and how many of these there are.
+SAMPLE, COMMON = 20_000, 1 << 18
 
 
 class Pieces(NamedTuple):
@@ -83,25 +89,28 @@ def load(path: str) -> Pieces:
         return read_model(f.read())
 
 
+def known_pieces(model: Pieces) -> dict[str, tuple[float, int]]:
+    """Pieces that are matched in text, with score and id."""
+    return {p: (s, i) for i, (p, s, n) in enumerate(zip(model.pieces, model.scores, model.normal)) if n}
+
+
+def unknown_score(model: Pieces) -> float:
+    return min((s for s, n in zip(model.scores, model.normal) if n), default=0.0) - 10.0
+
+
 class Cutter:
-    """Cuts text where no piece can span: between two neighbours that stand beside each other in no piece."""
+    """Cuts text where no piece can span: between two neighbours that stand beside each other in no piece. What is then still
+    too long for the folds over Spark arrays is folded here, into pieces that each fold to themselves."""
 
     def __init__(self, model: Pieces):
-        self.pairs = {p[i : i + 2] for p, n in zip(model.pieces, model.normal) if n for i in range(len(p) - 1)}
-        self.prefix = model.prefix
+        self.known, self.fold, self.unknown, self.prefix = known_pieces(model), model.fold, unknown_score(model), model.prefix
+        self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
 
     def tokens(self, text: str) -> list[str]:
         """Runs of spaces with what follows them, the space written as its sign; no piece has a space after anything else."""
         if not text:
             return []
-        words = ((SPACE if self.prefix else "") + text.replace(" ", SPACE)).split(SPACE)
-        out, spaces = [words[0]] if words[0] else [], 0
-        for w in words[1:]:
-            spaces += 1
-            if w:
-                out.append(SPACE * spaces + w)
-                spaces = 0
-        return [*out, SPACE * spaces] if spaces else out
+        return WORDS.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
     def parts(self, token: str) -> list[str]:
         pairs, out, start = self.pairs, [], 0
@@ -109,7 +118,10 @@ class Cutter:
             if token[i - 1 : i + 1] not in pairs:
                 out.append(token[start:i])
                 start = i
-        return [*out, token[start:]]
+        out.append(token[start:])
+        if len(token) <= LONGEST:
+            return out
+        return [x for p in out for x in ([p] if len(p) <= LONGEST else merged(p, self.known) if self.fold == "merges" else best(p, self.known, self.unknown))]
 
 
 def merged(part: str, known: dict[str, tuple[float, int]]) -> list[str]:
@@ -160,14 +172,19 @@ def best(part: str, known: dict[str, tuple[float, int]], unknown: float) -> list
 
 def lattice(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
     """(part, edges): every piece in every part, as structs by falling score, then by start. Substrings of bounded length are
-    exploded and joined with the pieces by equality; grouping by part needs no shuffle where parts are dealt by part."""
+    exploded and joined with the pieces by equality; grouping by part needs no shuffle where parts are dealt by part. While
+    grouped, an edge is one number: rank, start, end, whether it can come late, id."""
     at = parts.select("part", F.explode(F.expr("sequence(0, char_length(part) - 1)")).alias("s"))
     edge = at.select("part", "s", F.explode(F.expr(f"sequence(1, least({longest}, char_length(part) - s))")).alias("n"))
-    edge = edge.select("part", "s", (F.col("s") + F.col("n")).alias("e"), F.expr("substring(part, s + 1, n)").alias("piece"))
-    found = edge.join(vocabulary, "piece")
-    inner = F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)")
-    one = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", inner.alias("inner"), (F.expr("shiftleft(1L, s) | shiftleft(1L, e)")).alias("ends"), "late")
-    return found.groupBy("part").agg(F.array_sort(F.collect_list(one)).alias("edges"))
+    edge = edge.select("part", "s", F.expr("s + n").alias("e"), F.expr("substring(part, s + 1, n)").alias("piece"))
+    # a part without any piece keeps one row
+    found = edge.join(vocabulary, "piece", "left").where("code is not null or (s = 0 and e = 1)")
+    packed = F.expr("code + shiftleft(cast(s as bigint), 24) + shiftleft(cast(e as bigint), 18)")
+    grouped = found.groupBy("part").agg(F.array_sort(F.collect_list(packed)).alias("codes"))
+    opened = """transform(transform(codes, x -> named_struct('x', x, 's', cast(shiftright(x, 24) & 63 as int), 'e', cast(shiftright(x, 18) & 63 as int))),
+        y -> named_struct('rank', shiftright(y.x, 30), 's', y.s, 'e', y.e, 'id', cast(y.x & 131071 as int), 'inner', shiftleft(1L, y.e) - shiftleft(1L, y.s + 1),
+            'ends', shiftleft(1L, y.s) | shiftleft(1L, y.e), 'late', (y.x & 131072) <> 0))"""
+    return grouped.select("part", F.expr(opened).alias("edges"))
 
 
 def fold_merges(graph: DataFrame) -> DataFrame:
@@ -188,31 +205,29 @@ def fold_merges(graph: DataFrame) -> DataFrame:
     return once.withColumn("bounds", F.when(F.col("a.ok"), F.col("a.m")).otherwise(F.expr(anew)))
 
 
-def fold_viterbi(graph: DataFrame, unknown: float) -> DataFrame:
+def fold_viterbi(graph: DataFrame, scores: list[float], unknown: float) -> DataFrame:
     """(part, bounds) of the best path: edges in order of their end, each keeping the better of what its end and its start offer."""
     step = f"""aggregate(sequence(1, char_length(part)), array(named_struct('v', 0D, 'm', 1L)),
         (best, j) -> array_append(best, array_max(transform(
-            array_append(filter(edges, x -> x.e = j), if(exists(edges, x -> x.e = j and x.s = j - 1), null, named_struct('rank', {-unknown}D, 's', j - 1, 'e', j, 'id', -1, 'inner', 0L, 'ends', 0L, 'late', false))),
-            x -> if(x is null, null, named_struct('v', best[x.s].v - x.rank, 'm', best[x.s].m | shiftleft(1L, j)))))))"""
-    return graph.withColumn("bounds", F.expr(f"element_at({step}, -1).m"))
+            array_append(transform(filter(edges, x -> x.e = j), x -> named_struct('s', x.s, 'v', scores[x.id])), if(exists(edges, x -> x.e = j and x.s = j - 1), null, named_struct('s', j - 1, 'v', {unknown}D))),
+            x -> if(x is null, null, named_struct('v', best[x.s].v + x.v, 'm', best[x.s].m | shiftleft(1L, j)))))))"""
+    return graph.withColumn("scores", F.array(*[F.lit(float(s)) for s in scores]) if len(scores) < 256 else F.lit(scores)).withColumn("bounds", F.expr(f"element_at({step}, -1).m"))
 
 
 def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
-    """(part, ids array<int>) for distinct parts of text."""
-    spark = parts.sparkSession
-    score = {p: (s, i) for i, (p, s, n) in enumerate(zip(model.pieces, model.scores, model.normal)) if n}
-    unknown = min((s for s, _ in score.values()), default=0.0) - 10.0
+    """(part, ids array<int>) for distinct parts of text, none empty or longer than LONGEST."""
+    score = known_pieces(model)
 
     def late(p: str) -> bool:
         own = score[p][0]
         return any(x in score and score[x][0] <= own for i in range(1, len(p)) for x in (p[:i], p[i:]) if len(x) > 1)
 
-    rows = [(p, float(s), i, late(p) if model.fold == "merges" else False) for p, (s, i) in score.items()]
-    vocabulary = F.broadcast(spark.createDataFrame(rows, "piece string, score double, id int, late boolean"))  # as large as the model's file
-    longest = max(map(len, score), default=1)
-    short = parts.where(F.char_length("part") <= LONGEST)
-    graph = short.join(lattice(short, vocabulary, longest), "part", "left").withColumn("edges", F.coalesce("edges", F.expr("filter(array(named_struct('rank', 0D, 's', 0, 'e', 0, 'id', 0, 'inner', 0L, 'ends', 0L, 'late', false)), x -> false)")))
-    folded = fold_merges(graph) if model.fold == "merges" else fold_viterbi(graph, unknown)
+    place = {s: k for k, s in enumerate(sorted({s for s, _ in score.values()}, reverse=True))}
+    merges = model.fold == "merges"
+    rows = [(p, (place[s] if merges else 0) << 30 | (merges and late(p)) << 17 | i) for p, (s, i) in score.items()]
+    vocabulary = F.broadcast(parts.sparkSession.createDataFrame(rows, "piece string, code long"))  # as large as the model's file
+    graph = lattice(parts, vocabulary, max(map(len, score), default=1))
+    folded = fold_merges(graph) if merges else fold_viterbi(graph, model.scores, unknown_score(model))
     # what stands between neighbouring bounds is a piece's edge, or a character that is none and falls back to its bytes
     bounds = F.expr("filter(sequence(0, char_length(part)), i -> getbit(bounds, i) = 1)")
     byte_ids = F.array(*[F.lit(i) for i in model.bytes_])
@@ -220,17 +235,7 @@ def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
     spelled = "transform(filter(split(regexp_replace(hex(encode(substring(part, at[i - 1] + 1, at[i] - at[i - 1]), 'utf-8')), '(..)', '$1,'), ','), h -> h <> ''), h -> byte_ids[cast(conv(h, 16, 10) as int)])"
     one = f"get(transform(array(get(filter(edges, x -> x.s = at[i - 1] and x.e = at[i]), 0)), x -> if(x is null, {spelled}, array(x.id))), 0)"
     ids = F.expr(f"flatten(transform(sequence(1, size(at) - 1), i -> {one}))")
-    out = spans.select("part", ids.alias("ids"))
-    arrow = arrow_schema(spark, "part string, ids array<int>")
-
-    def long_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            cut_up = [merged(t, score) if model.fold == "merges" else best(t, score, unknown) for t in texts]
-            ids = [[i for s in c for i in ([score[s][1]] if s in score else [model.bytes_[x] for x in s.encode()])] for c in cut_up]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], schema=arrow)
-
-    return out.unionByName(parts.where(F.char_length("part") > LONGEST).mapInArrow(long_ones, "part string, ids array<int>"))
+    return spans.select("part", ids.alias("ids"))
 
 
 def decode(ids: np.ndarray, table_: list[bytes], prefix: bool) -> str:
@@ -248,28 +253,87 @@ def byte_table(model: Pieces) -> list[bytes]:
     return out
 
 
-def encoded(docs: DataFrame, model: Pieces, chars: int = B.CHARS) -> DataFrame:
+def common_parts(docs: DataFrame, cutter: Cutter, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
+    """(part, n): the most frequent parts of about `sample` documents chosen by a hash of their id (all, if there are fewer)."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(max(1, n))) < sample).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            parts: Counter[str] = Counter()
+            for w, times in words.items():
+                for p in cutter.parts(w):
+                    parts[p] += times
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())], ["part", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words.update(cutter.tokens(text or ""))
+                if len(words) > 200_000:
+                    yield out()
+        yield out()
+
+    counted = some.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "part").limit(most)
+
+
+_LAST: list = [None, {}]
+
+
+def _numbers(common: Broadcast) -> dict[str, int]:
+    """The broadcast parts' numbers, the commonest first; built once a worker."""
+    if _LAST[0] != id(common.value):
+        _LAST[:] = [id(common.value), {p: i for i, p in enumerate(common.value.column("part").to_pylist())}]
+    return _LAST[1]
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists."""
+    whole = pa.chunked_array(lists.chunks, pa.list_(pa.int32())).combine_chunks() if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    whole = whole if isinstance(whole, pa.ListArray) else pa.concat_arrays(whole.chunks)
+    return whole.offsets.to_numpy().astype(np.int64), whole.values.to_numpy()
+
+
+def encoded(docs: DataFrame, model: Pieces, chars: int = B.CHARS, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
     """(doc_id, ids array<int>) for each document (doc_id, text): what SentencePiece gives under the model.
 
-    Texts are cut into parts that no piece spans; each different part is encoded once, over the lattice, and looked up once
-    by each block of documents. Null and empty texts have no ids. Repeated rows stay. An empty table gives no rows.
+    Texts are cut into parts that no piece spans, and each different part is encoded once, over the lattice. The most
+    frequent parts, a bounded number, are encoded first and broadcast; every other part is looked up once by each block of
+    documents, by a join. Null and empty texts have no ids. Repeated rows stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
     cutter = Cutter(model)
-    marked = docs.select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("string").alias("tag"), F.lit(0).alias("mark"))
-    own = kept(B.blocks(marked, cutter.tokens, cutter.parts, lambda words, times: (words, [0] * len(words)), ordered=True, chars=chars))
-    wanted = own.select("block", F.posexplode("keys").alias("i", "part"))
-    answers = wanted.join(encoded_parts(wanted.select("part").distinct(), model), "part").select("block", "i", "ids")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    first = common_parts(docs, cutter, sample, most).repartition(spark.sparkContext.defaultParallelism, "part")
+    common = spark.sparkContext.broadcast(first.join(encoded_parts(first.select("part"), model), "part").orderBy(F.desc("n"), "part").select("part", "ids").toArrow())
+    marked = docs.withColumns({"tag": F.lit(None).cast("string"), "mark": F.lit(0)})
+    own = B.blocks(marked, cutter.tokens, cutter.parts, None, ordered=True, chars=chars, common=lambda: _numbers(common)).repartition("block")
+    key_schema = arrow_schema(spark, "block long, keys array<string>")
+
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("keys")], schema=key_schema)
+
+    # blocks are dealt once: both uses read all columns of the same exchange
+    wanted = own.mapInArrow(only_keys, "block long, keys array<string>").select("block", F.posexplode("keys").alias("i", "part"))
+    answers = wanted.join(encoded_parts(wanted.select("part").distinct(), model), "part").select("block", "i", F.crc32(F.col("part").cast("binary")).alias("check"), "ids")
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
 
     def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
+        first_start, first_flat = _flat(common.value.column("ids"))
         order = np.argsort(found.column("i").to_numpy())
-        lists = found.column("ids").combine_chunks()
-        lists = (lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)) if len(found) else pa.array([], pa.list_(pa.int32()))
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        start, size = offsets[:-1][order].astype(np.int64), np.diff(offsets)[order].astype(np.int64)
+        offsets, flat = _flat(found.column("ids"))
+        start = np.concatenate([first_start[:-1], offsets[:-1][order] + len(first_flat)])
+        size = np.concatenate([np.diff(first_start), np.diff(offsets)[order]])
+        flat = np.concatenate([first_flat, flat])
+        sums = found.column("check").to_numpy()[order]
         out: list[pa.RecordBatch] = []
         for row in texts.to_pylist():
+            if [zlib.crc32(k.encode()) for k in row["keys"]] != sums.tolist():
+                raise RuntimeError("a block's parts changed when it was computed again")
             all_ids = []
             for parts in B.documents(row["payload"], np.array(row["sizes"])):
                 n = size[parts]
@@ -281,8 +345,8 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = B.CHARS) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), ids], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    texts = own.select(F.col("block").alias("home"), "doc_ids", "sizes", "payload")
-    return texts.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    renamed = own.withColumnRenamed("block", "home")
+    return renamed.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, model: Pieces) -> DataFrame:
