@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from quarrymill.llm import blocks as B
 from quarrymill.llm.base import arrow_schema, cut, kept, table
 
-#: Symbols (characters of a word and its two ends) in an n-gram; the quantile of trusted documents and the slack beyond it.
-ORDER, QUANTILE, SLACK = 4, 0.99, 1.5
+#: Symbols (characters, blanks and the ends of a text) in an n-gram; the quantile of trusted documents and the slack beyond it.
+ORDER, QUANTILE, SLACK = 5, 0.99, 1.5
 #: Ids of trusted documents that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST = 2_000_000
 BEGIN, END = "\x02", "\x03"
@@ -25,12 +26,31 @@ def grams(word: str, order: int) -> list[str]:
     return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
-def _keys(order: int):
+def stretches(text: str, order: int) -> list[str]:
+    """The words of a text, each with the blank (or end) that follows it and the `order` - 1 symbols before it.
+
+    BEGIN and END in a text are written as U+FFFD, so that they only ever stand at its ends.
+    """
+    words = text.replace(BEGIN, "\ufffd").replace(END, "\ufffd").split()
+    s, at, out = BEGIN * (order - 1) + " ".join(words) + END, 0, []
+    for w in words:
+        out.append(s[at : at + order + len(w)])
+        at += len(w) + 1
+    return out
+
+
+def across(stretch: str, order: int) -> list[str]:
+    """The n-grams that end at each symbol of a stretch but those before its word: those of grams() for the text as one word."""
+    out = [stretch[i - order + 1 : i + 1] for i in range(order - 1, len(stretch))]
+    return [BEGIN + g.lstrip(BEGIN) if g.startswith(BEGIN) else g for g in out] if stretch.startswith(BEGIN * 2) else out
+
+
+def _keys(order: int, each: Callable[[str, int], list[str]]):
     def keys(words: list[str], times: np.ndarray) -> tuple[list[str], list[int]]:
         found: dict[str, int] = {}
         get = found.get
         for w, n in zip(words, times.tolist()):
-            for g in grams(w, order):
+            for g in each(w, order):
                 found[g] = get(g, 0) + n
         return list(found), list(found.values())
 
@@ -93,9 +113,11 @@ def scored(wanted: DataFrame, probabilities: list[DataFrame], contexts: list[Dat
     return found.unionByName(todo.select("gram", F.log(F.col("w") / F.lit(float(symbols))).alias("logp")))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars: int = B.CHARS) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars: int = B.CHARS, whole: bool = False) -> DataFrame:
     """(doc_id, lang, trusted int, n_symbols, perplexity) for each document (doc_id, text, lang), under a model of the trusted ones (doc_id).
 
+    n-grams restart at every word or, for whole texts, run on over single blanks between words.
+
     Texts become blocks with dictionaries; the n-grams of all blocks meet the counts of trusted text in joins by n-gram, and
     go back to their block, where documents are summed up. No words: perplexity 1 over no symbols. Nothing trusted: every
     symbol is equally unlikely.
@@ -105,7 +127,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars:
     if marks.count() <= BROADCAST:
         marks = F.broadcast(marks)
     marked = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").alias("tag")).join(marks, "doc_id", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
-    own = kept(B.blocks(marked, str.split, lambda w: [w], _keys(order), ordered=False, chars=chars))
+    each_, before = (across, order - 1) if whole else (grams, -1)
+    tokens = (lambda text: stretches(text, order)) if whole else str.split
+    own = kept(B.blocks(marked, tokens, lambda w: [w], _keys(order, each_), ordered=False, chars=chars))
     exploded = own.select("block", F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("block", F.col("k.keys").alias("gram"), F.col("k.counts").alias("a"))
     counts = cut(exploded.groupBy("gram").agg(F.sum("a").alias("a")))
     values = scored(counts.select("gram"), *model(counts.where("a > 0"), order))
@@ -118,8 +142,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars:
         out = []
         for row in texts.to_pylist():
             words = B.strings(row["lexicon"])
-            each = np.array([sum(map(logp.__getitem__, grams(w, order))) for w in words])
-            size = np.array([len(w) + 1 for w in words], np.int64)
+            each = np.array([sum(map(logp.__getitem__, each_(w, order))) for w in words])
+            size = np.array([len(w) - before for w in words], np.int64)
             for doc, tag, mark, own_ in zip(row["doc_ids"], row["tags"], row["marks"], B.documents(row["payload"], np.array(row["sizes"]))):
                 number, times = B.unordered(own_)
                 n = int(size[number] @ times) if len(number) else 0
@@ -138,7 +162,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     Repeated rows stay; a null language is a language of its own; a null doc_id is never trusted.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long"))
-    found = cut(perplexities(docs, good))
+    found = cut(perplexities(docs, good, whole=True))
     trusted = found.where("trusted = 1 and n_symbols > 0")
     by_lang = trusted.groupBy(F.col("lang").alias("l")).agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     every = trusted.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]

@@ -80,3 +80,18 @@ def test_edges(spark):
         out = kn.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
         assert len(out) == 4 and (labels and labels[0][1] or all(r.keep for r in out))
     assert kn.judged(docs.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
+
+
+def test_across_words(spark, sf):
+    rows = duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet' limit 60").fetchall()
+    turned = [(1000 + d, " ".join((t or "").split()[::-1]), lang) for d, t, lang in rows]
+    trusted = [d for d, _, _ in rows if d % 2 == 0]
+    docs = spark.createDataFrame([*rows, *turned, (2000, "Ω \x02\x03 \n≈", "xx"), (2001, " ", "en")], "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in kn.perplexities(docs, spark.createDataFrame([(d,) for d in trusted], "doc_id long"), 5, chars=20_000, whole=True).collect()}
+    joined = {r[0]: "_".join((r[1] or "").replace("_", "\ufffe").replace("\x02", "\ufffd").replace("\x03", "\ufffd").split()) for r in docs.collect()}
+    plain = Plain([joined[d] for d in trusted], 5)
+    for d, t in joined.items():
+        n, p = plain.perplexity(t)
+        assert got[d].n_symbols == n and math.isclose(got[d].perplexity, p, rel_tol=1e-9)
+    long = [d for d in trusted if got[d].n_symbols > 200]
+    assert long and all(got[1000 + d].perplexity > got[d].perplexity for d in long)
