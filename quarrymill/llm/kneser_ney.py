@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quarrymill.llm import blocks as B
 from quarrymill.llm.base import arrow_schema, cut, kept, table
 
-#: Symbols (characters, blanks and the ends of a text) in an n-gram; the quantile of trusted documents and the slack beyond it.
-ORDER, QUANTILE, SLACK = 5, 0.99, 1.5
+#: Symbols (characters, blanks and the ends of a text) in an n-gram; the quantile of trusted documents; one of so many of them is held out of the model for it.
+ORDER, QUANTILE, HELD = 5, 0.99, 4
 #: Ids of trusted documents that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST = 2_000_000
 BEGIN, END = "\x02", "\x03"
@@ -154,19 +154,25 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars:
     return texts.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(total, schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, keep) for each document.
 
-    Trusted text is what labels (doc_id, quality) call good. A language's threshold is a quantile of its trusted documents'
-    perplexity times some slack (a language without any takes that of all; no trusted text at all: nothing is rejected).
-    Repeated rows stay; a null language is a language of its own; a null doc_id is never trusted.
+    Trusted text is what labels (doc_id, quality) call good. The model is of most of it, and a language's threshold is a quantile
+    of the perplexity of its rest, chosen by a hash of the id, as text looks likelier to a model that has seen it (a language
+    without any takes that of all; too little trusted text to hold any out: all of it serves for both; none at all: nothing is
+    rejected). Repeated rows stay; a null language is a language of its own; a null doc_id is never trusted.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long"))
-    found = cut(perplexities(docs, good, whole=True))
-    trusted = found.where("trusted = 1 and n_symbols > 0")
-    by_lang = trusted.groupBy(F.col("lang").alias("l")).agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
+    present = cut(docs.select(F.col("doc_id").cast("long"), F.length(F.trim(F.coalesce("text", F.lit("")))).alias("n")).where("n > 0").join(good, "doc_id", "left_semi").select("doc_id").distinct())
+    held = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(HELD)) == 0
+    sides = [present.where(~held), present.where(held)]
+    if sides[0].isEmpty() or sides[1].isEmpty():
+        sides = [present, present]
+    found = cut(perplexities(docs, sides[0], whole=True))
+    trusted = found.where("n_symbols > 0").join(sides[1], "doc_id", "left_semi")
+    by_lang = trusted.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     every = trusted.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    every = every * slack if every is not None else float("inf")
+    every = every if every is not None else float("inf")
     out = found.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(every)))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).cast("int").alias("keep"))
 

@@ -95,3 +95,13 @@ def test_across_words(spark, sf):
         assert got[d].n_symbols == n and math.isclose(got[d].perplexity, p, rel_tol=1e-9)
     long = [d for d in trusted if got[d].n_symbols > 200]
     assert long and all(got[1000 + d].perplexity > got[d].perplexity for d in long)
+
+
+def test_threshold_is_a_quantile(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    good = docs.selectExpr("doc_id", "1 as quality")
+    by: dict = {}
+    for r in kn.judged(docs, good).collect():
+        by.setdefault(r.lang, []).append(r)
+    for rows in by.values():  # a threshold is the perplexity of one of the trusted documents, not beyond them
+        assert len({r.threshold for r in rows}) == 1 and rows[0].threshold in {r.perplexity for r in rows}
