@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -16,14 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import blocks as B
-from quarrymill.llm.base import arrow_schema, table
+from quarrymill.llm.base import arrow_schema, kept, table
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Code points of a part that the folds over Spark arrays take; longer parts are folded by a heap in Python.
-LONGEST = 60
+#: Code points of a part whose bounds are one 64-bit mask; the bounds of longer parts are blocks of an array.
+MASK = 62
+#: Bits of a piece's id, and code points that a model's longest piece may have.
+IDS, LONG = 24, 1024
 #: Documents in the sample whose most frequent parts are broadcast with their ids, and how many of these there are.
-SAMPLE, COMMON = 20_000, 1 << 18
+SAMPLE, COMMON = 20_000, 1 << 17
+#: Code points of text in a block.
+CHARS = 4 << 20
 
 
 class Pieces(NamedTuple):
@@ -62,7 +65,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 def read_model(data: bytes, fold: str | None = None) -> Pieces:
     """Pieces of a serialised model (field numbers as SentencePiece publishes them). Scores of a BPE model are ranks of
-    merges, not log probabilities, so its words are folded by merges; a unigram model's by Viterbi."""
+    merges, not log probabilities, so its words are folded by merges; a unigram model's by Viterbi. A model too large for an
+    edge's code is refused."""
     pieces, scores, normal, bytes_, kind, prefix = [], [], [], [-1] * 256, 1, True
     for number, value in _fields(data):
         if number == 1:
@@ -80,6 +84,8 @@ def read_model(data: bytes, fold: str | None = None) -> Pieces:
             prefix = bool(own.get(3, 1))
             if own.get(2) or own.get(4, 1):
                 raise ValueError("only models that keep texts as they are, spaces too, can be read")
+    if len(pieces) >= (1 << IDS) - 1 or max(map(len, pieces), default=0) >= LONG:
+        raise ValueError(f"a model may have {(1 << IDS) - 2} pieces of {LONG - 1} code points at most")
     return Pieces(pieces, scores, normal, bytes_, fold or {1: "viterbi", 2: "merges"}[kind], prefix)
 
 
@@ -99,11 +105,10 @@ def unknown_score(model: Pieces) -> float:
 
 
 class Cutter:
-    """Cuts text where no piece can span: between two neighbours that stand beside each other in no piece. What is then still
-    too long for the folds over Spark arrays is folded here, into pieces that each fold to themselves."""
+    """Cuts text where no piece can span: between two neighbours that stand beside each other in no piece."""
 
     def __init__(self, model: Pieces):
-        self.known, self.fold, self.unknown, self.prefix = known_pieces(model), model.fold, unknown_score(model), model.prefix
+        self.known, self.prefix = known_pieces(model), model.prefix
         self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
 
     def tokens(self, text: str) -> list[str]:
@@ -119,123 +124,134 @@ class Cutter:
                 out.append(token[start:i])
                 start = i
         out.append(token[start:])
-        if len(token) <= LONGEST:
-            return out
-        return [x for p in out for x in ([p] if len(p) <= LONGEST else merged(p, self.known) if self.fold == "merges" else best(p, self.known, self.unknown))]
-
-
-def merged(part: str, known: dict[str, tuple[float, int]]) -> list[str]:
-    """Merges by a heap, best score first, leftmost first among equals: what the fold over masks does, for parts of any length."""
-    import heapq
-
-    n = len(part)
-    before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    end = list(range(1, n + 1))
-    heap: list[tuple[float, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i] if i >= 0 else -1
-        if j >= 0 and end[j] - i <= 64 and (found := known.get(part[i : end[j]])):
-            heapq.heappush(heap, (-found[0], i, end[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j < 0 or end[j] != stop:
-            continue
-        alive[j], end[i], after[i] = False, stop, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        offer(i)
-        offer(before[i])
-    return [part[i : end[i]] for i in range(n) if alive[i]]
-
-
-def best(part: str, known: dict[str, tuple[float, int]], unknown: float) -> list[str]:
-    """Viterbi for parts of any length."""
-    score, back, wide = [0.0], [0], max(map(len, known), default=1)
-    for j in range(1, len(part) + 1):
-        options = [(score[i] + known[part[i:j]][0], -i) for i in range(max(0, j - wide), j) if part[i:j] in known]
-        if part[j - 1] not in known:
-            options.append((score[j - 1] + unknown, 1 - j))
-        s, i = max(options)
-        score.append(s)
-        back.append(-i)
-    out, j = [], len(part)
-    while j:
-        out.append(part[back[j] : j])
-        j = back[j]
-    return out[::-1]
-
-
-def lattice(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
-    """(part, edges): every piece in every part, as structs by falling score, then by start. Substrings of bounded length are
-    exploded and joined with the pieces by equality; grouping by part needs no shuffle where parts are dealt by part. While
-    grouped, an edge is one number: rank, start, end, whether it can come late, id."""
+        return out
+
+
+def late(known: dict[str, tuple[float, int]]) -> set[str]:
+    """Pieces that can become possible after their turn: one of their two parts ranks behind them, or can itself be late."""
+    found: set[str] = set()
+    for p in sorted(known, key=len):
+        for i in range(1, len(p)):
+            both = p[:i], p[i:]
+            if all(len(x) == 1 or x in known for x in both) and any(len(x) > 1 and (x in found or known[x][0] <= known[p][0]) for x in both):
+                found.add(p)
+                break
+    return found
+
+
+def lattice(parts: DataFrame, vocabulary: DataFrame, longest: int, edge: str) -> DataFrame:
+    """(part, edges array): every piece in every part, and a row of its own for each character that is no piece, as `edge` writes
+    it (over s, the start, and the vocabulary's columns), in order.
+
+    Substrings of bounded length are exploded and joined with the pieces by equality; grouping by part needs no shuffle where
+    parts are dealt by part.
+    """
     at = parts.select("part", F.explode(F.expr("sequence(0, char_length(part) - 1)")).alias("s"))
-    edge = at.select("part", "s", F.explode(F.expr(f"sequence(1, least({longest}, char_length(part) - s))")).alias("n"))
-    edge = edge.select("part", "s", F.expr("s + n").alias("e"), F.expr("substring(part, s + 1, n)").alias("piece"))
-    # a part without any piece keeps one row
-    found = edge.join(vocabulary, "piece", "left").where("code is not null or (s = 0 and e = 1)")
-    packed = F.expr("code + shiftleft(cast(s as bigint), 24) + shiftleft(cast(e as bigint), 18)")
-    grouped = found.groupBy("part").agg(F.array_sort(F.collect_list(packed)).alias("codes"))
-    opened = """transform(transform(codes, x -> named_struct('x', x, 's', cast(shiftright(x, 24) & 63 as int), 'e', cast(shiftright(x, 18) & 63 as int))),
-        y -> named_struct('rank', shiftright(y.x, 30), 's', y.s, 'e', y.e, 'id', cast(y.x & 131071 as int), 'inner', shiftleft(1L, y.e) - shiftleft(1L, y.s + 1),
-            'ends', shiftleft(1L, y.s) | shiftleft(1L, y.e), 'late', (y.x & 131072) <> 0))"""
-    return grouped.select("part", F.expr(opened).alias("edges"))
-
-
-def fold_merges(graph: DataFrame) -> DataFrame:
-    """(part, bounds) where bounds is a mask of the places between symbols after all merges.
-
-    One pass in order of rank: an edge merges if its two ends are bounds and one bound is between. A piece with a part that
-    ranks behind it can come out of turn; where such a piece becomes possible after its turn, the part is folded anew, always
-    taking the best edge that is possible.
+    each = at.select("part", "s", F.explode(F.expr(f"sequence(1, least({longest}, char_length(part) - s))")).alias("n"))
+    each = each.select("part", "s", "n", F.expr("substring(part, s + 1, n)").alias("piece"))
+    found = each.join(vocabulary, "piece", "left").where("id is not null or n = 1")
+    return found.groupBy("part").agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"))
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """SQL of a body in which a name stands for a value that is computed once; the optimizer would copy a column's definition into the body's lambdas."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+#: An edge of a short part as one number, in order of rank, start and length: 24 bits of rank, 6 of start, 6 of length, 1 if late, 24 of id.
+SHORT = f"shiftleft(coalesce(rank, {(1 << 24) - 1}L), 37) | shiftleft(cast(s as bigint), 31) | shiftleft(cast(n as bigint), 25) | shiftleft(cast(coalesce(late, false) as bigint), 24) | coalesce(id, {(1 << IDS) - 1}L)"
+#: An edge of a longer part, in the same order.
+WIDE = f"named_struct('rank', coalesce(rank, {(1 << 24) - 1}L), 's', s, 'n', n, 'late', coalesce(late, false), 'id', cast(coalesce(id, {(1 << IDS) - 1}L) as int))"
+
+
+def merged_short(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
+    """(part, path array<struct<s,id>>) of parts of at most MASK code points, folded by merges.
+
+    Bounds between symbols are bits of a mask. One pass in order of rank, then start: an edge merges if its two ends are bounds
+    and one bound is between. A merge that makes edges possible whose turn is over is followed by these, the best first.
     """
-    fits = "(m & {0}.ends) = {0}.ends and bit_count(m & {0}.inner) = 1"
-    step = f"""aggregate(edges, named_struct('m', shiftleft(1L, char_length(part) + 1) - 1, 'ok', true),
-        (a, x) -> if((a.m & x.ends) = x.ends and bit_count(a.m & x.inner) = 1,
-            named_struct('m', a.m & ~x.inner, 'ok', a.ok and not exists(late, y -> (y.rank < x.rank or (y.rank = x.rank and y.s < x.s))
-                and ((a.m & ~x.inner) & y.ends) = y.ends and bit_count((a.m & ~x.inner) & y.inner) = 1)), a))"""
-    once = graph.withColumn("late", F.expr("filter(edges, x -> x.late)")).withColumn("a", F.expr(step))
-    anew = f"""aggregate(sequence(1, char_length(part)), shiftleft(1L, char_length(part) + 1) - 1,
-        (m, i) -> m & ~coalesce(get(filter(edges, x -> {fits.format('x')}), 0).inner, 0L))"""
-    return once.withColumn("bounds", F.when(F.col("a.ok"), F.col("a.m")).otherwise(F.expr(anew)))
-
-
-def fold_viterbi(graph: DataFrame, scores: list[float], unknown: float) -> DataFrame:
-    """(part, bounds) of the best path: edges in order of their end, each keeping the better of what its end and its start offer."""
-    step = f"""aggregate(sequence(1, char_length(part)), array(named_struct('v', 0D, 'm', 1L)),
-        (best, j) -> array_append(best, array_max(transform(
-            array_append(transform(filter(edges, x -> x.e = j), x -> named_struct('s', x.s, 'v', scores[x.id])), if(exists(edges, x -> x.e = j and x.s = j - 1), null, named_struct('s', j - 1, 'v', {unknown}D))),
-            x -> if(x is null, null, named_struct('v', best[x.s].v + x.v, 'm', best[x.s].m | shiftleft(1L, j)))))))"""
-    return graph.withColumn("scores", F.array(*[F.lit(float(s)) for s in scores]) if len(scores) < 256 else F.lit(scores)).withColumn("bounds", F.expr(f"element_at({step}, -1).m"))
+    length, start = "cast(shiftright({0}, 25) & 63 as int)", "cast(shiftright({0}, 31) & 63 as int)"
+    n, s = length.format("x"), start.format("x")
+    inner, ends = f"shiftleft(shiftleft(1L, {n}) - 2, {s})", f"shiftleft(shiftleft(1L, {n}) | 1L, {s})"
+    fits = f"(m & {ends}) = {ends} and bit_count(m & {inner}) = 1"
+    possible = "y.x < x and (q & y.ends) = y.ends and bit_count(q & y.inner) = 1"
+    after = f"aggregate(sequence(1, size(lates)), m & ~{inner}, (q, i) -> q & ~coalesce(get(filter(lates, y -> {possible}), 0).inner, 0L))"
+    merge = f"if(exists(lates, y -> {possible.replace('q &', f'(m & ~{inner}) &')}), {after}, m & ~{inner})"
+    begin = "shiftleft(1L, char_length(part) + 1) - 1"
+    fold = "aggregate(filter(edges, x -> (shiftright(x, 25) & 63) > 1), {0}, (m, x) -> if({1}, {2}, m))"
+    last = f"filter(edges, x -> (m & {ends}) = {ends} and (m & {inner}) = 0)"
+    path = f"transform(sort_array(transform({last}, x -> shiftleft(shiftright(x, 31) & 63, {IDS}) | (x & {(1 << IDS) - 1}))), x -> named_struct('s', cast(shiftright(x, {IDS}) as int), 'id', cast(x & {(1 << IDS) - 1} as int)))"
+    folded = f"if(size(lates) = 0, {fold.format(begin, fits, f'm & ~{inner}')}, {fold.format(begin, fits, merge)})"
+    late_edges = f"transform(filter(edges, x -> (x & {1 << 24}) <> 0), x -> named_struct('x', x, 'inner', {inner}, 'ends', {ends}))"
+    graph = lattice(parts, vocabulary, min(longest, MASK), SHORT)
+    return graph.select("part", F.expr(bound("m", bound("lates", late_edges, folded), path)).alias("path"))
+
+
+def merged_wide(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
+    """The same for parts of any length. `m` has for each symbol's start where it ends, and 0 elsewhere, in blocks, so that a merge
+    writes one block or two; late edges are in blocks as well, of which a merge looks at three."""
+    wide = max(64, longest)
+    to = f"get(get(m, {{0}} div {wide}), ({{0}}) % {wide})"  # where the symbol that starts there ends
+
+    def fits(x: str, m: str) -> str:
+        first = to.replace("get(m,", f"get({m},").format(f"{x}.s")
+        return f"{first} > {x}.s and {first} < {x}.s + {x}.n and {to.replace('get(m,', f'get({m},').format(first)} = {x}.s + {x}.n"
+
+    def merge(x: str, m: str) -> str:
+        at = f"(b * {wide} + i)"
+        return f"""transform({m}, (own, b) -> if(b between {x}.s div {wide} and ({x}.s + {x}.n - 1) div {wide},
+            transform(own, (v, i) -> if({at} = {x}.s, {x}.s + {x}.n, if({at} > {x}.s and {at} < {x}.s + {x}.n, 0, v))), own))"""
+
+    order = "named_struct('rank', {0}.rank, 's', {0}.s, 'n', {0}.n)"
+    near = f"flatten(slice(lates, greatest(x.s div {wide}, 1), 3))"
+    # whatever a merge makes possible spans it
+    ready = f"filter({near}, y -> y.s <= x.s and y.s + y.n >= x.s + x.n and {order.format('y')} < {order.format('x')} and {fits('y', 'a.m')})"
+    step = f"aggregate(array(array_min({ready})), a, (r, y) -> if(y is null, named_struct('m', r.m, 'more', false), named_struct('m', {merge('y', 'r.m')}, 'more', true)))"
+    after = f"aggregate(sequence(1, {longest}), named_struct('m', {merge('x', 'm')}, 'more', true), (a, k) -> if(a.more, {step}, a), a -> a.m)"
+    blocks = f"sequence(0, char_length(part) div {wide})"
+    begin = f"transform({blocks}, b -> transform(sequence(0, {wide - 1}), i -> cast(b * {wide} + i + 1 as int)))"
+    folded = f"aggregate(filter(edges, x -> x.n > 1), {begin}, (m, x) -> if({fits('x', 'm')}, {after}, m))"
+    lates = bound("w", "filter(edges, x -> x.late)", f"transform({blocks}, b -> filter(w, y -> y.s div {wide} = b))")
+    last = f"filter(edges, x -> {to.format('x.s')} = x.s + x.n)"
+    path = f"sort_array(transform({last}, x -> named_struct('s', x.s, 'id', x.id)))"
+    graph = lattice(parts, vocabulary, longest, WIDE)
+    return graph.select("part", F.expr(bound("m", bound("lates", lates, folded), path)).alias("path"))
+
+
+def best_path(parts: DataFrame, vocabulary: DataFrame, longest: int, unknown: float) -> DataFrame:
+    """(part, path array<struct<s,id>>) of parts of any length, folded by Viterbi: edges in order of their end, then start; each
+    place keeps the best sum of scores that reaches it, from the least start among equals."""
+    edge = f"named_struct('e', s + n, 's', s, 'score', coalesce(score, {unknown}D), 'id', cast(coalesce(id, {(1 << IDS) - 1}L) as int))"
+    value = "(if(x.e = a.e, get(a.v, x.s), if(x.s = a.e, a.best, get(a.v, x.s))) + x.score)"
+    step = f"""aggregate(edges, named_struct('e', 0, 'best', 0D, 's', 0, 'id', 0, 'v', cast(array() as array<double>), 'back', cast(array() as array<struct<s:int,id:int>>)),
+        (a, x) -> if(x.e = a.e,
+            if({value} > a.best, named_struct('e', a.e, 'best', {value}, 's', x.s, 'id', x.id, 'v', a.v, 'back', a.back), a),
+            named_struct('e', x.e, 'best', {value}, 's', x.s, 'id', x.id, 'v', array_append(a.v, a.best), 'back', array_append(a.back, named_struct('s', a.s, 'id', a.id)))),
+        a -> array_append(a.back, named_struct('s', a.s, 'id', a.id)))"""
+    walk = """aggregate(sequence(1, char_length(part)), named_struct('at', char_length(part), 'path', cast(array() as array<struct<s:int,id:int>>)),
+        (a, i) -> if(a.at = 0, a, named_struct('at', get(back, a.at).s, 'path', array_append(a.path, get(back, a.at)))), a -> reverse(a.path))"""
+    return lattice(parts, vocabulary, longest, edge).select("part", F.expr(bound("back", step, walk)).alias("path"))
 
 
 def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
-    """(part, ids array<int>) for distinct parts of text, none empty or longer than LONGEST."""
+    """(part, ids array<int>) for distinct parts of text, none empty. Parts of any length take the same lattice."""
     score = known_pieces(model)
-
-    def late(p: str) -> bool:
-        own = score[p][0]
-        return any(x in score and score[x][0] <= own for i in range(1, len(p)) for x in (p[:i], p[i:]) if len(x) > 1)
-
     place = {s: k for k, s in enumerate(sorted({s for s, _ in score.values()}, reverse=True))}
-    merges = model.fold == "merges"
-    rows = [(p, (place[s] if merges else 0) << 30 | (merges and late(p)) << 17 | i) for p, (s, i) in score.items()]
-    vocabulary = F.broadcast(parts.sparkSession.createDataFrame(rows, "piece string, code long"))  # as large as the model's file
-    graph = lattice(parts, vocabulary, max(map(len, score), default=1))
-    folded = fold_merges(graph) if merges else fold_viterbi(graph, model.scores, unknown_score(model))
-    # what stands between neighbouring bounds is a piece's edge, or a character that is none and falls back to its bytes
-    bounds = F.expr("filter(sequence(0, char_length(part)), i -> getbit(bounds, i) = 1)")
-    byte_ids = F.array(*[F.lit(i) for i in model.bytes_])
-    spans = folded.withColumn("at", bounds).withColumn("byte_ids", byte_ids)
-    spelled = "transform(filter(split(regexp_replace(hex(encode(substring(part, at[i - 1] + 1, at[i] - at[i - 1]), 'utf-8')), '(..)', '$1,'), ','), h -> h <> ''), h -> byte_ids[cast(conv(h, 16, 10) as int)])"
-    one = f"get(transform(array(get(filter(edges, x -> x.s = at[i - 1] and x.e = at[i]), 0)), x -> if(x is null, {spelled}, array(x.id))), 0)"
-    ids = F.expr(f"flatten(transform(sequence(1, size(at) - 1), i -> {one}))")
-    return spans.select("part", ids.alias("ids"))
+    merges, longest = model.fold == "merges", max(map(len, score), default=1)
+    tardy = late(score) if merges else set()
+    rows = [(p, place[s], i, p in tardy, s) for p, (s, i) in score.items()]
+    vocabulary = F.broadcast(parts.sparkSession.createDataFrame(rows, "piece string, rank long, id long, late boolean, score double"))  # as large as the model's file
+    if merges:
+        short, wide = parts.where(f"char_length(part) <= {MASK}"), parts.where(f"char_length(part) > {MASK}")
+        paths = merged_short(short, vocabulary, longest).unionByName(merged_wide(wide, vocabulary, longest))
+    else:
+        paths = best_path(parts, vocabulary, longest, unknown_score(model))
+    # a character that is no piece falls back to its bytes
+    byte_ids = "array(" + ", ".join(map(str, model.bytes_)) + ")"
+    spelled = f"transform(filter(split(regexp_replace(hex(encode(substring(part, x.s + 1, 1), 'utf-8')), '(..)', '$1,'), ','), h -> h <> ''), h -> get({byte_ids}, cast(conv(h, 16, 10) as int)))"
+    unknown = (1 << IDS) - 1
+    ids = f"if(exists(path, x -> x.id = {unknown}), flatten(transform(path, x -> if(x.id = {unknown}, {spelled}, array(x.id)))), path.id)"
+    return paths.select("part", F.expr(bound("path", "path", ids)).alias("ids"))
 
 
 def decode(ids: np.ndarray, table_: list[bytes], prefix: bool) -> str:
@@ -297,29 +313,26 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole.offsets.to_numpy().astype(np.int64), whole.values.to_numpy()
 
 
-def encoded(docs: DataFrame, model: Pieces, chars: int = B.CHARS, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
+def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
     """(doc_id, ids array<int>) for each document (doc_id, text): what SentencePiece gives under the model.
 
     Texts are cut into parts that no piece spans, and each different part is encoded once, over the lattice. The most
     frequent parts, a bounded number, are encoded first and broadcast; every other part is looked up once by each block of
-    documents, by a join. Null and empty texts have no ids. Repeated rows stay. An empty table gives no rows.
+    documents, by a join. Blocks are written once to the shared folder, and as many tasks as there are blocks take the parts.
+
+    Null and empty texts have no ids. Repeated rows stay, and so do ties: rows with one doc_id keep their own ids. An empty
+    table gives no rows. Very long texts are blocks of their own; a part of n code points that no cut divides costs in the order of
+    n squared over 64. Columns other than doc_id and text are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     cutter = Cutter(model)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    first = common_parts(docs, cutter, sample, most).repartition(spark.sparkContext.defaultParallelism, "part")
+    first = common_parts(docs, cutter, sample, most).repartition(max(1, most >> 13), "part")
     common = spark.sparkContext.broadcast(first.join(encoded_parts(first.select("part"), model), "part").orderBy(F.desc("n"), "part").select("part", "ids").toArrow())
     marked = docs.withColumns({"tag": F.lit(None).cast("string"), "mark": F.lit(0)})
-    own = B.blocks(marked, cutter.tokens, cutter.parts, None, ordered=True, chars=chars, common=lambda: _numbers(common)).repartition("block")
-    key_schema = arrow_schema(spark, "block long, keys array<string>")
-
-    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("keys")], schema=key_schema)
-
-    # blocks are dealt once: both uses read all columns of the same exchange
-    wanted = own.mapInArrow(only_keys, "block long, keys array<string>").select("block", F.posexplode("keys").alias("i", "part"))
-    answers = wanted.join(encoded_parts(wanted.select("part").distinct(), model), "part").select("block", "i", F.crc32(F.col("part").cast("binary")).alias("check"), "ids")
+    own = kept(B.blocks(marked, cutter.tokens, cutter.parts, None, ordered=True, chars=chars, common=lambda: _numbers(common)))
+    wanted = own.select("block", F.posexplode("keys").alias("i", "part")).repartition(max(1, own.count()), "part")
+    answers = wanted.join(encoded_parts(wanted.select("part").distinct(), model), "part").select("block", "i", "ids")
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
 
     def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -329,24 +342,26 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = B.CHARS, sample: int =
         start = np.concatenate([first_start[:-1], offsets[:-1][order] + len(first_flat)])
         size = np.concatenate([np.diff(first_start), np.diff(offsets)[order]])
         flat = np.concatenate([first_flat, flat])
-        sums = found.column("check").to_numpy()[order]
         out: list[pa.RecordBatch] = []
-        for row in texts.to_pylist():
-            if [zlib.crc32(k.encode()) for k in row["keys"]] != sums.tolist():
-                raise RuntimeError("a block's parts changed when it was computed again")
-            all_ids = []
-            for parts in B.documents(row["payload"], np.array(row["sizes"])):
-                n = size[parts]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(n) else 0
-                all_ids.append(flat[np.repeat(start[parts] - ends + n, n) + np.arange(total)] if total else np.zeros(0, np.int32))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), pa.int32()))
-            out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), ids], schema=arrow))
+        for row in range(texts.num_rows):
+            doc_ids, sizes, payload, n_keys = (texts.column(c)[row].as_py() for c in ("doc_ids", "sizes", "payload", "n_keys"))
+            if n_keys != len(order):
+                raise RuntimeError("a block's parts did not all come back")
+            documents = B.documents(payload, np.array(sizes))
+            for at in range(0, len(doc_ids), 256):
+                all_ids = []
+                for parts in documents[at : at + 256]:
+                    n = size[parts]
+                    ends = np.cumsum(n)
+                    total = int(ends[-1]) if len(n) else 0
+                    all_ids.append(flat[np.repeat(start[parts] - ends + n, n) + np.arange(total)] if total else np.zeros(0, np.int32))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids), pa.int32()))
+                out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 256], pa.int64()), ids], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    renamed = own.withColumnRenamed("block", "home")
-    return renamed.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    texts = own.select(F.col("block").alias("home"), "doc_ids", "sizes", "payload", F.size("keys").alias("n_keys"))
+    return texts.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, model: Pieces) -> DataFrame:

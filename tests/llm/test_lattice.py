@@ -69,12 +69,50 @@ def test_unigram_by_viterbi(spark, unigram):
     assert exact >= 0.7 * len(texts)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("thearonsi ▁\né日", max_size=80))
-def test_heap_equals_library(text):
-    sp = test_heap_equals_library.__dict__.setdefault("sp", sentencepiece.SentencePieceProcessor(model_file=PATH))
-    model = lattice.load(PATH)
-    known = test_heap_equals_library.__dict__.setdefault("known", lattice.known_pieces(model))
-    whole = lattice.SPACE + text.replace(" ", lattice.SPACE) if text else ""
-    ids = [i for s in lattice.merged(whole, known) for i in ([known[s][1]] if s in known else [model.bytes_[b] for b in s.encode()])]
-    assert ids == library(sp, text)
+def test_parts_of_any_length(spark, unigram):
+    """Both folds on the same parts, and parts beyond one mask, as the library merges them or as a loop finds the best path."""
+    rng = np.random.default_rng(3)
+    parts = {"".join(rng.choice(list("thearonsi" + lattice.SPACE), n)) for n in rng.integers(1, 62, 300)} | {lattice.SPACE * n for n in range(1, 40)}
+    known = lattice.known_pieces(lattice.load(PATH))
+    rows = [(p, k, i, p in tardy, s) for tardy in [lattice.late(known)] for p, (s, i) in known.items() for k in [int(min(-s, 1 << 20))]]
+    vocabulary = spark.createDataFrame(rows, "piece string, rank long, id long, late boolean, score double")
+    df = spark.createDataFrame([(p,) for p in parts], "part string")
+    short, wide = ({r.part: [tuple(x) for x in r.path] for r in f(df, vocabulary, 16).collect()} for f in (lattice.merged_short, lattice.merged_wide))
+    assert short == wide and len(short) == len(parts)
+    long_ = ["".join(rng.choice(list("thearonsi"), n)) for n in (63, 64, 65, 127, 130, 700, 3000)] + ["th" * 400, "a" * 1000, "the" * 100]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = spark.createDataFrame([(i, p) for i, p in enumerate(long_)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in lattice.encoded(texts, lattice.load(PATH), most=1).collect()}
+    assert got == {i: sp.encode(p) for i, p in enumerate(long_)}
+    model = lattice.read_model(unigram)
+    known, unknown = lattice.known_pieces(model), lattice.unknown_score(model)
+
+    def best(part):
+        score = [0.0]
+        for j in range(1, len(part) + 1):
+            score.append(max([score[i] + known[part[i:j]][0] for i in range(max(0, j - 16), j) if part[i:j] in known] + [score[j - 1] + unknown] * (part[j - 1] not in known)))
+        return score[-1]
+
+    for r in lattice.encoded_parts(spark.createDataFrame([(p,) for p in long_], "part string"), model).collect():
+        assert abs(sum(model.scores[i] for i in r.ids) - best(r.part)) < 1e-6 and "".join(model.pieces[i] for i in r.ids) == r.part
+
+
+def test_too_large_a_model_is_refused(monkeypatch):
+    monkeypatch.setattr(lattice, "LONG", 8)
+    with pytest.raises(ValueError, match="at most"):
+        lattice.read_model(open(PATH, "rb").read())
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    df = spark.createDataFrame([(1, "one two", "p", 9), (1, "one two", "p", 9), (1, "three", "q", 8), (None, "four", None, None)], "doc_id long, text string, part string, block int")
+    got = sorted(((r.doc_id, r.ids) for r in lattice.encoded(df, lattice.load(PATH)).collect()), key=repr)
+    assert got == sorted([(1, sp.encode("one two"))] * 2 + [(1, sp.encode("three")), (None, sp.encode("four"))], key=repr)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text("thearonsi ▁\né日", max_size=80), min_size=1, max_size=40))
+def test_merges_equal_library(spark, texts):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in lattice.encoded(df, lattice.load(PATH), most=1).collect()} == {i: library(sp, t) for i, t in enumerate(texts)}
