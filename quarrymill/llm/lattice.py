@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import blocks as B
-from quarrymill.llm.base import arrow_schema, kept, table
+from quarrymill.llm.base import arrow_schema, table
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -25,8 +27,9 @@ MASK = 62
 IDS, LONG = 24, 1024
 #: Documents in the sample whose most frequent parts are broadcast with their ids, and how many of these there are.
 SAMPLE, COMMON = 20_000, 1 << 17
-#: Code points of text in a block.
-CHARS = 4 << 20
+#: Code points of text in a block, but for a block of a single longer text; words of common parts that a task remembers; answers packed at once.
+CHARS, WORDS_KEPT, PACKED = 8 << 20, 150_000, 200_000
+BLOCK = "block long, doc_ids array<long>, sizes array<long>, payload binary, lexicon binary, keys array<string>"
 
 
 class Pieces(NamedTuple):
@@ -118,13 +121,9 @@ class Cutter:
         return WORDS.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
     def parts(self, token: str) -> list[str]:
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(token)):
-            if token[i - 1 : i + 1] not in pairs:
-                out.append(token[start:i])
-                start = i
-        out.append(token[start:])
-        return out
+        pairs = self.pairs
+        cuts = [i for i, two in enumerate(map(add, token, token[1:]), 1) if two not in pairs]
+        return [token[a:b] for a, b in zip([0, *cuts], [*cuts, len(token)])] if cuts else [token]
 
 
 def late(known: dict[str, tuple[float, int]]) -> set[str]:
@@ -269,9 +268,8 @@ def byte_table(model: Pieces) -> list[bytes]:
     return out
 
 
-def common_parts(docs: DataFrame, cutter: Cutter, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
-    """(part, n): the most frequent parts of about `sample` documents chosen by a hash of their id (all, if there are fewer)."""
-    n = docs.count()
+def common_parts(docs: DataFrame, cutter: Cutter, n: int, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
+    """(part, n): the most frequent parts of about `sample` documents of n chosen by a hash of their id (all, if there are fewer)."""
     some = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(max(1, n))) < sample).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +311,133 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole.offsets.to_numpy().astype(np.int64), whole.values.to_numpy()
 
 
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**32, bytes of equal weight together."""
+    sizes = np.array([len(columns), *map(len, columns)], "<u4").tobytes()
+    return sizes + zstandard.compress(b"".join(np.asarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 3)
+
+
+def _opened(data: bytes) -> list[np.ndarray]:
+    k = int.from_bytes(data[:4], "little")
+    sizes = np.frombuffer(data, "<u4", k, 4).astype(np.int64)
+    raw, at, out = zstandard.decompress(data[4 + 4 * k :]), 0, []
+    for n in sizes.tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of a flat array that `which` names, one after the other."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[which] - ends + n, n) + np.arange(int(ends[-1]))] if len(n) and ends[-1] else flat[:0]
+
+
+def _check(keys: list[str]) -> int:
+    """A sum over keys and their places, so that a block that came out otherwise when a lost task ran again is noticed."""
+    return sum((i + 1) * zlib.crc32(k.encode()) for i, k in enumerate(keys)) & ((1 << 62) - 1)
+
+
+class Words(dict):
+    """A block's words to their numbers, as bytes, in order of their first occurrence, with their parts' numbers: those of common
+    parts first, then the block's own."""
+
+    def __init__(self, cutter: Cutter, common: dict[str, int], fixed: dict[str, list[int]]):
+        self.cutter, self.common, self.fixed = cutter, common, fixed
+        self.own: dict[str, int] = {}
+        self.parts: list[int] = []
+        self.sizes: list[int] = []
+
+    def __missing__(self, word: str) -> bytes:
+        numbers = self.fixed.get(word)
+        if numbers is None:
+            common, own, first = self.common, self.own, len(self.common)
+            parts = self.cutter.parts(word)
+            numbers = [common.get(p, -1) for p in parts]
+            if -1 in numbers:
+                numbers = [first + own.setdefault(p, len(own)) if n < 0 else n for p, n in zip(parts, numbers)]
+            else:
+                if len(self.fixed) >= WORDS_KEPT:
+                    self.fixed.clear()
+                self.fixed[word] = numbers
+        data = len(self).to_bytes(4, "little")
+        self.parts += numbers
+        self.sizes.append(len(numbers))
+        self[word] = data
+        return data
+
+
+def word_blocks(docs: DataFrame, cutter: Cutter, common: Broadcast, chars: int) -> DataFrame:
+    """Documents (doc_id, text) in blocks of bounded size: their words by number, the words' parts, and as keys the parts that are
+    not common, each once a block. A block's number tells the task and its order there."""
+    arrow = arrow_schema(docs.sparkSession, BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done, numbers, fixed = TaskContext.get().partitionId() << 32, 0, _numbers(common), {}
+        words, held = Words(cutter, numbers, fixed), 0
+        ids: list[int | None] = []
+        rows: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            nonlocal words, held, ids, rows, done
+            sizes = [len(r) // 4 for r in rows]
+            out = [first + done, ids, sizes, _squeezed(np.frombuffer(b"".join(rows), "<u4")), _squeezed(np.array(words.sizes), np.array(words.parts)), list(words.own)]
+            words, held, ids, rows, done = Words(cutter, numbers, fixed), 0, [], [], done + 1
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = text or ""
+                if ids and held + len(text) > chars:
+                    yield block()
+                rows.append(b"".join(map(words.__getitem__, cutter.tokens(text))))
+                ids.append(doc)
+                held += len(text)
+        if ids:
+            yield block()
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+def packed_answers(answers: DataFrame) -> DataFrame:
+    """(block, n, sum, packed) for rows (block, i, crc, ids): a few rows a task and block, of a fraction of the size."""
+    schema = "block long, n long, sum long, packed binary"
+    arrow = arrow_schema(answers.sparkSession, schema)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, i, crc = (np.concatenate([b.column(c).to_numpy() for b in held]).astype(np.int64) for c in ("block", "i", "crc"))
+        offsets, flat = _flat(pa.chunked_array([b.column("ids") for b in held]))
+        order = np.lexsort((i, block))
+        names, at = np.unique(block[order], return_index=True)
+        rows = []
+        for name, a, z in zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(order)]):
+            own = order[a:z]
+            size = np.diff(offsets)
+            total = sum((x + 1) * y for x, y in zip(i[own].tolist(), crc[own].tolist())) & ((1 << 62) - 1)
+            rows.append((name, len(own), total, _squeezed(i[own], size[own], _gathered(flat, offsets[:-1], size, own))))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return answers.select("block", "i", "crc", "ids").mapInArrow(run, schema)
+
+
 def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
     """(doc_id, ids array<int>) for each document (doc_id, text): what SentencePiece gives under the model.
 
     Texts are cut into parts that no piece spans, and each different part is encoded once, over the lattice. The most
     frequent parts, a bounded number, are encoded first and broadcast; every other part is looked up once by each block of
-    documents, by a join. Blocks are written once to the shared folder, and as many tasks as there are blocks take the parts.
+    documents, by a join, so words of texts are never shuffled, only dictionaries and numbers.
 
     Null and empty texts have no ids. Repeated rows stay, and so do ties: rows with one doc_id keep their own ids. An empty
     table gives no rows. Very long texts are blocks of their own; a part of n code points that no cut divides costs in the order of
@@ -327,41 +446,50 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
     spark = docs.sparkSession
     cutter = Cutter(model)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    first = common_parts(docs, cutter, sample, most).repartition(max(1, most >> 13), "part")
+    n, size = docs.agg(F.count("*"), F.sum(F.char_length("text"))).first()
+    first = common_parts(docs, cutter, n, sample, most).repartition(max(1, most >> 13), "part")
     common = spark.sparkContext.broadcast(first.join(encoded_parts(first.select("part"), model), "part").orderBy(F.desc("n"), "part").select("part", "ids").toArrow())
-    marked = docs.withColumns({"tag": F.lit(None).cast("string"), "mark": F.lit(0)})
-    own = kept(B.blocks(marked, cutter.tokens, cutter.parts, None, ordered=True, chars=chars, common=lambda: _numbers(common)))
-    wanted = own.select("block", F.posexplode("keys").alias("i", "part")).repartition(max(1, own.count()), "part")
-    answers = wanted.join(encoded_parts(wanted.select("part").distinct(), model), "part").select("block", "i", "ids")
+    own = word_blocks(docs, cutter, common, chars).repartition("block")
+    key_schema = arrow_schema(spark, "block long, keys array<string>")
+
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("keys")], schema=key_schema)
+
+    # blocks are dealt once: both uses read all columns of the same exchange. Parts are dealt for about 20,000 of them a task
+    wanted = own.mapInArrow(only_keys, "block long, keys array<string>").select("block", F.posexplode("keys").alias("i", "part")).repartition(1 + (size or 0) // (4 << 20), "part")
+    ids = encoded_parts(wanted.select("part").distinct(), model).hint("shuffle_hash")
+    answers = packed_answers(wanted.join(ids, "part").withColumn("crc", F.crc32(F.col("part").cast("binary"))))
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
 
     def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
-        first_start, first_flat = _flat(common.value.column("ids"))
-        order = np.argsort(found.column("i").to_numpy())
-        offsets, flat = _flat(found.column("ids"))
-        start = np.concatenate([first_start[:-1], offsets[:-1][order] + len(first_flat)])
-        size = np.concatenate([np.diff(first_start), np.diff(offsets)[order]])
-        flat = np.concatenate([first_flat, flat])
+        offsets, first_flat = _flat(common.value.column("ids"))
         out: list[pa.RecordBatch] = []
         for row in range(texts.num_rows):
-            doc_ids, sizes, payload, n_keys = (texts.column(c)[row].as_py() for c in ("doc_ids", "sizes", "payload", "n_keys"))
-            if n_keys != len(order):
-                raise RuntimeError("a block's parts did not all come back")
-            documents = B.documents(payload, np.array(sizes))
-            for at in range(0, len(doc_ids), 256):
-                all_ids = []
-                for parts in documents[at : at + 256]:
-                    n = size[parts]
-                    ends = np.cumsum(n)
-                    total = int(ends[-1]) if len(n) else 0
-                    all_ids.append(flat[np.repeat(start[parts] - ends + n, n) + np.arange(total)] if total else np.zeros(0, np.int32))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids), pa.int32()))
-                out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 256], pa.int64()), ids], schema=arrow))
+            doc_ids, sizes, payload, lexicon, keys = (texts.column(c)[row].as_py() for c in ("doc_ids", "sizes", "payload", "lexicon", "keys"))
+            if sum(found.column("n").to_pylist()) != len(keys) or sum(found.column("sum").to_pylist()) & ((1 << 62) - 1) != _check(keys):
+                raise RuntimeError("a block's parts changed when it was computed again")
+            answers_ = [_opened(x) for x in found.column("packed").to_pylist()]
+            i, size_, flat = (np.concatenate([a[k] for a in answers_]).astype(np.int64) if answers_ else np.zeros(0, np.int64) for k in range(3))
+            order = np.argsort(i)
+            # ids of the common parts, then of the block's own; of its words; of its documents
+            part_start = np.concatenate([offsets[:-1], (np.cumsum(size_) - size_)[order] + len(first_flat)])
+            part_size = np.concatenate([np.diff(offsets), size_[order]])
+            per_word, parts = _opened(lexicon)
+            ends = np.concatenate([[0], np.cumsum(part_size[parts])])[np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])]
+            word_flat = _gathered(np.concatenate([first_flat, flat.astype(np.int32)]), part_start, part_size, parts)
+            number = _opened(payload)[0]
+            at = 0
+            for k in range(0, len(doc_ids), 256):
+                bounds = np.concatenate([[0], np.cumsum(sizes[k : k + 256])]).astype(np.int64)
+                words = number[at : at + bounds[-1]]
+                at += int(bounds[-1])
+                flat_ids = _gathered(word_flat, ends[:-1], np.diff(ends), words)
+                upto = np.concatenate([[0], np.cumsum(np.diff(ends)[words])])[bounds].astype(np.int32)
+                out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[k : k + 256], pa.int64()), pa.ListArray.from_arrays(pa.array(upto), pa.array(flat_ids, pa.int32()))], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    texts = own.select(F.col("block").alias("home"), "doc_ids", "sizes", "payload", F.size("keys").alias("n_keys"))
-    return texts.groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    return own.withColumnRenamed("block", "home").groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, model: Pieces) -> DataFrame:
