@@ -61,6 +61,17 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def released() -> None:
+    """Gives memory that is free back to the machine: Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def seeded(seed: int, *columns: str) -> F.Column:
     """A hash that looks random: equal inputs and seeds give equal values wherever and however often a task runs."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])

@@ -7,7 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from operator import add
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.base import arrow_schema, table
+from quarrymill.llm.base import arrow_schema, released, table
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -27,8 +27,8 @@ MASK = 62
 IDS, LONG = 24, 1024
 #: Documents in the sample whose most frequent parts are broadcast with their ids, and how many of these there are.
 SAMPLE, COMMON = 20_000, 1 << 17
-#: Code points of text in a block, but for a block of a single longer text; words of common parts that a task remembers; answers packed at once.
-CHARS, WORDS_KEPT, PACKED = 8 << 20, 150_000, 200_000
+#: Code points of text in a block, but for a block of a single longer text; answers packed at once.
+CHARS, PACKED = 6 << 20, 200_000
 BLOCK = "block long, doc_ids array<long>, sizes array<long>, payload binary, lexicon binary, keys array<string>"
 
 
@@ -110,9 +110,17 @@ def unknown_score(model: Pieces) -> float:
 class Cutter:
     """Cuts text where no piece can span: between two neighbours that stand beside each other in no piece."""
 
+    #: Code points whose pairs are looked up in a table; surrogates, which no text has, between words and parts.
+    NEAR, WORD, PART = 1024, 0xD800, 0xD801
+
     def __init__(self, model: Pieces):
         self.known, self.prefix = known_pieces(model), model.prefix
-        self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
+        pairs = {(ord(p[i]), ord(p[i + 1])) for p in self.known for i in range(len(p) - 1)}
+        self.table = np.zeros((self.NEAR, self.NEAR), bool)
+        for a, b in pairs:
+            if max(a, b) < self.NEAR:
+                self.table[a, b] = True
+        self.pairs = np.array(sorted(a << 32 | b for a, b in pairs), np.int64)
 
     def tokens(self, text: str) -> list[str]:
         """Runs of spaces with what follows them, the space written as its sign; no piece has a space after anything else."""
@@ -120,10 +128,25 @@ class Cutter:
             return []
         return WORDS.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
-    def parts(self, token: str) -> list[str]:
-        pairs = self.pairs
-        cuts = [i for i, two in enumerate(map(add, token, token[1:]), 1) if two not in pairs]
-        return [token[a:b] for a, b in zip([0, *cuts], [*cuts, len(token)])] if cuts else [token]
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of some words, none empty, one after the other, and how many each word has."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        code = np.frombuffer(chr(self.WORD).join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        a, b = code[:-1], code[1:]
+        small = (a < self.NEAR) & (b < self.NEAR)
+        together = np.zeros(len(a), bool)
+        together[small] = self.table[a[small], b[small]]
+        if len(self.pairs) and not small.all():
+            both = a[~small].astype(np.int64) << 32 | b[~small]
+            together[~small] = self.pairs[np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)] == both
+        words_end = code == self.WORD
+        cut = ~together & ~words_end[:-1] & ~words_end[1:]
+        marked = np.insert(code, np.nonzero(cut)[0] + 1, self.PART)
+        ends = marked == self.WORD
+        size = np.diff(np.concatenate([[0], np.cumsum(marked == self.PART)[ends], [int(cut.sum())]])) + 1
+        marked[ends] = self.PART
+        return marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(self.PART)), size
 
 
 def late(known: dict[str, tuple[float, int]]) -> set[str]:
@@ -277,18 +300,19 @@ def common_parts(docs: DataFrame, cutter: Cutter, n: int, sample: int = SAMPLE,
 
         def out() -> pa.RecordBatch:
             parts: Counter[str] = Counter()
-            for w, times in words.items():
-                for p in cutter.parts(w):
-                    parts[p] += times
+            found, size = cutter.parts(list(words))
+            for p, times in zip(found, np.repeat(np.fromiter(words.values(), np.int64, len(words)), size).tolist()):
+                parts[p] += times
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.string()), pa.array(parts.values(), pa.int64())], ["part", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 words.update(cutter.tokens(text or ""))
-                if len(words) > 200_000:
+                if len(words) > 100_000:
                     yield out()
         yield out()
+        released()
 
     counted = some.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
     return counted.orderBy(F.desc("n"), "part").limit(most)
@@ -343,29 +367,24 @@ class Words(dict):
     """A block's words to their numbers, as bytes, in order of their first occurrence, with their parts' numbers: those of common
     parts first, then the block's own."""
 
-    def __init__(self, cutter: Cutter, common: dict[str, int], fixed: dict[str, list[int]]):
-        self.cutter, self.common, self.fixed = cutter, common, fixed
+    def __init__(self, cutter: Cutter, common: dict[str, int]):
+        self.cutter, self.common = cutter, common
         self.own: dict[str, int] = {}
-        self.parts: list[int] = []
-        self.sizes: list[int] = []
-
-    def __missing__(self, word: str) -> bytes:
-        numbers = self.fixed.get(word)
-        if numbers is None:
-            common, own, first = self.common, self.own, len(self.common)
-            parts = self.cutter.parts(word)
-            numbers = [common.get(p, -1) for p in parts]
-            if -1 in numbers:
-                numbers = [first + own.setdefault(p, len(own)) if n < 0 else n for p, n in zip(parts, numbers)]
-            else:
-                if len(self.fixed) >= WORDS_KEPT:
-                    self.fixed.clear()
-                self.fixed[word] = numbers
-        data = len(self).to_bytes(4, "little")
-        self.parts += numbers
-        self.sizes.append(len(numbers))
-        self[word] = data
-        return data
+        self.numbers: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Takes in the new words of some texts."""
+        new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self]
+        parts, size = self.cutter.parts(new)
+        numbers = list(map(self.common.get, parts))
+        first, own = len(self.common), self.own
+        for i in [i for i, n in enumerate(numbers) if n is None]:
+            numbers[i] = first + own.setdefault(parts[i], len(own))
+        at = np.arange(len(self), len(self) + len(new), dtype="<u4").tobytes()
+        self.update(zip(new, [at[i : i + 4] for i in range(0, len(at), 4)]))
+        self.numbers.append(np.array(numbers, "<u4"))
+        self.sizes.append(size.astype("<u4"))
 
 
 def word_blocks(docs: DataFrame, cutter: Cutter, common: Broadcast, chars: int) -> DataFrame:
@@ -374,28 +393,46 @@ def word_blocks(docs: DataFrame, cutter: Cutter, common: Broadcast, chars: int)
     arrow = arrow_schema(docs.sparkSession, BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, done, numbers, fixed = TaskContext.get().partitionId() << 32, 0, _numbers(common), {}
-        words, held = Words(cutter, numbers, fixed), 0
+        first, done, numbers = TaskContext.get().partitionId() << 32, 0, _numbers(common)
+        words, held = Words(cutter, numbers), 0
         ids: list[int | None] = []
         rows: list[bytes] = []
+        waiting: list[tuple[int | None, list[str]]] = []
+
+        def taken() -> None:
+            words.learn([tokens for _, tokens in waiting])
+            for doc, tokens in waiting:
+                ids.append(doc)
+                rows.append(b"".join(map(words.__getitem__, tokens)))
+            waiting.clear()
 
         def block() -> pa.RecordBatch:
-            nonlocal words, held, ids, rows, done
+            nonlocal words, held
             sizes = [len(r) // 4 for r in rows]
-            out = [first + done, ids, sizes, _squeezed(np.frombuffer(b"".join(rows), "<u4")), _squeezed(np.array(words.sizes), np.array(words.parts)), list(words.own)]
-            words, held, ids, rows, done = Words(cutter, numbers, fixed), 0, [], [], done + 1
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(out, arrow)], schema=arrow)
-
+            out = [first + done, ids, sizes, _squeezed(np.frombuffer(b"".join(rows), "<u4")), _squeezed(np.concatenate(words.sizes), np.concatenate(words.numbers)), list(words.own)]
+            row = pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(out, arrow)], schema=arrow)
+            words, held = Words(cutter, numbers), 0
+            ids.clear()
+            rows.clear()
+            return row
+
+        fresh = 0
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = text or ""
-                if ids and held + len(text) > chars:
+                if (ids or waiting) and held + len(text) > chars:
+                    taken()
                     yield block()
-                rows.append(b"".join(map(words.__getitem__, cutter.tokens(text))))
-                ids.append(doc)
-                held += len(text)
-        if ids:
+                    done, fresh = done + 1, 0
+                waiting.append((doc, cutter.tokens(text)))
+                held, fresh = held + len(text), fresh + len(text)
+                if fresh > 1 << 20:
+                    taken()
+                    fresh = 0
+        if ids or waiting:
+            taken()
             yield block()
+        released()
 
     return docs.mapInArrow(run, BLOCK)
 
@@ -428,6 +465,7 @@ def packed_answers(answers: DataFrame) -> DataFrame:
                 held, n = [], 0
         if n:
             yield packed(held)
+        released()
 
     return answers.select("block", "i", "crc", "ids").mapInArrow(run, schema)
 
@@ -487,6 +525,7 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
                 flat_ids = _gathered(word_flat, ends[:-1], np.diff(ends), words)
                 upto = np.concatenate([[0], np.cumsum(np.diff(ends)[words])])[bounds].astype(np.int32)
                 out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[k : k + 256], pa.int64()), pa.ListArray.from_arrays(pa.array(upto), pa.array(flat_ids, pa.int32()))], schema=arrow))
+        released()
         return pa.Table.from_batches(out, schema=arrow)
 
     return own.withColumnRenamed("block", "home").groupBy("home").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
