@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.base import cut
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The Wilson interval of a proportion; nulls for n = 0."""
@@ -34,24 +38,44 @@ def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Col
     return z, erfc(F.abs(z) / (2**0.5))
 
 
-def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided McNemar, 1 if nothing is discordant. The binomial tail is summed from its largest term down, each
-    term by its ratio to the next, over logarithms of factorials added up once: no factorial or power overflows."""
-    n, low = (b + c).cast("int"), F.least(b, c).cast("int")
+def log_factorial(m: Column) -> Column:
+    """ln m!, by Stirling's series; by adding up below 20."""
+    x = m.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(m.cast("int"), F.lit(1)), F.lit(20))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    return F.when(m < 20, few).otherwise(series)
 
-    def log_sum(m: Column) -> Column:
-        return F.when(m < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))))
 
-    first = log_sum(n) - log_sum(low) - log_sum(n - low) - n * F.log(F.lit(2.0))
+def mcnemar(b: Column, c: Column) -> Column:
+    """Exact two-sided McNemar, 1 if nothing is discordant. The binomial tail is summed from its largest term down, each
+    term by its ratio to the next, until terms no longer count: their number grows with the root of the discordant pairs."""
+    n, low = (b + c).cast("bigint"), F.least(b, c).cast("bigint")
+    first = log_factorial(n) - log_factorial(low) - log_factorial(n - low) - n * math.log(2.0)
+    terms = F.least(low, (20 * F.sqrt(n.cast("double")) + 50).cast("bigint"))
     tail = F.aggregate(
-        F.when(low > 0, F.reverse(F.sequence(F.lit(1), F.greatest(low, F.lit(1))))).otherwise(F.array().cast("array<int>")),
+        F.when(terms > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(terms - 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>")),
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda a, i: F.struct((a["term"] * i / (n - i + 1)).alias("term"), (a["total"] + a["term"] * i / (n - i + 1)).alias("total")),
+        lambda a, k: F.struct((a["term"] * (low - k) / (n - low + k + 1)).alias("term"), (a["total"] + a["term"] * (low - k) / (n - low + k + 1)).alias("total")),
         lambda a: a["total"],
     )
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(first) * tail))
 
 
+def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the exact middle value, or the mean of the two middle ones. Equal values are counted before the shuffle and
+    dealt by ranges, so no group is ever in one task. Null values don't count."""
+    from quarrymill.operators.split import cumulated
+
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = cut(cumulated(counted, ["_g", "_v"], "_c"))
+    groups = ranked.groupBy("_g").agg(F.min("before").alias("_start"), F.sum("_c").alias("_n"))
+    own = ranked.join(groups.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_b", F.col("before") - F.col("_start"))
+    holds = lambda k: (F.col("_b") <= k) & (k < F.col("_b") + F.col("_c"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = own.where(holds(low) | holds(high)).groupBy("_g").agg(F.avg("_v").alias("median"))
+    return middle.withColumnRenamed("_g", by)
+
+
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """1 - C(n-c, k) / C(n, k) as a product; null if there are fewer than k samples."""
     steps = F.sequence((n - c + 1).cast("int"), F.greatest(n, n - c + 1).cast("int"))

@@ -53,11 +53,12 @@ def strict_fence(c: Column | str, tag: str) -> Column:
 
 
 def extract_code(c: Column | str, tag: str) -> Column:
-    """After the first fence with the tag, up to the next; else between first and last fence, its tag included; else all. Trimmed."""
+    """After the first fence with the tag, up to the next; else what stands between the first and the last fence, after the
+    first if there is no other; else all. Trimmed."""
     text, mark = _c(c), f"```{tag}"
-    tagged = F.element_at(F.split(text, mark, 2), -1)
-    between = F.when(text.rlike(r"(?s)```.*```"), F.regexp_extract(text, r"(?s)```(.*)```", 1))
-    return ws_trim(F.when(text.contains(mark), F.substring_index(tagged, "```", 1)).otherwise(F.coalesce(between, text)))
+    tagged, rest = F.element_at(F.split(text, mark, 2), -1), F.element_at(F.split(text, "```", 2), -1)
+    between = F.when(rest.contains("```"), F.regexp_extract(rest, r"(?s)\A(.*)```", 1)).otherwise(rest)
+    return ws_trim(F.when(text.contains(mark), F.substring_index(tagged, "```", 1)).when(text.contains("```"), between).otherwise(text))
 
 
 def ws_trim(c: Column) -> Column:
@@ -107,17 +108,18 @@ def tier(status: Column) -> Column:
     return F.when(status.contains("floor"), "floor").when(status.contains("idiom"), "idiomatic").otherwise("cleaned")
 
 
-def error_signature(c: Column | str, width: int = 70) -> Column:
-    """Quoted words as one mark, return types cut short, at most `width` characters."""
-    quoted = F.regexp_replace(_c(c), r"'[^']*'|\"[^\"]*\"", "X")
-    return F.substring(F.regexp_replace(quoted, r"return type .*", "return type ..."), 1, width)
+def error_signature(c: Column | str, width: int = 80) -> Column:
+    """What stands in single quotes (two characters or more) as 'x', what stands between `return type` and the line's last
+    `but` as T, at most `width` characters."""
+    quoted = F.regexp_replace(_c(c), "'[^']{2,}'", "'x'")
+    return F.substring(F.regexp_replace(quoted, "(?d)return type .* but", "return type T but"), 1, width)
 
 
 def first_error(c: Column | str, width: int = 120) -> Column:
-    """The first line that names an error, else the last line of the output."""
-    found = F.regexp_extract(_c(c), r"(?i)(error[^\n]*)", 1)
-    last = F.element_at(F.split(ws_trim(_c(c)), "\n"), -1)
-    return F.substring(F.when(found != "", found).otherwise(last), 1, width)
+    """`E1: message` of the first error[E1]: message, else the last line of the output, cut to `width`; empty of an empty one."""
+    found = F.regexp_extract(_c(c), r"(error\[(E\p{Nd}+)\]: ([^\n]*))", 1)
+    last = F.regexp_extract(ws_trim(_c(c)), r"([^\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]*)\z", 1)
+    return F.when(found != "", F.regexp_replace(found, r"(?s)\Aerror\[(E\p{Nd}+)\]", "$1")).otherwise(F.substring(last, 1, width))
 
 
 def regex_sum(c: Column | str, pattern: str) -> Column:
@@ -126,9 +128,21 @@ def regex_sum(c: Column | str, pattern: str) -> Column:
 
 
 def format_flags(c: Column | str) -> dict[str, Column]:
-    """How an answer is written."""
+    """How an answer is written: fenced, fenced as Python, with a signature of its own, with a braced definition, with `func`."""
     text = _c(c)
-    return {"fenced": text.contains("```"), "python_fence": text.contains("```python"), "braced_def": text.rlike(r"(?m)^\s*def\s+\w+\s*\([^)]*\)[^\n{]*\{"), "func_keyword": text.rlike(r"(?m)^\s*func\s")}
+    # fixed values: what each flag looks for
+    patterns = {"python_fence": r"```(python|py)\b", "signature": r"\bdef \w+\(", "braced_def": r"\bdef \w+\(.*\)\s*(->[^{]*)?\{", "func_keyword": r"\bfunc \w+"}
+    return {"fenced": text.contains("```")} | {name: text.rlike(f"(?Ud){p}") for name, p in patterns.items()}
+
+
+def prefixed_id(prefix: str, id_: Column) -> Column:
+    """An id under a prefix."""
+    return F.concat(F.lit(prefix), id_.cast("string"))
+
+
+def json_get(c: Column | str, *path: str) -> Column:
+    """What stands at a path of keys in a JSON text, as text; null where any step is missing, not an object, or null."""
+    return F.get_json_object(c, "$" + "".join(f"['{k}']" for k in path))
 
 
 def schema_bullets(c: Column | str) -> Column:

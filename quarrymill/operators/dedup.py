@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def keep_first(df: DataFrame, key: Column, order: list[Column], losers: bool = False) -> DataFrame:
-    """The first row of each key in the given order (or all others). One shuffle by key."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("_rank > 1" if losers else "_rank = 1").drop("_rank")
+from quarrymill.base import cut as _cut
 
 
-def min_per_key(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """E1 for hot keys: the first row's order by key, aggregated before the shuffle."""
-    return df.groupBy(key.alias("key")).agg(F.min(F.struct(*order)).alias("first"))
+def keep_first(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
+    """The first row of each key in the given order, folded before the shuffle, so a key with a third of all rows is a row a task."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*named).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_first")).select("_first.*")
 
 
-def greedy_two_keys(df: DataFrame, order: str, a: str, b: str, rounds: int = 1000) -> DataFrame:
+def greedy_two_keys(df: DataFrame, order: str, a: str, b: str) -> DataFrame:
     """Rows kept by going through all in order and dropping whoever shares either key with a row kept before.
 
     Not two stacked keep-firsts: a row dropped for one key must not block others by its second. Solved in parallel rounds: of
@@ -26,25 +25,16 @@ def greedy_two_keys(df: DataFrame, order: str, a: str, b: str, rounds: int = 100
     Nulls are keys like others; `order` must be unique.
     """
     todo = df.select(F.col(order).alias("o"), F.coalesce(F.col(a).cast("string"), F.lit("\x00")).alias("a"), F.coalesce(F.col(b).cast("string"), F.lit("\x00")).alias("b"))
-    kept = None
-    for _ in range(rounds):
+    kept: list[DataFrame] = []
+    while True:
         first_a, first_b = (todo.groupBy(k).agg(F.min("o").alias(f"m{k}")) for k in ("a", "b"))
-        now = todo.join(first_a, "a").join(first_b, "b").where("o = ma and o = mb").select("o", "a", "b")
-        now = _cut(now)
-        kept = now.select("o") if kept is None else kept.unionByName(now.select("o"))
+        now = _cut(todo.join(first_a, "a").join(first_b, "b").where("o = ma and o = mb").select("o", "a", "b"))
+        kept.append(now.select("o"))
+        if len(kept) == 16:  # else the plan would grow with the rounds
+            kept = [_cut(reduce(DataFrame.unionByName, kept))]
         todo = _cut(todo.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"))
         if todo.isEmpty():
-            return df.join(kept.withColumnRenamed("o", order), order, "left_semi")
-    raise RuntimeError("undecided rows are left")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrymill-"))
-    return df.checkpoint()
+            return df.join(reduce(DataFrame.unionByName, kept).withColumnRenamed("o", order), order, "left_semi")
 
 
 def shingles(words: Column, k: int) -> Column:
@@ -53,14 +43,16 @@ def shingles(words: Column, k: int) -> Column:
     return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, k), " "))).otherwise(F.array().cast("array<string>")))
 
 
-def contamination(docs: DataFrame, held: DataFrame, k: int = 14) -> DataFrame:
+def contamination(docs: DataFrame, held: DataFrame, k: int = 14, broadcast: int = 1_000_000) -> DataFrame:
     """E6 (from prose): (doc_id, shared, total) for documents that share k-word shingles with held-out texts.
 
-    docs: (doc_id, words); held: (words). Held-out shingles come first and once each, so a shared passage never makes pairs;
-    rows of documents are counted where they are, before any shuffle by document.
+    docs: (doc_id unique, words); held: (words). Held-out shingles come first and once each, so a shared passage never makes pairs.
+    A shingle is a 64-bit hash while it is looked for; hits are then compared as text. Where held-out shingles are few, by
+    count, they are broadcast, and documents are neither exploded into a shuffle nor built twice; else they meet in a join by hash.
     """
-    keys = held.select(F.explode(shingles(F.col("words"), k)).alias("s")).distinct()
-    own = docs.select("doc_id", F.explode(shingles(F.col("words"), k)).alias("s"))
-    total = docs.select("doc_id", F.size(shingles(F.col("words"), k)).alias("total"))
-    hits = own.join(keys, "s", "left_semi").groupBy("doc_id").agg(F.count("*").cast("int").alias("shared"))
-    return hits.join(total, "doc_id")
+    hashed = lambda words: F.transform(shingles(words, k), lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))
+    keys = _cut(held.select(F.explode(hashed(F.col("words"))).alias("x")).select(F.col("x.h").alias("hh"), F.col("x.s").alias("hs")).distinct())
+    small = keys.count() <= broadcast
+    own = docs.select("doc_id", hashed(F.col("words")).alias("x")).select("doc_id", F.size("x").alias("total"), F.explode("x").alias("x"))
+    hits = own.join(F.broadcast(keys) if small else keys, (F.col("x.h") == F.col("hh")) & (F.col("x.s") == F.col("hs")))
+    return hits.groupBy("doc_id").agg(F.count("*").cast("int").alias("shared"), F.first("total").alias("total"))

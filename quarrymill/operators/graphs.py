@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.dedup import _cut
+from quarrymill.base import cut as _cut
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -20,19 +22,49 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return rank
 
 
-def layers(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for each node of `links` (u long, v long), root the least node reachable.
+
+    Alternating large-star and small-star steps; each costs two aggregates and a join on the node, whose hot keys Spark's
+    skew join splits. The number of rounds grows with the logarithm of the longest path; the driver sees a count and a hash a
+    round. Self links and repeated links do no harm; no links give no rows.
+    """
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+    links = _cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    for _ in range(rounds):
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        small = large.join(nearest(large), "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        links = _cut(small.where("u <> v").distinct())
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """L8 (from prose): (node, layer): a node's layer is one more than its deepest dependency's (edges: node, needs). Nodes on a
-    circle, or behind one, have layer -1. A dependency that is no node is ignored."""
+    circle, or behind one, have layer -1. A dependency that is no node is ignored. As many rounds as there are layers."""
     todo = nodes.select("node").distinct()
     left = edges.join(todo.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node", "needs").where("node is not null").distinct()
-    todo, left, done = _cut(todo), _cut(left), None
-    for layer in range(rounds):
+    todo, left, done, layer = _cut(todo), _cut(left), [], 0
+    while True:
         free = _cut(todo.join(left.select("node"), "node", "left_anti"))
         if free.isEmpty():
             break
-        now = free.withColumn("layer", F.lit(layer))
-        done = now if done is None else done.unionByName(now)
+        done.append(free.withColumn("layer", F.lit(layer)))
+        if len(done) == 16:  # else the plan would grow with the layers
+            done = [_cut(reduce(DataFrame.unionByName, done))]
         todo = _cut(todo.join(free, "node", "left_anti"))
         left = _cut(left.join(free.withColumnRenamed("node", "needs"), "needs", "left_anti"))
-    rest = todo.withColumn("layer", F.lit(-1))
-    return rest if done is None else done.unionByName(rest)
+        layer += 1
+    return reduce(DataFrame.unionByName, [*done, todo.withColumn("layer", F.lit(-1))])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.operators.split import draw
+
 
 def lookup(key: Column, mapping: dict[str, str], what: str) -> Column:
     """A key's value in a fixed mapping; a key that is missing fails the query."""
@@ -112,3 +116,58 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 def numeric_ids(df: DataFrame, by: str, id_: str) -> DataFrame:
     """How many ids of each source could be meant by a list of numbers."""
     return df.groupBy(by).agg(F.count_if(F.col(id_).try_cast("bigint").isNotNull()).alias("numeric"), F.count("*").alias("n"))
+
+
+def with_overall(parts: DataFrame, series: str, step: str, sums: list[str], name: str = "OVERALL") -> DataFrame:
+    """a step's parts, and a row that adds them up."""
+    whole = parts.groupBy(step).agg(*[F.sum(c).cast("bigint").alias(c) for c in sums]).withColumn(series, F.lit(name))
+    return parts.select(series, step, *sums).unionByName(whole.select(series, step, *sums))
+
+
+def sizes_differ(parts: list[DataFrame], whole: DataFrame) -> DataFrame:
+    """A row if the parts' sizes don't add up to the whole's; none if they do."""
+    rows = [p.agg(F.count("*").alias("n")) for p in parts] + [whole.agg((-F.count("*")).alias("n"))]
+    return reduce(DataFrame.unionByName, rows).agg(F.sum("n").alias("off")).where("off <> 0")
+
+
+def too_few(df: DataFrame, least: int) -> DataFrame:
+    """A row if there are fewer rows than a run that did its work gives."""
+    return df.agg(F.count("*").alias("n")).where(F.col("n") < least)
+
+
+def all_zero(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Artifacts of which every value is 0 or null."""
+    return df.groupBy(by).agg(F.max(F.abs(F.coalesce(F.col(value), F.lit(0)))).alias("most")).where("most = 0")
+
+
+def checks(bad: dict[str, DataFrame]) -> DataFrame:
+    """(check_name, bad): for each check how many rows its frame of offenders has."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("bad")).select(F.lit(name).alias("check_name"), "bad") for name, df in bad.items()])
+
+
+def refused(found: DataFrame) -> DataFrame:
+    """Checks of which none is broken; running it fails otherwise and names the first."""
+    return found.where(F.when(F.col("bad") > 0, F.raise_error(F.concat(F.col("check_name"), F.lit(" does not hold"))).cast("boolean")).otherwise(True))
+
+
+def token_accounting(rows: DataFrame, by: list[str], tokens: str, correct: Column) -> DataFrame:
+    """L11 (from prose): rows, tokens, correct rows and tokens a correct row, by generator and recipe."""
+    out = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(tokens).cast("bigint").alias("tokens"), F.count_if(correct).alias("correct"))
+    return out.withColumn("tokens_to_correct", F.round(F.col("tokens") / F.when(F.col("correct") > 0, F.col("correct")), 4))
+
+
+def coverage(counts: DataFrame, n: str, least: float) -> DataFrame:
+    """L3 (from prose): each domain's share, and whether it has the least share. counts: a row a domain."""
+    total = counts.agg(F.sum(n).alias("_total"))
+    return counts.join(F.broadcast(total), F.lit(True)).withColumn("share", F.round(F.col(n) / F.col("_total"), 6)).withColumn("covered", F.col(n) / F.col("_total") >= least).drop("_total")
+
+
+def documented(code: Column) -> dict[str, Column]:
+    """L12 (from prose): whether a piece of code returns a value, and whether it says in words what it does."""
+    return {"returns": code.rlike(r"(?m)^[ \t]*return[ \t]+[^;\s]"), "docstring": code.rlike(r'(?s)"""\s*\S.{9,}?"""|(?m)^[ \t]*#[ \t]*\S.{9,}$')}
+
+
+def fim(text: Column, cut: Column, end: Column, key: Column, share: float = 0.5) -> Column:
+    """L6 (from prose): prefix, suffix and middle behind their marks, for a share of the rows that their key draws; others as they are."""
+    marked = F.concat(F.lit("<PRE>"), F.substring(text, F.lit(1), cut), F.lit("<SUF>"), F.substring(text, end + 1, F.length(text)), F.lit("<MID>"), F.substring(text, cut + 1, end - cut))
+    return F.when(draw(key, "fim") < share, marked).otherwise(text)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.base import cut
+
 
 def draw(key: Column, salt: str) -> Column:
     """H8: a number in [0, 1) that looks random and depends on the key and a salt only; the same in any engine that has MD5."""
@@ -31,16 +35,63 @@ def exact_split(df: DataFrame, key: str, fraction: float, salt: str = "42", part
     return ranked.unionByName(rest).withColumn("split", F.when((F.col("_p") < edge) | ((F.col("_p") == edge) & (F.col("_i") <= take - below)), "train").otherwise("valid")).drop("_d", "_p", "_i")
 
 
-def stratified(df: DataFrame, key: str, strata: list[str], shares: tuple[tuple[str, float], ...] = (("train", 0.9), ("valid", 0.05), ("test", 0.05)), salt: str = "42") -> DataFrame:
-    """H9 (from prose): column `split` with each stratum shared out by rank of its rows' draws."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(draw(F.col(key), salt), key))).withColumn("_n", F.count("*").over(w))
-    out, upto = None, 0.0
-    for name, share in shares:
+def cumulated(df: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
+    """df with `before`: the sum of a weight (a long; null: one a row) over all rows that come earlier in the whole table's order.
+
+    Rows are dealt by ranges of the order, summed up within each range, and the ranges' sums, one number a range, are added up;
+    no task holds more than a range. Rows equal in all of `order` stay in one range, so it should tell rows apart.
+    """
+    value = F.col(weight) if weight else F.lit(1).cast("long")
+    ranged = cut(df.withColumn("_w", value).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    total = ranged.groupBy("_p").agg(F.sum("_w").alias("_t"))
+    upto = F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    start = F.broadcast(total.select("_p", F.coalesce(upto, F.lit(0)).alias("_s")))
+    own = F.sum("_w").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_o", F.coalesce(own, F.lit(0))).join(start, "_p").withColumn("before", F.col("_s") + F.col("_o")).drop("_w", "_p", "_s", "_o")
+
+
+def shuffled(df: DataFrame, key: str, salt: str = "42") -> DataFrame:
+    """H7: all rows with a position from 0 in a seeded order of the whole table, which depends on keys and salt only."""
+    return cumulated(df.withColumn("_d", draw(F.col(key), salt)), ["_d", key]).withColumnRenamed("before", "position").drop("_d")
+
+
+def manual_sample(df: DataFrame, key: str, run: Column, low: float = 0.05, high: float = 0.10) -> DataFrame:
+    """H11 (from prose): rows to look at by hand: of each run a share between `low` and `high` that the run draws, other rows each run."""
+    share = low + (high - low) * draw(run, "share")
+    return df.where(draw(F.concat_ws("/", run.cast("string"), F.col(key).cast("string")), "manual") < share)
+
+
+def disjoint_union(parts: list[DataFrame], whole: DataFrame, key: str) -> DataFrame:
+    """H5: (key, parts, in_whole) of keys that aren't in exactly one part and in the whole; must be empty."""
+    rows = [p.select(F.col(key), F.lit(1).alias("_n"), F.lit(0).alias("_w")) for p in parts] + [whole.select(F.col(key), F.lit(0).alias("_n"), F.lit(1).alias("_w"))]
+    both = reduce(DataFrame.unionByName, rows)
+    return both.groupBy(key).agg(F.sum("_n").alias("parts"), F.sum("_w").alias("in_whole")).where("parts <> 1 or in_whole <> 1")
+
+
+def stratified(df: DataFrame, key: str, strata: list[str], shares: tuple[tuple[str, float], ...] = (("train", 0.9), ("valid", 0.05), ("test", 0.05)), salt: str = "42", rows: int = 100_000) -> DataFrame:
+    """H9 (from prose): column `split` with each stratum shared out by rank of its rows' draws.
+
+    Draws are counted in ranges, of about `rows` rows of the whole table, and only the ranges where a share ends are ranked, so
+    no stratum is ever in one task. Null strata are strata; the key must be unique.
+    """
+    parts = max(16, -(-df.count() // rows))
+    drawn = df.withColumn("_d", draw(F.col(key), salt)).withColumn("_p", F.floor(F.col("_d") * parts).cast("int"))
+    names = [f"_s{i}" for i in range(len(strata))]
+    count = drawn.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)], F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*names)  # a row a range
+    upto, limits = 0.0, []
+    for _, share in shares[:-1]:
         upto += share
-        hit = F.col("_i") <= F.bround(F.col("_n") * upto, 0)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return ranked.withColumn("split", out.otherwise(shares[-1][0])).drop("_i", "_n")
+        limits.append(F.bround(F.col("_n") * upto, 0).cast("long"))
+    count = count.withColumn("_n", F.sum("_c").over(w)).withColumn("_b", F.sum("_c").over(w.orderBy("_q")) - F.col("_c")).withColumn("_l", F.array(*limits))
+    count = count.withColumn("_edge", F.exists("_l", lambda x: (x > F.col("_b")) & (x < F.col("_b") + F.col("_c")))).select(*names, "_q", "_b", "_l", "_edge")
+    same = [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(strata, names)]
+    placed = cut(drawn.join(count, reduce(lambda a, b: a & b, same, F.col("_p") == F.col("_q"))))
+    ranked = placed.where("_edge").withColumn("_i", F.row_number().over(Window.partitionBy(*names, "_q").orderBy("_d", key)))
+    both = ranked.unionByName(placed.where("not _edge").withColumn("_i", F.lit(1)))
+    behind = F.size(F.filter("_l", lambda x: x < F.col("_b") + F.col("_i")))  # shares that end before this row
+    split = F.element_at(F.array(*[F.lit(name) for name, _ in shares]), behind + 1)
+    return both.withColumn("split", split).select(*df.columns, "split")
 
 
 def systematic(df: DataFrame, ordinal: str, every: int = 40, offsets: tuple[int, ...] = (0, 1)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.base import cut
 from quarrymill.functions import text as X
 from quarrymill.operators import dedup, gates, split
 
@@ -91,19 +92,22 @@ every AS (SELECT source, reject_reason AS reason, count(*) AS n FROM gated WHERE
   UNION ALL SELECT source, CASE WHEN r > 1 THEN 'global_duplicate_content' ELSE '-> pool' END, count(*) FROM ranked GROUP BY 1, 2)
 SELECT source AS stage, 'in' AS reason, CAST(sum(n) AS BIGINT) AS delta FROM every GROUP BY 1 UNION ALL SELECT source, reason, -n FROM every""")
 def q_curation_funnel(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: gates, priority deduplication (E3), and a funnel that closes."""
+    """The flagship: gates, priority deduplication (E3), and a funnel that closes (F2, K10). Texts are read and gated once; rows that
+    pass are folded by key and source before the shuffle, so a key with a third of all rows is a row a source and task."""
     gated = gated_documents(spark, d).select("doc_id", "source", "lang", X.chash("norm").alias("h"), "reject_reason")
     order = F.struct(F.regexp_replace("source", "src", "").cast("int").alias("p"), "doc_id")
-    # the winner of each key is aggregated before the shuffle, so a key with a third of all rows stays small
-    winner = gated.where("reject_reason is null").groupBy("lang", "h").agg(F.min(order).alias("w"))
-    out = gated.join(winner.withColumnsRenamed({"lang": "wl", "h": "wh"}), (F.col("h") == F.col("wh")) & F.col("lang").eqNullSafe(F.col("wl")), "left")
-    lost = F.col("reject_reason").isNull() & (order != F.col("w"))
-    return gates.funnel(out.withColumn("reject_reason", F.when(lost, "global_duplicate_content").otherwise(F.col("reject_reason"))), "source")
+    passed = F.col("reject_reason").isNull()
+    own = cut(gated.groupBy("source", "reject_reason", F.when(passed, F.col("lang")).alias("lang"), F.when(passed, F.col("h")).alias("h")).agg(F.count("*").alias("n"), F.min(order).alias("best")))
+    winner = own.where("reject_reason is null").groupBy("lang", "h").agg(F.min("best").alias("w")).withColumnsRenamed({"lang": "wl", "h": "wh"})
+    out = own.join(winner, (F.col("h") == F.col("wh")) & F.col("lang").eqNullSafe(F.col("wl")), "left")
+    wins = (passed & (F.col("best") == F.col("w"))).cast("int")
+    kinds = F.array(F.struct(F.col("reject_reason").alias("r"), F.when(passed, wins).otherwise(F.col("n")).cast("bigint").alias("n")), F.struct(F.lit("global_duplicate_content").alias("r"), F.when(passed, F.col("n") - wins).otherwise(0).cast("bigint").alias("n")))
+    return gates.funnel(out.select("source", F.inline(kinds)), "source", "r", "n")
 
 
 @query(f"SELECT min(doc_id) AS doc_id, h, count(*) AS copies FROM (SELECT doc_id, sha1({NORM}) AS h FROM documents) GROUP BY h")
 def q_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each content hash; folded before the shuffle."""
+    """The first document of each content hash, and how many there are."""
     docs = table(spark, d, "documents").select("doc_id", X.chash(X.norm_code("text")).alias("h"))
     return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "h", "copies")
 
@@ -112,8 +116,7 @@ def q_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
 def q_dedup_priority(spark: SparkSession, d: str) -> DataFrame:
     """E3."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", X.content_key(F.coalesce("lang", F.lit("")), X.norm_code("text")).alias("k"))
-    best = docs.groupBy("k").agg(F.min(F.struct(F.regexp_replace("source", "src", "").cast("int").alias("p"), "doc_id", "lang", "source")).alias("b"))
-    return best.select("b.doc_id", "b.lang", "b.source")
+    return dedup.keep_first(docs, [F.col("k")], F.struct(F.regexp_replace("source", "src", "").cast("int").alias("p"), "doc_id")).select("doc_id", "lang", "source")
 
 
 @query()

@@ -94,12 +94,22 @@ def q_micro_macro(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.sum("p").alias("passed"), F.sum("n").alias("tests"), F.round(F.sum("p") / F.sum("n"), 9).alias("micro"), F.round(each, 9).alias("macro"), F.count_if(F.col("p") == F.col("n")).alias("strict"))
 
 
-@query("""WITH s AS (SELECT event_type, left(regexp_replace(props, '[0-9]', 'X', 'g'), 70) || ' ' || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) AS sig, count(*) AS n FROM events GROUP BY 1, 2)
+OUTPUT = """CASE event_id % 4 WHEN 0 THEN 'checking' || chr(10) || 'error[E' || user_id % 9 || ']: name ''' || props || ''' is unknown' || chr(10) || 'error[E99]: more' WHEN 1 THEN 'error[E50]: return type ' || event_type || ' ''k'' but got ' || CAST(event_id % 3 AS VARCHAR) WHEN 2 THEN 'note' || chr(10) || '  ' || event_type || ' errors found' || chr(13) || chr(10) ELSE '' END"""
+
+
+@query(f"""WITH o AS (SELECT event_type, {OUTPUT} AS out FROM events), t AS (SELECT event_type, out, regexp_extract(out, 'error\\[(E[0-9]+)\\]: ([^\\n]*)', 1) AS code, regexp_extract(out, 'error\\[(E[0-9]+)\\]: ([^\\n]*)', 2) AS msg FROM o),
+f AS (SELECT event_type, CASE WHEN code <> '' THEN code || ': ' || msg ELSE left(regexp_extract(regexp_replace(out, '\\s+$', ''), '([^\\n\\r]*)$', 1), 120) END AS first FROM t),
+s AS (SELECT event_type, left(regexp_replace(regexp_replace(first, '''[^'']{{2,}}''', '''x''', 'g'), 'return type .* but', 'return type T but', 'g'), 80) AS sig, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT event_type, sig, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER BY n DESC, sig) AS INT) AS rank FROM s) WHERE rank <= 6""")
 def q_error_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """The six commonest signatures of each kind of event."""
-    sig = F.concat_ws(" ", F.substring(F.regexp_replace("props", "[0-9]", "X"), 1, 70), F.pmod(F.floor("value").cast("bigint"), F.lit(10)).cast("string"))
-    rows = table(spark, d, "events").groupBy("event_type", sig.alias("sig")).agg(F.count("*").alias("n"))
+    """The six commonest signatures of the first errors of each kind of event's output. Signatures are counted before
+    they are ranked, so a window holds a row a signature."""
+    props, kind, i = F.col("props"), F.col("event_type"), F.col("event_id")
+    out = (
+        F.when(i % 4 == 0, F.concat(F.lit("checking\nerror[E"), (F.col("user_id") % 9).cast("string"), F.lit("]: name '"), props, F.lit("' is unknown\nerror[E99]: more")))
+        .when(i % 4 == 1, F.concat(F.lit("error[E50]: return type "), kind, F.lit(" 'k' but got "), (i % 3).cast("string"))).when(i % 4 == 2, F.concat(F.lit("note\n  "), kind, F.lit(" errors found\r\n"))).otherwise("")
+    )
+    rows = table(spark, d, "events").select("event_type", X.error_signature(X.first_error(out)).alias("sig")).groupBy("event_type", "sig").agg(F.count("*").alias("n"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "sig"))).where("rank <= 6")
 
 
@@ -188,13 +198,15 @@ def q_layer_zscore_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_snr(spark: SparkSession, d: str) -> DataFrame:
     """Each label's embeddings as a matrix; singular values are no SQL."""
-    return spectrum.snr_by_group(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select(F.col("g").alias("label"), F.round("snr", 6).alias("snr"), "n_signal", F.round("edge", 6).alias("edge"))
+    return spectrum.snr_by_group(table(spark, d, "embeddings"), "label", "embedding").select(F.col("g").alias("label"), F.round("snr", 6).alias("snr"), "n_signal", F.round("edge", 6).alias("edge"))
 
 
 @query("SELECT event_type, count(*) AS n, median(value) AS median, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def q_medians(spark: SparkSession, d: str) -> DataFrame:
     """Exact medians."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.median("value").alias("median"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 4).alias("variance"), F.countDistinct("user_id").alias("users"))
+    events = table(spark, d, "events").select("event_type", "value", "user_id")
+    rest = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 4).alias("variance"), F.countDistinct("user_id").alias("users"))
+    return rest.join(stats.medians(events, "event_type", "value"), "event_type").select("event_type", "n", "median", "mean", "variance", "users")
 
 
 @query("SELECT o.o_orderkey, coalesce(c.c_mktsegment, 'none') AS segment, CASE WHEN c.c_custkey IS NULL THEN 'bare' WHEN c.c_acctbal < 0 THEN 'floor' ELSE 'full' END AS tier FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal < 5000")
@@ -236,33 +248,13 @@ def q_index_last_write(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH h AS (SELECT embedding AS e FROM embeddings WHERE label = 0)
 SELECT vec_id, round(max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[]))), 4) AS nearest, max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[]))) > 0.92 AS flagged FROM embeddings, h WHERE label <> 0 GROUP BY 1""")
 def q_cosine_flag(spark: SparkSession, d: str) -> DataFrame:
-    """E8, L4, L5 (from prose): cosine of every vector to the nearest held-out one (label 0), by matrix products of blocks of
-    some thousand queries and held-out vectors each; no task holds more."""
-    import numpy as np
-    import pyarrow as pa
+    """E8 (from prose): cosine of every vector to the nearest held-out one (label 0). The held-out set is the stated set that all
+    others meet in blocks."""
+    from quarrymill.operators.nearest import nearest
 
     vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    held, queries = vectors.where("label = 0"), vectors.where("label <> 0")
-    nh, nq = (max(1, -(-df.count() // 4096)) for df in (held, queries))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    held = held.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), block(nh).cast("int").alias("hb"), F.col("embedding").alias("h"))
-    queries = queries.select("vec_id", "embedding", block(nq).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nh - 1))).alias("hb"))
-
-    def unit(column) -> np.ndarray:
-        m = np.stack([np.asarray(x, float) for x in column.to_pylist()])
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids = a.column("vec_id").to_numpy()
-        best = np.full(len(ids), -np.inf)
-        if len(ids) and b.num_rows:
-            q = unit(a.column("embedding"))
-            for i in range(0, b.num_rows, 4096):
-                best = np.maximum(best, (q @ unit(b.column("h").slice(i, 4096)).T).max(axis=1))
-        return pa.table({"vec_id": ids, "s": best})
-
-    found = queries.groupBy("qb", "hb").cogroup(held.groupBy("qb", "hb")).applyInArrow(near, "vec_id long, s double").groupBy("vec_id").agg(F.max("s").alias("s"))
-    return found.where("s > double('-infinity')").select("vec_id", F.round("s", 4).alias("nearest"), (F.col("s") > 0.92).alias("flagged"))
+    found = nearest(vectors.where("label <> 0"), vectors.where("label = 0"), "vec_id", "embedding")
+    return found.select("vec_id", F.round("s", 4).alias("nearest"), (F.col("s") > 0.92).alias("flagged"))
 
 
 @query("""SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -272,7 +264,7 @@ def q_stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", "total")
 
 
-@query(f"WITH {JUDGED} SELECT lang, count(*) AS n, count(*) FILTER ((quality = 1) = (toxic = 0)) AS agree, count(*) FILTER (quality > 1 - toxic) AS wins, count(*) FILTER (quality < 1 - toxic) AS losses, round(avg(quality - (1 - toxic)), 6) AS delta, round(avg(quality - (1 - toxic)) / (stddev_samp(quality - (1 - toxic)) / sqrt(count(*))), 4) AS t FROM j GROUP BY 1")
+@query(f"WITH {JUDGED} SELECT lang, count(*) AS n, count(*) FILTER ((quality = 1) = (toxic = 0)) AS agree, count(*) FILTER (quality > 1 - toxic) AS wins, count(*) FILTER (quality < 1 - toxic) AS losses, round(avg(quality - (1 - toxic)), 6) AS delta, round(avg(quality - (1 - toxic)) / nullif(stddev_samp(quality - (1 - toxic)) / sqrt(count(*)), 0), 4) AS t FROM j GROUP BY 1")
 def q_agreement(spark: SparkSession, d: str) -> DataFrame:
     """two verdicts on the same items: agreement, wins and losses, the paired difference and its t."""
     from quarrymill.functions.similarity import paired_t

@@ -90,8 +90,21 @@ def read_tensors(spark: SparkSession, glob: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([kind]), pa.array([shape], pa.list_(pa.int64())), pa.array([values.tolist()], pa.list_(pa.float32()))], ["path", "name", "dtype", "shape", "values"])
 
     own = files.mapInArrow(run, "path string, name string, dtype string, shape array<long>, values array<float>")
-    number = lambda p: F.regexp_extract("name", p, 1).try_cast("int")
-    return own.withColumns({"layer": number(r"layers\.(\d+)\."), "module": F.regexp_extract("name", r"([A-Za-z_]+)\.weight$", 1), "expert": number(r"experts\.(\d+)\.")})
+    return own.withColumns(tensor_place("name"))
+
+
+#: How tensors of a layer are named, modules that are one matrix, and those of which each expert has one.
+LAYER, EXPERT = r"^model\.layers\.(\d+)\.(.+)\.weight$", r"^mlp\.experts\.(\d+)\.(gate_proj|up_proj|down_proj)$"
+DENSE = ("self_attn.q_proj", "self_attn.k_proj", "self_attn.v_proj", "self_attn.o_proj", "mlp.gate")
+
+
+def tensor_place(name: str) -> dict[str, F.Column]:
+    """Layer, module and expert of a tensor by its name. All experts' matrices of a kind are one module; names of no known
+    module have nulls."""
+    suffix = F.regexp_extract(name, LAYER, 2)
+    kind = F.regexp_extract(suffix, EXPERT, 2)
+    module = F.when(suffix.isin(*DENSE), suffix).when(kind != "", F.concat(F.lit("mlp.experts."), kind))
+    return {"layer": F.when(module.isNotNull(), F.regexp_extract(name, LAYER, 1).try_cast("int")), "module": module, "expert": F.when(kind != "", F.regexp_extract(suffix, EXPERT, 1).try_cast("int"))}
 
 
 def pinned(spark: SparkSession, paths: list[str], sha256: dict[str, str]) -> DataFrame:

@@ -43,7 +43,7 @@ def test_fences(spark):
     def extract(t):
         if "```jac" in t:
             return t.split("```jac", 1)[1].split("```", 1)[0].strip()
-        if t.count("```") >= 2:
+        if "```" in t:
             return t.split("```", 1)[1].rsplit("```", 1)[0].strip()
         return t.strip()
     assert one(spark, X.strip_fences("t")) == [strip(t) for t in TEXTS]
@@ -57,8 +57,23 @@ def test_small_scalars(spark):
     assert one(spark, X.provenance_id(X.provenance(F.lit("c"), F.lit("h"), F.lit("p"), F.col("t"))), ["7", "x"]) == [7, -1]
     assert one(spark, X.tier(F.col("t")), ["a_floor_idiom", "idiomatic", "x"]) == ["floor", "idiomatic", "cleaned"]
     assert one(spark, X.regex_sum("t", r"failures=(\d+)"), ["failures=2 failures=3", "none"]) == [5, 0]
-    assert one(spark, X.error_signature("t"), ["no 'abc' in \"d\" " + "y" * 90]) == [("no X in X " + "y" * 90)[:70]]
-    assert one(spark, X.first_error("t"), ["ok\nError: bad\nmore", "a\nlast\n"]) == ["Error: bad", "last"]
+    outputs = ["no 'abc' in \"d\" 'e' '' " + "y" * 90, "return type 'int' of f but got str but\nreturn type x", "a return type\u2028 b but c", "ok\nError: bad\nmore", "a\nlast\n", "2 errors found\nE12: x y", "x error[E1]: m 'ab'\rn\nerror[E2]: z", "error[E٣]: q", "", " \n", "a\x0bb" + "c" * 200]
+
+    def signature(e):
+        return re.sub(r"return type .* but", "return type T but", re.sub(r"'[^']{2,}'", "'x'", e))[:80]
+
+    def first(out):
+        m = re.search(r"error\[(E\d+)\]: ([^\n]*)", out)
+        return f"{m[1]}: {m[2]}" if m else (out.strip().splitlines() or [""])[-1][:120]
+    assert one(spark, X.error_signature("t"), outputs) == [signature(e) for e in outputs]
+    assert one(spark, X.first_error("t"), outputs) == [first(e) for e in outputs]
+    answers = ["```python\nx```", "``` py", "```pyx", "def f(a)  ->\n int {", "def f(a\n) {", "def fé(a) {", "func x", "funcs x", "a def g() b {", ""]
+    flags = [("fenced", r"```"), ("python_fence", r"```(python|py)\b"), ("signature", r"\bdef \w+\("), ("braced_def", r"\bdef \w+\(.*\)\s*(->[^{]*)?\{"), ("func_keyword", r"\bfunc \w+")]
+    assert list(X.format_flags("t")) == [name for name, _ in flags]
+    for name, pattern in flags:
+        assert one(spark, X.format_flags("t")[name], answers) == [bool(re.search(pattern, x)) for x in answers], name
+    assert one(spark, X.prefixed_id("p-", F.col("t")), ["7"]) == ["p-7"]
+    assert one(spark, X.json_get("t", "a", "b.c"), ['{"a":{"b.c":"x"}}', '{"a":{"b.c":[1,2]}}', '{"a":3}', "no", '{"a":{"b.c":null}}']) == ["x", "[1,2]", None, None, None]
     assert one(spark, X.leak_norm("t", "jac"), ["```jac\n a # c\n\n b\n```"]) == ["a\nb"]
     assert one(spark, X.schema_bullets("t"), ["node A { has x: int = 1; has y : str; }\nnode B {}"]) == ["- A(x: int, y : str)\n- B()"]
     assert one(spark, X.percent_floor(F.col("i"), F.lit(3)), ["a", "b", "c"]) == [0, 33, 66]
@@ -125,15 +140,62 @@ def test_log(spark):
     assert [r.nan_loss for r in curves.parsed_log(df).orderBy("ord").collect()][2]
 
 
+def states(code, start):
+    """(open braces, within a string or comment) at the end of each line from `start` on, by single characters, up to the line where all are closed."""
+    out, depth, mark, i = [], 0, "", start
+    while i < len(code):
+        c = code[i]
+        if c == "\n":
+            out.append((depth, bool(mark)))
+            i += 1
+        elif mark:
+            if mark != "*#" and c == "\\":
+                i += 2
+            elif code.startswith(mark, i):
+                i, mark = i + len(mark), ""
+            else:
+                i += 1
+        elif code.startswith("#*", i):
+            mark, i = "*#", i + 2
+        elif c == "#":
+            i = code.find("\n", i) if "\n" in code[i:] else len(code)
+        elif c in "\"'":
+            mark = c * 3 if code.startswith(c * 3, i) else c
+            i += len(mark)
+        else:
+            depth += (c == "{") - (c == "}")
+            if c == "}" and depth <= 0:
+                return [*out, (0, False)] if depth == 0 else None
+            i += 1
+    return None
+
+
 def test_pairs(spark):
     body = "\n".join(f'    x{i} = "}} {{" + str({i}); # }}' for i in range(9))
     code = f"def one(a: int) -> str {{\n{body}\n}}\nx = 1;\ndef two() {{\n  if a {{ b; }}\n}}\ndef open() {{\n"
-    assert [(code[s:b].split("(")[0], code[e - 1]) for s, b, e in pairs.functions(code)] == [("def one", "}"), ("def two", "}")]
+    assert [(code.split("\n")[f.head].split("(")[0], f.end - f.head) for f in pairs.functions(code)] == [("def one", 10)]
     assert pairs.unit(code, "two") == "def two() {\n  if a { b; }\n}" and pairs.unit(code, "none") == ""
-    docs = spark.createDataFrame([(str(i), code) for i in range(40)] + [("n", None)], "k string, code string")
+    odd = "    static def:pub g(x: int) -> int {\n\n        s = \"\"\"a {\n        b }\n        c\"\"\";\n        #* {\n        *#\n\n        if x {\n            y = 1;\n        }\n    }\nz = 0;"
+    long_ = "def h() {\n" + "    v = 1;\n" * 2000 + "}\n" + odd
+    docs = spark.createDataFrame([(str(i), c) for i, c in enumerate([code, odd, long_, "no code"] * 40)] + [("n", None)], "k string, code string")
     out = pairs.completion_pairs(docs, "k", "code").collect()
-    assert len(out) == 40 and all(code.startswith(r.prefix + r.target) and (r.prefix + r.target).endswith("}") for r in out)
-    assert 0 < sum(r.after_head for r in out) < 25
+    text = {r.k: r.code for r in docs.collect()}
+    assert len(out) == 120 and pairs.reconstructed(pairs.completion_pairs(docs, "k", "code"), docs, "k", "code").isEmpty()
+    assert 10 < sum(r.after_head for r in out) < 50
+    for r in out:
+        whole, lines = text[r.key], text[r.key].split("\n")
+        assert whole.startswith(r.prefix + r.target) and len(r.prompt) + len(r.target) <= pairs.BUDGET and r.prompt.endswith("\n\n" + r.prefix)
+        f = next(f for f in pairs.functions(whole) if f.head < r.prefix_lines <= f.end)
+        want = states(whole, len("\n".join(lines[: f.head])) + bool(f.head))
+        assert [(-1 if s else d) for d, s in want] == f.depths
+        k = r.prefix_lines - 1 - f.head
+        assert r.target.startswith("\n") and k == 0 if r.after_head else r.prefix.endswith("\n") and lines[f.head + k].strip() and not want[k][1]
+        assert r.after_head or 1 <= k <= f.end - f.head - 3
+        assert r.open_block == (want[k][0] > 1) and r.target_lines == f.end - f.head - k
+    # a function over the budget: the next one is tried
+    assert {r.target[-9:] for r in out if int(r.key) % 4 == 2} == {odd[: odd.rindex("}") + 1][-9:]}
+    with pytest.raises(ValueError):
+        pairs.wordings_differ(("please go on",), "go on")
 
 
 @settings(max_examples=200, deadline=None)
