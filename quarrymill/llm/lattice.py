@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.base import arrow_schema, released, table
+from quarrymill.llm.blocks import packed_strings, strings
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -26,10 +27,12 @@ MASK = 62
 #: Bits of a piece's id, and code points that a model's longest piece may have.
 IDS, LONG = 24, 1024
 #: Documents in the sample whose most frequent parts are broadcast with their ids, and how many of these there are.
-SAMPLE, COMMON = 20_000, 1 << 17
+SAMPLE, COMMON = 8_000, 1 << 17
 #: Code points of text in a block, but for a block of a single longer text; answers packed at once.
 CHARS, PACKED = 6 << 20, 200_000
-BLOCK = "block long, doc_ids array<long>, sizes array<long>, payload binary, lexicon binary, keys array<string>"
+BLOCK = "block long, doc_ids array<long>, sizes array<long>, payload binary, lexicon binary, keys binary"
+#: Bits of a key's place in its block.
+PLACE = 24
 
 
 class Pieces(NamedTuple):
@@ -365,72 +368,67 @@ def _check(keys: list[str]) -> int:
 
 class Words(dict):
     """A block's words to their numbers, as bytes, in order of their first occurrence, with their parts' numbers: those of common
-    parts first, then the block's own."""
+    parts first, then the block's own. Words are cut into parts many at a time."""
 
     def __init__(self, cutter: Cutter, common: dict[str, int]):
         self.cutter, self.common = cutter, common
         self.own: dict[str, int] = {}
+        self.new: list[str] = []
         self.numbers: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Takes in the new words of some texts."""
-        new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self]
-        parts, size = self.cutter.parts(new)
+    def __missing__(self, word: str) -> bytes:
+        self[word] = data = len(self).to_bytes(4, "little")
+        self.new.append(word)
+        return data
+
+    def learn(self) -> None:
+        parts, size = self.cutter.parts(self.new)
         numbers = list(map(self.common.get, parts))
         first, own = len(self.common), self.own
         for i in [i for i, n in enumerate(numbers) if n is None]:
             numbers[i] = first + own.setdefault(parts[i], len(own))
-        at = np.arange(len(self), len(self) + len(new), dtype="<u4").tobytes()
-        self.update(zip(new, [at[i : i + 4] for i in range(0, len(at), 4)]))
         self.numbers.append(np.array(numbers, "<u4"))
         self.sizes.append(size.astype("<u4"))
+        self.new.clear()
 
 
 def word_blocks(docs: DataFrame, cutter: Cutter, common: Broadcast, chars: int) -> DataFrame:
     """Documents (doc_id, text) in blocks of bounded size: their words by number, the words' parts, and as keys the parts that are
-    not common, each once a block. A block's number tells the task and its order there."""
+    not common, each once a block. A block's number tells the task and its order there, up to 8,191 blocks (48 GB of text) a task."""
     arrow = arrow_schema(docs.sparkSession, BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, done, numbers = TaskContext.get().partitionId() << 32, 0, _numbers(common)
+        first, done, numbers = TaskContext.get().partitionId() << 13, 0, _numbers(common)
         words, held = Words(cutter, numbers), 0
         ids: list[int | None] = []
         rows: list[bytes] = []
-        waiting: list[tuple[int | None, list[str]]] = []
-
-        def taken() -> None:
-            words.learn([tokens for _, tokens in waiting])
-            for doc, tokens in waiting:
-                ids.append(doc)
-                rows.append(b"".join(map(words.__getitem__, tokens)))
-            waiting.clear()
 
         def block() -> pa.RecordBatch:
             nonlocal words, held
+            words.learn()
+            if done >= 1 << 13 or len(words.own) >= 1 << PLACE:
+                raise RuntimeError("a task has too much text, or a block too many parts, to number them")
             sizes = [len(r) // 4 for r in rows]
-            out = [first + done, ids, sizes, _squeezed(np.frombuffer(b"".join(rows), "<u4")), _squeezed(np.concatenate(words.sizes), np.concatenate(words.numbers)), list(words.own)]
+            out = [first + done, ids, sizes, _squeezed(np.frombuffer(b"".join(rows), "<u4")), _squeezed(np.concatenate(words.sizes), np.concatenate(words.numbers)), packed_strings(list(words.own))]
             row = pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(out, arrow)], schema=arrow)
             words, held = Words(cutter, numbers), 0
             ids.clear()
             rows.clear()
             return row
 
-        fresh = 0
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = text or ""
-                if (ids or waiting) and held + len(text) > chars:
-                    taken()
+                if ids and held + len(text) > chars:
                     yield block()
-                    done, fresh = done + 1, 0
-                waiting.append((doc, cutter.tokens(text)))
-                held, fresh = held + len(text), fresh + len(text)
-                if fresh > 1 << 20:
-                    taken()
-                    fresh = 0
-        if ids or waiting:
-            taken()
+                    done += 1
+                ids.append(doc)
+                rows.append(b"".join(map(words.__getitem__, cutter.tokens(text))))
+                held += len(text)
+                if len(words.new) > 50_000:
+                    words.learn()
+        if ids:
             yield block()
         released()
 
@@ -438,12 +436,13 @@ def word_blocks(docs: DataFrame, cutter: Cutter, common: Broadcast, chars: int)
 
 
 def packed_answers(answers: DataFrame) -> DataFrame:
-    """(block, n, sum, packed) for rows (block, i, crc, ids): a few rows a task and block, of a fraction of the size."""
+    """(block, n, sum, packed) for rows (place, crc, ids): a few rows a task and block, of a fraction of the size."""
     schema = "block long, n long, sum long, packed binary"
     arrow = arrow_schema(answers.sparkSession, schema)
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        block, i, crc = (np.concatenate([b.column(c).to_numpy() for b in held]).astype(np.int64) for c in ("block", "i", "crc"))
+        place, crc = (np.concatenate([b.column(c).to_numpy() for b in held]).astype(np.int64) for c in ("place", "crc"))
+        block, i = place >> PLACE, place & ((1 << PLACE) - 1)
         offsets, flat = _flat(pa.chunked_array([b.column("ids") for b in held]))
         order = np.lexsort((i, block))
         names, at = np.unique(block[order], return_index=True)
@@ -467,7 +466,7 @@ def packed_answers(answers: DataFrame) -> DataFrame:
             yield packed(held)
         released()
 
-    return answers.select("block", "i", "crc", "ids").mapInArrow(run, schema)
+    return answers.select("place", "crc", "ids").mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
@@ -488,14 +487,18 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
     first = common_parts(docs, cutter, n, sample, most).repartition(max(1, most >> 13), "part")
     common = spark.sparkContext.broadcast(first.join(encoded_parts(first.select("part"), model), "part").orderBy(F.desc("n"), "part").select("part", "ids").toArrow())
     own = word_blocks(docs, cutter, common, chars).repartition("block")
-    key_schema = arrow_schema(spark, "block long, keys array<string>")
+    key_schema = arrow_schema(spark, "place long, part string")
 
     def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("keys")], schema=key_schema)
+            for block, keys in zip(b.column("block").to_pylist(), b.column("keys").to_pylist()):
+                parts = strings(keys)
+                for i in range(0, len(parts), 10_000):
+                    places = np.arange(i, min(i + 10_000, len(parts))) + (block << PLACE)
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(parts[i : i + 10_000], pa.string())], schema=key_schema)
 
     # blocks are dealt once: both uses read all columns of the same exchange. Parts are dealt for about 20,000 of them a task
-    wanted = own.mapInArrow(only_keys, "block long, keys array<string>").select("block", F.posexplode("keys").alias("i", "part")).repartition(1 + (size or 0) // (4 << 20), "part")
+    wanted = own.mapInArrow(only_keys, "place long, part string").repartition(1 + (size or 0) // (8 << 20), "part")
     ids = encoded_parts(wanted.select("part").distinct(), model).hint("shuffle_hash")
     answers = packed_answers(wanted.join(ids, "part").withColumn("crc", F.crc32(F.col("part").cast("binary"))))
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
@@ -505,6 +508,7 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
         out: list[pa.RecordBatch] = []
         for row in range(texts.num_rows):
             doc_ids, sizes, payload, lexicon, keys = (texts.column(c)[row].as_py() for c in ("doc_ids", "sizes", "payload", "lexicon", "keys"))
+            keys = strings(keys)
             if sum(found.column("n").to_pylist()) != len(keys) or sum(found.column("sum").to_pylist()) & ((1 << 62) - 1) != _check(keys):
                 raise RuntimeError("a block's parts changed when it was computed again")
             answers_ = [_opened(x) for x in found.column("packed").to_pylist()]
