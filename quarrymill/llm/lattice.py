@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 from typing import NamedTuple
 
@@ -258,8 +258,9 @@ def best_path(parts: DataFrame, vocabulary: DataFrame, longest: int, unknown: fl
     return lattice(parts, vocabulary, longest, edge).select("part", F.expr(bound("back", step, walk)).alias("path"))
 
 
-def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
-    """(part, ids array<int>) for distinct parts of text, none empty. Parts of any length take the same lattice."""
+def encoded_sides(parts: DataFrame, model: Pieces) -> list[DataFrame]:
+    """Frames of (part, ids array<int>) that together have each distinct one of parts of text, none empty, once. They are dealt by
+    part as the parts are. Parts of any length take the same lattice."""
     score = known_pieces(model)
     place = {s: k for k, s in enumerate(sorted({s for s, _ in score.values()}, reverse=True))}
     merges, longest = model.fold == "merges", max(map(len, score), default=1)
@@ -267,16 +268,23 @@ def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
     rows = [(p, place[s], i, p in tardy, s) for p, (s, i) in score.items()]
     vocabulary = F.broadcast(parts.sparkSession.createDataFrame(rows, "piece string, rank long, id long, late boolean, score double"))  # as large as the model's file
     if merges:
-        short, wide = parts.where(f"char_length(part) <= {MASK}"), parts.where(f"char_length(part) > {MASK}")
-        paths = merged_short(short, vocabulary, longest).unionByName(merged_wide(wide, vocabulary, longest))
+        # as an aggregate, so that no filter goes below the exchange that deals parts, which all uses share
+        sized = parts.groupBy("part").agg(F.max(F.char_length("part")).alias("size"))
+        short, wide = (sized.where(f"size {which} {MASK}").select("part") for which in ("<=", ">"))
+        paths = [merged_short(short, vocabulary, longest), merged_wide(wide, vocabulary, longest)]
     else:
-        paths = best_path(parts, vocabulary, longest, unknown_score(model))
+        paths = [best_path(parts.distinct(), vocabulary, longest, unknown_score(model))]
     # a character that is no piece falls back to its bytes
     byte_ids = "array(" + ", ".join(map(str, model.bytes_)) + ")"
     spelled = f"transform(filter(split(regexp_replace(hex(encode(substring(part, x.s + 1, 1), 'utf-8')), '(..)', '$1,'), ','), h -> h <> ''), h -> get({byte_ids}, cast(conv(h, 16, 10) as int)))"
     unknown = (1 << IDS) - 1
     ids = f"if(exists(path, x -> x.id = {unknown}), flatten(transform(path, x -> if(x.id = {unknown}, {spelled}, array(x.id)))), path.id)"
-    return paths.select("part", F.expr(bound("path", "path", ids)).alias("ids"))
+    return [p.select("part", F.expr(bound("path", "path", ids)).alias("ids")) for p in paths]
+
+
+def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
+    """(part, ids array<int>): see encoded_sides."""
+    return reduce(DataFrame.unionByName, encoded_sides(parts, model))
 
 
 def decode(ids: np.ndarray, table_: list[bytes], prefix: bool) -> str:
@@ -497,10 +505,11 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
                     places = np.arange(i, min(i + 10_000, len(parts))) + (block << PLACE)
                     yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(parts[i : i + 10_000], pa.string())], schema=key_schema)
 
-    # blocks are dealt once: both uses read all columns of the same exchange. Parts are dealt for about 20,000 of them a task
-    wanted = own.mapInArrow(only_keys, "place long, part string").repartition(1 + (size or 0) // (8 << 20), "part")
-    ids = encoded_parts(wanted.select("part").distinct(), model).hint("shuffle_hash")
-    answers = packed_answers(wanted.join(ids, "part").withColumn("crc", F.crc32(F.col("part").cast("binary"))))
+    # blocks are dealt once: both uses read all columns of the same exchange. Parts are dealt for about 20,000 of them a task, over
+    # as many tasks as joins use, or these would deal them again
+    wanted = own.mapInArrow(only_keys, "place long, part string").repartition(max(1 + (size or 0) // (8 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    found = reduce(DataFrame.unionByName, [wanted.join(side.hint("shuffle_hash"), "part") for side in encoded_sides(wanted.select("part"), model)])
+    answers = packed_answers(found.withColumn("crc", F.crc32(F.col("part").cast("binary"))))
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
 
     def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
