@@ -60,9 +60,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool) ->
     return mapped(both, ["u", "v", "a", "b"], "u long, v long, near boolean", each)
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict: bool = False) -> DataFrame:
-    """(doc_id, component_id) for each row (doc_id, text): the smallest doc_id reachable over links of similarity `least` or more
-    (more than `least` if strict).
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict: bool = False, also: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, component_id, root) for each row (doc_id, text): the smallest doc_id reachable over links of similarity
+    `least` or more (more than `least` if strict), the XXH64 of the row's text, and a number of its component that no other has,
+    even if rows share a doc_id. `also`: pairs of ids (a, b) that other means propose, confirmed like all others.
 
     Equal shingle sets are one node. In each band's bucket all nodes are compared with the least one; those that are not near it
     stay in the bucket and are compared with the least of themselves, until none is left, so that a large group of near
@@ -73,15 +74,19 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = [shingles(t, words) for t in utf8(batch.column(1))]
         key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-        yield {"doc_id": batch.column(0), "key": key, "bands": [bands(s) if len(s) else [] for s in sets], "shingles": [s.tobytes() for s in sets]}
+        yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "key": key, "bands": [bands(s) if len(s) else [] for s in sets], "shingles": [s.tobytes() for s in sets]}
 
-    named = docs.select(F.col("doc_id").cast("long"), "text")
-    own = kept(mapped(named, ["doc_id", "text"], "doc_id long, key long, bands array<long>, shingles binary", each))
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, shingles binary", each))
     points = cut(own.groupBy("key").agg(F.min("doc_id").alias("least")))
     waiting = own.select("key", F.explode("bands").alias("band")).distinct()
     crowded = waiting.groupBy("band").count().where("count > 1").select("band")
     waiting = cut(waiting.join(crowded, "band"))
     links = None
+    if also is not None:
+        ids = own.where("doc_id is not null").select("doc_id", "key").distinct()
+        pairs = also.join(ids.select(F.col("doc_id").alias("a"), F.col("key").alias("u")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("key").alias("v")), "b")
+        links = cut(confirmed(cut(pairs.where("u <> v").select("u", "v").distinct()), own.select("key", "shingles"), least, strict)).where("near").select("u", "v")
     while not waiting.isEmpty():
         first = waiting.groupBy("band").agg(F.min("key").alias("u"))
         open_ = cut(waiting.join(first, "band").where("key <> u").select("band", "u", F.col("key").alias("v")))
@@ -90,16 +95,16 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
         links = near if links is None else links.unionByName(near)
         waiting = cut(open_.join(tried.where("not near").select("u", "v"), ["u", "v"], "left_semi").select("band", F.col("v").alias("key")))
     if links is None:
-        return own.join(points, "key").select("doc_id", F.col("least").alias("component_id"))
+        return own.select("doc_id", "text_hash", "key").join(points, "key").select("doc_id", "text_hash", F.col("least").alias("component_id"), F.col("key").alias("root"))
     placed = points.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "key").join(placed.select("key", "root").join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    return own.select("doc_id", "text_hash", "key").join(placed.select("key", "root").join(ids, "root"), "key").select("doc_id", "text_hash", "component_id", "root")
 
 
 def best_of_clusters(docs: DataFrame, score: Column, least: float = 0.85) -> DataFrame:
     """E7 (from prose): (doc_id, cluster, kept): clusters of documents (doc_id unique, text) linked at more than `least`, of each of
     which the member with the greatest score is kept, the least doc_id among equals. E9 is the same over projects' joined files."""
-    own = near_copies(docs, least=least, strict=True).withColumnRenamed("component_id", "cluster").join(docs.select("doc_id", score.alias("_s")), "doc_id")
+    own = near_copies(docs, least=least, strict=True).select("doc_id", F.col("component_id").alias("cluster")).join(docs.select("doc_id", score.alias("_s")), "doc_id")
     best = own.groupBy("cluster").agg(F.max_by("doc_id", F.struct("_s", -F.col("doc_id"))).alias("best"))
     return own.join(best, "cluster").select("doc_id", "cluster", (F.col("doc_id") == F.col("best")).alias("kept"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,28 +66,37 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, ord long, line string").withColumn("line", F.regexp_replace("line", r"\x1b\[[0-9;]*m", ""))
 
 
-def tensors(data: bytes) -> Iterator[tuple[str, str, list[int], np.ndarray]]:
-    """Name, type, shape and single-precision values of each tensor: 8 bytes of header length, JSON, then the values."""
-    size = struct.unpack("<Q", data[:8])[0]
+def header(read: Callable[[int, int], bytes]) -> dict[str, tuple[str, list[int], int, int]]:
+    """Type, shape, start and end of each tensor by name: 8 bytes of header length, JSON, then the values. read(start, end)."""
+    size = struct.unpack("<Q", read(0, 8))[0]
+    own = json.loads(read(8, 8 + size))
+    return {name: (x["dtype"], x["shape"], 8 + size + x["data_offsets"][0], 8 + size + x["data_offsets"][1]) for name, x in own.items() if name != "__metadata__"}
+
+
+def values(kind: str, raw: bytes) -> np.ndarray:
+    """Single-precision values of a stored tensor."""
     # fixed values: how each type is stored
     kinds = {"F32": "<f4", "F16": "<f2", "F64": "<f8", "BF16": "<u2"}
-    for name, own in json.loads(data[8 : 8 + size]).items():
-        if name == "__metadata__" or own["dtype"] not in kinds:
-            continue
-        a, b = own["data_offsets"]
-        raw = np.frombuffer(data[8 + size + a : 8 + size + b], kinds[own["dtype"]])
-        yield name, own["dtype"], own["shape"], (raw.astype("<u4") << 16).view("<f4") if own["dtype"] == "BF16" else raw.astype(np.float32)
+    own = np.frombuffer(raw, kinds[kind])
+    return (own.astype("<u4") << 16).view("<f4") if kind == "BF16" else own.astype(np.float32)
 
 
 def read_tensors(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, name, dtype, shape, values, layer, module, expert) of small tensor files."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    """(path, name, dtype, shape, values, layer, module, expert) of tensor files. A task reads a file's header and then one
+    tensor at a time by its place, never the file; other types than floats are left out."""
+    files = spark.read.format("binaryFile").load(glob).select("path", "length").repartition("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for name, kind, shape, values in tensors(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([kind]), pa.array([shape], pa.list_(pa.int64())), pa.array([values.tolist()], pa.list_(pa.float32()))], ["path", "name", "dtype", "shape", "values"])
+            for path in b.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as f:
+                    read = lambda a, z, f=f: f.read_at(z - a, a)
+                    for name, (kind, shape, a, z) in header(read).items():
+                        if kind in ("F32", "F16", "F64", "BF16"):
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([kind]), pa.array([shape], pa.list_(pa.int64())), pa.array([values(kind, read(a, z))], pa.list_(pa.float32()))], ["path", "name", "dtype", "shape", "values"])
 
     own = files.mapInArrow(run, "path string, name string, dtype string, shape array<long>, values array<float>")
     return own.withColumns(tensor_place("name"))
@@ -114,6 +123,59 @@ def pinned(spark: SparkSession, paths: list[str], sha256: dict[str, str]) -> Dat
     return want.join(own, "name", "left").select("name", (F.coalesce("have", F.lit("")) == F.col("want")).alias("ok"))
 
 
+def refuse_unless_pinned(spark: SparkSession, paths: list[str], sha256: dict[str, str]) -> None:
+    """A10: an error that names the files whose content isn't what was pinned."""
+    if bad := sorted(r.name for r in pinned(spark, paths, sha256).where("not ok").collect()):
+        raise ValueError(f"not the pinned content: {bad}")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as Hadoop has them."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def truncated(spark: SparkSession, path: str) -> None:
+    """At the start of a sweep, nothing is left of an earlier one under the path."""
+    own, system = _place(spark, path)
+    system.delete(own, True)
+
+
+def rewrite_with_backup(spark: SparkSession, path: str, keep: F.Column, schema: StructType, backup: str) -> int:
+    """Only rows that are kept stay under the path, and the old copy under the backup's, which mustn't exist; nothing is written
+    if all rows are kept. Returns how many were dropped."""
+    dropped = spark.read.schema(schema).json(path).where(~F.coalesce(keep, F.lit(False))).count()
+    if dropped:
+        old, system = _place(spark, path)
+        new, _ = _place(spark, backup)
+        if system.exists(new) or not system.rename(old, new):
+            raise FileExistsError(backup)
+        spark.read.schema(schema).json(backup).where(keep).write.mode("errorifexists").json(path)
+    return dropped
+
+
+def mark_progress(spark: SparkSession, path: str, step: int) -> None:
+    """M3: a durable marker of the steps that are done: written beside, then renamed, so a reader sees the old or the new one."""
+    own, system = _place(spark, path)
+    beside, _ = _place(spark, f"{path}.next")
+    out = system.create(beside, True)
+    out.write(json.dumps({"step": step}).encode())
+    out.close()
+    system.delete(own, False)
+    system.rename(beside, own)
+
+
+def resume_step(spark: SparkSession, path: str) -> int:
+    """M3: where to go on: the marker's step, that of one whose renaming was cut short, else 0."""
+    for p in (path, f"{path}.next"):
+        own, system = _place(spark, p)
+        if system.exists(own):
+            found = spark.read.text(p).first()
+            if found:
+                return int(json.loads(found[0])["step"])
+    return 0
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str], force: bool = False) -> None:
     """Ordered JSON lines under a path that mustn't exist unless forced; nothing is written of no rows."""
     if df.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -78,3 +79,14 @@ def stalls(beats: DataFrame, seconds: int = 900) -> DataFrame:
         yield pd.DataFrame([(key[0], False)] if back else [], columns=["run", "stalled"])
 
     return beats.groupBy("run").applyInPandasWithState(watch, "run string, stalled boolean", "stalled boolean", "append", "ProcessingTimeTimeout")
+
+
+def next_size(size: int, log: str, failures: int, streak: int = 5, least: int = 1) -> int | None:
+    """M4: what to try after a failed attempt: two thirds of the size (rounded down) if the log says that memory ran out, the same size
+    otherwise; None, to give up, after `streak` failures in a row or below the least size."""
+    if failures >= streak:
+        return None
+    # fixed values: how logs say that memory ran out
+    if re.search(r"out of memory|OutOfMemory|Insufficient Memory|MemoryError", log, re.I):
+        size = size * 2 // 3
+    return size if size >= least else None

@@ -64,7 +64,7 @@ def test_objects_ids_logs(spark, tmp_path):
 
 
 def test_tensors(spark, tmp_path):
-    values = {"model.layers.3.mlp.experts.1.up_proj.weight": ("F32", np.array([1.5, -2], "<f4")), "model.layers.0.q_proj.weight": ("BF16", (np.array([1.0, 3.0], "<f4").view("<u4") >> 16).astype("<u2"))}
+    values = {"model.layers.3.mlp.experts.1.up_proj.weight": ("F32", np.array([1.5, -2], "<f4")), "model.layers.0.self_attn.q_proj.weight": ("BF16", (np.array([1.0, 3.0], "<f4").view("<u4") >> 16).astype("<u2"))}
     header, body = {"__metadata__": {"a": "b"}}, b""
     for name, (kind, v) in values.items():
         header[name] = {"dtype": kind, "shape": [2], "data_offsets": [len(body), len(body) + v.nbytes]}
@@ -72,9 +72,55 @@ def test_tensors(spark, tmp_path):
     head = json.dumps(header).encode()
     (tmp_path / "m.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + body)
     got = {r.name: r for r in files.read_tensors(spark, f"{tmp_path}/*.safetensors").collect()}
-    a, b = got["model.layers.3.mlp.experts.1.up_proj.weight"], got["model.layers.0.q_proj.weight"]
-    assert (a.layer, a.module, a.expert, list(a["values"])) == (3, "up_proj", 1, [1.5, -2.0])
-    assert (b.layer, b.module, b.expert, list(b["values"])) == (0, "q_proj", None, [1.0, 3.0])
+    a, b = got["model.layers.3.mlp.experts.1.up_proj.weight"], got["model.layers.0.self_attn.q_proj.weight"]
+    assert (a.layer, a.module, a.expert, list(a["values"])) == (3, "mlp.experts.up_proj", 1, [1.5, -2.0])
+    assert (b.layer, b.module, b.expert, list(b["values"])) == (0, "self_attn.q_proj", None, [1.0, 3.0])
+
+
+def test_tensor_names(spark):
+    names = ["model.layers.7.mlp.gate.weight", "model.layers.7.mlp.experts.12.down_proj.weight", "model.layers.7.input_layernorm.weight", "lm_head.weight", "model.layers.x.mlp.gate.weight", "model.layers.7.mlp.experts.1.gate.weight"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumns(files.tensor_place("name"))
+    assert [(r.layer, r.module, r.expert) for r in df.collect()] == [(7, "mlp.gate", None), (7, "mlp.experts.down_proj", 12), *[(None, None, None)] * 4]
+
+
+def test_backup_markers_and_pins(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("a long")
+    p = f"{tmp_path}/rows"
+    spark.range(5).select(F.col("id").alias("a")).write.json(p)
+    assert files.rewrite_with_backup(spark, p, F.col("a") >= 0, schema, f"{p}.bak") == 0 and not (tmp_path / "rows.bak").exists()
+    assert files.rewrite_with_backup(spark, p, F.col("a") > 2, schema, f"{p}.bak") == 3
+    assert spark.read.json(p).count() == 2 and spark.read.json(f"{p}.bak").count() == 5
+    with pytest.raises(FileExistsError):
+        files.rewrite_with_backup(spark, p, F.col("a") > 3, schema, f"{p}.bak")
+    files.truncated(spark, p)
+    assert not (tmp_path / "rows").exists()
+    mark = f"{tmp_path}/mark.json"
+    assert files.resume_step(spark, mark) == 0
+    for step in (3, 7):
+        files.mark_progress(spark, mark, step)
+        assert files.resume_step(spark, mark) == step
+    (tmp_path / "pinned.txt").write_text("x")
+    files.refuse_unless_pinned(spark, [f"{tmp_path}/pinned.txt"], {"pinned.txt": hashlib.sha256(b"x").hexdigest()})
+    with pytest.raises(ValueError, match="pinned.txt"):
+        files.refuse_unless_pinned(spark, [f"{tmp_path}/pinned.txt"], {"pinned.txt": "0"})
+
+
+def test_next_size():
+    from quarrymill.streaming.watch import next_size
+
+    assert [next_size(9, "CUDA out of memory", 0), next_size(9, "other", 4), next_size(9, "", 5), next_size(1, "MemoryError", 1)] == [6, 9, None, None]
+
+
+def test_read_csv(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "c.csv").write_text("step,rate\n1,0.5\n2,\n")
+    assert [tuple(r) for r in files.read_csv(spark, f"{tmp_path}/c.csv", StructType.fromDDL("step long, rate double")).collect()] == [(1, 0.5), (2, None)]
 
 
 def drained(stream, name):
