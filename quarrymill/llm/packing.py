@@ -51,14 +51,15 @@ class Words:
     """Texts to the little-endian bytes of their ids, with memories of bounded size for chunks between blanks and for runs.
 
     The vocabulary drops white space and folds case, so no id depends on more than a chunk, nor in simple chunks on more than
-    a run. New runs are encoded many at a time; each ends with a token that ends a word.
+    a run. A chunk that holds a special token's string keeps its case and is encoded whole. New runs are encoded many at a
+    time; each ends with a token that ends a word.
     """
 
     def __init__(self, path: str, chunks: int = 200_000, runs: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values()]  # found in a text before its case is folded
         self.chunks, self.runs = Recent(chunks), Recent(runs)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -71,11 +72,11 @@ class Words:
         cut_up: dict[bytes, list[str]] = {}
         young = self.chunks.young  # missing() was asked for these chunks just now
         for c in chunks:
-            text = c.decode().lower()
-            if SIMPLE.fullmatch(text):
+            whole, text = c.decode(), c.decode().lower()
+            if SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
                 cut_up[c] = RUNS.findall(text)
             else:
-                young[c] = self._whole(c.decode())
+                young[c] = self._whole(whole)
         new = list(self.runs.missing({r for runs in cut_up.values() for r in runs}))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
@@ -93,8 +94,14 @@ class Words:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of whole texts, of which a few, or a part of a long one, are looked up at a time."""
         for i in range(0, len(texts), 64):
-            for one in self._some([t.lower().split() for t in texts[i : i + 64]]):
-                yield one
+            yield from self._some([self._cut(t) for t in texts[i : i + 64]])
+
+    def _cut(self, text: bytes) -> list[bytes]:
+        """Chunks between blanks, in lower case but for those that hold a special token or would then."""
+        low, special = text.lower(), [s.encode() for s in self.special]
+        if any(s in low for s in special):
+            return [c if any(s in c.lower() for s in special) else c.lower() for c in text.split()]
+        return low.split()
 
     def _some(self, cut_up: list[list[bytes]]) -> Iterator[bytes]:
         wide = 1 << 18
@@ -132,64 +139,67 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str =
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], schema, each)
 
 
-def _exact(left: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that fill a gap exactly, the longest first; lengths taken twice must be there twice."""
-    if gap <= 0:
-        return []
-    if left[gap]:
-        return [gap]
-    there = left > 0
-
-    def pair(total: int) -> list[int] | None:
-        a = np.arange(total - 1, (total - 1) // 2, -1)
-        a = a[there[a] & there[total - a]]
-        for x in a[:2].tolist():
-            if 2 * x != total or left[x] > 1:
-                return [x, total - x]
-        return None
-
-    if found := pair(gap):
-        return found
-    sums = np.nonzero(there[: gap - 1])[0]
-    for a in sums[sums > 0][::-1].tolist():
-        if gap - a > 2 * a:
-            break
-        left[a] -= 1
-        there[a] = left[a] > 0
-        found = pair(gap - a)
-        left[a] += 1
-        there[a] = True
-        if found and found[0] <= a:
-            return [a, *found]
-    return None
+class Sums:
+    """An index of sums: which one, two or three of the lengths at hand add up to a number."""
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        self.lengths = lengths[::-1].tolist()
+        a, b = np.meshgrid(lengths, lengths, indexing="ij")
+        use = (a >= b) & (a + b <= most)
+        a, b = a[use], b[use]
+        order = np.lexsort((-a, a + b))  # by sum, the longer one falling
+        self.a, self.b = a[order].astype(np.int32), b[order].astype(np.int32)
+        self.start = np.searchsorted((a + b)[order], np.arange(most + 2))
+
+    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        for k in range(self.start[total], self.start[total + 1]):
+            yield int(self.a[k]), int(self.b[k])
+
+    def combinations(self, total: int, left: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """Each combination once, one length before two and two before three, the longest first; those of which a length has
+        run out meanwhile are passed over early."""
+        if total <= 0:
+            yield ()
+            return
+        yield (total,)
+        yield from self.pairs(total)
+        for a in self.lengths:
+            if a < total and left[a]:
+                low, high = self.start[total - a], self.start[total - a + 1]
+                there = np.nonzero((self.a[low:high] <= a) & (left[self.a[low:high]] > 0) & (left[self.b[low:high]] > 0))[0]
+                for k in there.tolist():
+                    if not left[a]:
+                        break
+                    yield a, int(self.a[low + k]), int(self.b[low + k])
 
 
 def plan(count: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns ([(length, times)], number of sequences) that hold count[length] pieces of each length.
 
-    From the longest length down, a gap is filled exactly by one, two or three lengths as far as pieces are left; what then
-    remains goes best-fit, longest first, into the sequence with the least sufficient gap. The work depends on the number of
+    From the longest length down, a gap is filled exactly by one, two or three lengths, found by their sum in an index, as far
+    as pieces are left; what then remains goes best-fit, longest first, into the sequence with the least sufficient gap. The work depends on the number of
     different lengths, not on the number of pieces.
     """
     left = count.astype(np.int64).copy()
     patterns: list[tuple[list[tuple[int, int]], int]] = []
     rest: list[tuple[int, int]] = []
+    sums = Sums(np.nonzero(left)[0], capacity)
     for first in range(capacity, 0, -1):
-        while left[first]:
-            left[first] -= 1
-            others = _exact(left, capacity - first)
-            left[first] += 1
-            if others is None:
-                rest.append((first, int(left[first])))
-                left[first] = 0
-                break
+        # what is there only falls, so a combination that has run out never comes back
+        for others in sums.combinations(capacity - first, left) if left[first] else ():
             need: dict[int, int] = {}
-            for x in [first, *others]:
+            for x in (first, *others):
                 need[x] = need.get(x, 0) + 1
             n = min(int(left[x]) // k for x, k in need.items())
-            for x, k in need.items():
-                left[x] -= n * k
-            patterns.append((sorted(need.items(), reverse=True), n))
+            if n:
+                for x, k in need.items():
+                    left[x] -= n * k
+                patterns.append((sorted(need.items(), reverse=True), n))
+                if not left[first]:
+                    break
+        if left[first]:
+            rest.append((first, int(left[first])))
+            left[first] = 0
     open_: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     for length, n in rest:
         while n:
@@ -234,7 +244,7 @@ def packed(items: DataFrame, keys: list[str], capacity: int = 2048, length_col:
     Only the counts by length (at most `capacity` numbers) come to the driver, which plans patterns over them; rows are
     numbered within their length (a length with many rows in several runs by a hash of the keys) and look up their place by
     that rank. The table of runs has at most some rows a length, whatever the input. Lengths must be 1 to capacity, or an error is raised; rows equal in
-    all keys are interchangeable; an empty table gives no rows. Columns named sequence_id or offset are replaced.
+    all keys are interchangeable; an empty table gives no rows. Columns named sequence_id or offset are replaced, no other name clashes.
     """
     spark = items.sparkSession
     names = [c for c in items.columns if c not in ("sequence_id", "offset")]
@@ -258,19 +268,19 @@ def packed(items: DataFrame, keys: list[str], capacity: int = 2048, length_col:
         starts = [(x, 0, 0) for x, _ in splits]
     start = spark.createDataFrame(starts, "l long, salt long, start long")
     ranked = keyed.withColumn("i", F.row_number().over(Window.partitionBy("l", "salt").orderBy("h", *[F.col(f"r.`{k}`") for k in keys]))).join(start, ["l", "salt"])
-    ranked = ranked.select("r.*", F.col("l").alias("_l"), (F.col("start") + F.col("i") - 1).alias("_rank"))
+    ranked = ranked.select("r", "l", (F.col("start") + F.col("i") - 1).alias("rank"))
     at = runs(plan(count, capacity), capacity)
     wide = 1 << 44
     key = at[:, 0] * wide + at[:, 1]
 
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
-        own, rank = batch.column("_l").to_numpy(), batch.column("_rank").to_numpy()
+        own, rank = batch.column("l").to_numpy(), batch.column("rank").to_numpy()
         run = at[np.searchsorted(key, own * wide + rank, side="right") - 1]
         k = rank - run[:, 1]
-        yield {n: batch.column(n) for n in names} | {"sequence_id": run[:, 3] + k // run[:, 2], "offset": run[:, 4] + k % run[:, 2] * own}
+        yield dict(zip(names, batch.column("r").flatten())) | {"sequence_id": run[:, 3] + k // run[:, 2], "offset": run[:, 4] + k % run[:, 2] * own}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return mapped(ranked, ["*"], f"{schema}, sequence_id long, offset long", each)
+    return mapped(ranked, ["r", "l", "rank"], f"{schema}, sequence_id long, offset long", each)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Packing against the tokenizer itself, and plans against their laws."""
 
+import itertools
 import math
 import zlib
 
@@ -34,7 +35,6 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = packing.op5_packing(spark, d).collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = {}
     for doc, text in duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall():
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
@@ -73,11 +73,20 @@ def test_exact_complements():
     assert sum(n for _, n in packing.plan(count, 100)) == math.ceil((np.arange(101) * count).sum() / 100)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(1, 40), min_size=1, max_size=12), st.integers(1, 40))
+def test_sums_equal_all_combinations(lengths, total):
+    left = np.zeros(41, np.int64)
+    left[list(lengths)] = 9
+    got = [tuple(c) for c in packing.Sums(np.array(sorted(lengths)), 40).combinations(total, left)]
+    want = {c for k in (2, 3) for c in itertools.combinations_with_replacement(sorted(lengths, reverse=True), k) if sum(c) == total}
+    assert got[0] == (total,) and set(got[1:]) == want and len(got) == 1 + len(want)
+
+
 def test_texts(spark):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     known = packing.Words(PATH)
-    for text in ["", " ", "É é à\n\tb", "don't I'LL  we've", "ΣΑΣ σ", "日本語 テスト", "a b c\x1cd\x85e", "x" * 5000, "<|endoftext|> 1234 ½ ⅷ", "e ́ x", "İ ı ẞ", "👍🏽 ok"]:
+    for text in ["", " ", "É é à\n\tb", "don't I'LL  we've", "ΣΑΣ σ", "日本語 テスト", "a b c\x1cd\x85e", "x" * 5000, "<|endoftext|> 1234 ½ ⅷ", "hello <|endoftext|> world", "A<|endoftext|>b <|ENDOFTEXT|> <|endoftext", "it <|startoftext|>'s<|endoftext|><|endoftext|>é", "e ́ x", "İ ı ẞ", "👍🏽 ok"]:
         assert np.frombuffer(next(known.ids([text.encode()])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
@@ -85,7 +94,6 @@ def test_texts(spark):
 @given(st.lists(st.text(st.sampled_from("abzÀéßÿ÷ŒΣς'sdm19½!?&$#@^_`{|}~<>-/:[]\\ \n\t\u00a0\u0301é日"), max_size=40), max_size=5))
 def test_any_texts(texts):
     t = Tokenizer.from_file(PATH) if not hasattr(test_any_texts, "t") else test_any_texts.t
-    t.encode_special_tokens = True
     test_any_texts.t = t
     known = packing.Words(PATH, 5, 5) if not hasattr(test_any_texts, "w") else test_any_texts.w
     test_any_texts.w = known
@@ -96,6 +104,8 @@ def test_any_texts(texts):
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "word " * 5000), (4, "a b"), (4, "a b"), (None, "c")]
     df = spark.createDataFrame([(*r, 9, 9) for r in rows], "doc_id long, text string, length long, offset long")
+    clash = spark.createDataFrame([(1, 2000, 5, "x", 3, 7), (2, 48, 6, "y", 4, 8)], "doc_id long, length long, _l long, r string, rank long, _rank long")
+    assert sorted((r.doc_id, r._l, r.r, r.rank, r._rank, r.offset) for r in packing.packed(clash, ["doc_id"]).collect()) == [(1, 5, "x", 3, 7, 0), (2, 6, "y", 4, 8, 2000)]
     out = packing.packed(packing.pieces(df, PATH), ["doc_id", "piece", "ids_crc32"]).collect()
     assert sorted(r.length for r in out) == sorted([1, 1, 2048, 2048, 905, 3, 3, 2])
     whole(out)
