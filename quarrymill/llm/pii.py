@@ -22,9 +22,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What may be personal data although no pattern holds: digit groups, and addresses spelled out.
-DIGITS = re.compile(r"(?<![0-9A-Za-z.])\+?\(?[0-9](?:[ ().\-]{0,3}[0-9]){7,18}(?![0-9A-Za-z])")
-SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?(?:\(at\)|\[at\]|\{at\}| at ) ?([A-Za-z0-9-]{1,64}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,64}){1,4})", re.I)
+#: What may be personal data although no pattern holds: digit groups, and addresses spelled out. Possessive, so in linear time.
+DIGITS = re.compile(r"(?<![0-9A-Za-z.])\+?\(?[0-9](?:[ ().\-]{0,3}[0-9])*+")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++) ?(?:\(at\)|\[at\]|\{at\}| at ) ?([A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]++)++)", re.I)
 DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?", re.I)
 CONTEXT = tuple(re.compile(p, re.I) for p in (r"mail|contact|write|schreib|écri|escrib", r"\bip\b|host|server|address", r"card|visa|karte|carte|tarjeta|pay", r"phone|call|tel|fon|fax|llam|appel"))
 
@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
 
 def soft_spans(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Other candidates, which overlap no base span."""
-    found = [(m.start(), m.end()) for m in DIGITS.finditer(text)]
+    found = [(m.start(), m.end()) for m in DIGITS.finditer(text) if sum(c.isdigit() for c in m[0]) >= 8 and not (text[m.end() : m.end() + 1].isascii() and text[m.end() : m.end() + 1].isalnum())]
     if "at" in text or "AT" in text or "At" in text:
         found += [(m.start(), m.end()) for m in SPELLED.finditer(text) if "(" in m[0] or "[" in m[0] or "{" in m[0] or re.search(r" at .* dot ", m[0], re.I)]
     taken = sorted((s, e) for _, s, e in base)
@@ -79,7 +79,7 @@ def soft_spans(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 def normal(token: str) -> str:
     """What repeated mentions of one thing have in common: digits only, or the address in lower case with signs restored."""
-    if m := SPELLED.fullmatch(token):
+    if "@" not in token and (m := SPELLED.fullmatch(token)):
         return f"{m[1]}@{DOT.sub('.', m[2])}".lower()
     return token.lower() if "@" in token else re.sub("[^0-9]", "", token) if not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", token) else token
 
@@ -98,53 +98,115 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
+#: Features of a token's own shape, which training hides in a copy of each row, so that what its neighbours and like tokens say is learned.
+SHAPE = slice(1, 12)
+
+
+def alike(name: str) -> str:
+    """What similar names share: the last nine digits of a number, an address before its @; empty if too short to tell."""
+    key = "d" + name[-9:] if name.isdigit() else "m" + name.partition("@")[0] if "@" in name else ""
+    return key if len(key) > 4 else ""
+
+
+def votes(labels: list[int], names: list[str]) -> list[tuple[int, int]]:
+    """For each token the commonest label of other tokens of its name, and of tokens of similar names (-1: there are none)."""
+    width = len(KINDS) + 1
+    by_name: dict[str, list[int]] = {}
+    by_key: dict[str, list[int]] = {}
+    for y, name in zip(labels, names):
+        by_name.setdefault(name, [0] * width)[y] += 1
+        by_key.setdefault(alike(name), [0] * width)[y] += 1
+
+    def most(count: list[int]) -> int:
+        return max(range(width), key=count.__getitem__) if any(count) else -1
+
+    out = []
+    for y, name in zip(labels, names):
+        equal = by_name[name].copy()
+        similar = [a - b for a, b in zip(by_key[alike(name)], equal)] if alike(name) else [0] * width
+        equal[y] -= 1
+        out.append((most(equal), most(similar)))
+    return out
+
+
+def halved(strength: float) -> float:
+    """How strongly two links in a row must draw so that their ends draw each other with a given strength."""
+    low, high = 0.0, strength + 4.0
+    for _ in range(60):
+        b = (low + high) / 2
+        n = len(KINDS) + 1
+        through = np.log((np.exp(2 * b) + n - 1) / (2 * np.exp(b) + n - 2))
+        low, high = (b, high) if through < strength else (low, b)
+    return (low + high) / 2
+
+
 class Field:
-    """Weights of single tokens by label (O and the kinds) and of neighbouring labels, learned; how strongly equal and similar
-    tokens of a document pull each other to one label is a parameter."""
+    """Weights of single tokens by label (O and the kinds), of neighbouring labels, and how strongly equal and similar tokens of
+    a document draw each other to one label; all learned together."""
 
-    def __init__(self, single: np.ndarray, chain: np.ndarray, equal: float = 6.0, similar: float = 5.0, most: float = 3.0):
-        self.single, self.chain, self.equal, self.similar, self.most = single, chain, equal, similar, most
+    def __init__(self, single: np.ndarray, chain: np.ndarray, equal: float, similar: float):
+        self.single, self.chain, self.equal, self.similar = single, chain, equal, similar
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, follows: np.ndarray, steps: int = 200) -> Field:
-        """Softmax regression of labels on features, and log ratios of neighbouring labels. Without rows all weights are such that nothing is added."""
+    def fit(x: np.ndarray, y: np.ndarray, around: np.ndarray, weight: np.ndarray, steps: int = 500) -> Field:
+        """Weights by pseudo-likelihood: each token's label given its features and the labels around it, which are those of the
+        token before, the token after (0 where there is none), equal ones and similar ones (-1 where there are none).
+        Without rows nothing is ever added."""
         labels = len(KINDS) + 1
-        w = np.zeros((x.shape[1], labels))
-        w[0, 0] = 2.0
-        truth = np.eye(labels)[y]
-        for _ in range(steps if len(x) else 0):
-            z = x @ w
+        w, chain, skips = np.zeros((x.shape[1], labels)), np.zeros((labels, labels)), np.zeros(2)
+        if not len(x):
+            w[0, 0] = 4.0
+            return Field(w, chain, 0.0, 0.0)
+        hidden = x.copy()
+        hidden[:, SHAPE] = 0
+        x, y, around, weight = np.concatenate([x, hidden]), np.tile(y, 2), np.tile(around, (2, 1)), np.tile(weight / weight.sum() / 2, 2)
+        truth, rows = np.eye(labels)[y], np.arange(len(x))
+        said = [np.where((around[:, j] >= 0)[:, None], np.eye(labels)[around[:, j]], 0.0) for j in (2, 3)]
+        squares = [np.zeros_like(v) for v in (w, chain, skips)]
+        for _ in range(steps):
+            z = x @ w + chain[around[:, 0]] + chain.T[around[:, 1]] + skips[0] * said[0] + skips[1] * said[1]
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            w -= 2.0 * (x.T @ (p - truth) / len(x) + 1e-4 * w)
-        joint = follows + 1.0
-        ratio = np.log(joint * joint.sum() / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
-        return Field(w, np.clip(0.25 * ratio, -0.5, 0.5))
-
-    def label(self, x: np.ndarray, known: np.ndarray, names: list[str], rounds: int = 12) -> np.ndarray:
-        """Beliefs by loopy sum-product messages. known: a token's certain label, or -1. Neighbours in the text are linked; equal
-        names all link to a node of their own and similar names link those, so that links grow with the tokens, not their pairs."""
+            off = (p - truth) * weight[:, None]
+            by_chain = np.zeros_like(chain)
+            np.add.at(by_chain, around[rows, 0], off)
+            np.add.at(by_chain.T, around[rows, 1], off)
+            slopes = (x.T @ off + 1e-4 * w, by_chain + 1e-3 * chain, np.array([(off * s).sum() for s in said]) + 1e-4 * skips)
+            for value, slope, square in zip((w, chain, skips), slopes, squares):  # steps of a size that each weight's own slopes tell
+                square += slope**2
+                value -= 0.3 * slope / np.sqrt(square + 1e-12)
+        return Field(w, chain, max(0.0, float(skips[0])), max(0.0, float(skips[1])))
+
+    def graph(self, x: np.ndarray, known: np.ndarray, names: list[str]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+        """Log potentials of nodes and of links (node, node, labels x labels). Neighbours in the text are linked; equal names all
+        link to a node of their own and similar names link those, so that links grow with the tokens, not their pairs."""
         n, labels = len(x), self.single.shape[1]
         groups = {name: n + k for k, name in enumerate(dict.fromkeys(names))}
         unary = np.zeros((n + len(groups), labels))
-        own = x @ self.single
-        unary[:n] = np.maximum(own - own.max(axis=1, keepdims=True), -self.most)  # patterns that miss are weak evidence
+        unary[:n] = x @ self.single
+        unary[0] += self.chain[0]  # text begins and ends with tokens of no kind
+        unary[n - 1] += self.chain[:, 0]
         fixed = np.nonzero(known >= 0)[0]
         unary[fixed] = -60.0
         unary[fixed, known[fixed]] = 0.0
         agree = np.eye(labels)
-        edges = [(i, i + 1, self.chain) for i in range(n - 1)] + [(i, groups[name], self.equal * agree) for i, name in enumerate(names)]
-        tails: dict[str, str] = {}
+        links = [(i, i + 1, self.chain) for i in range(n - 1)] + [(i, groups[name], halved(self.equal) * agree) for i, name in enumerate(names)]
+        last: dict[str, str] = {}
         for name in groups:
-            key = "d" + name[-9:] if name.isdigit() else "m" + name.partition("@")[0] if "@" in name else ""
-            if len(key) > 4:
-                if key in tails:
-                    edges.append((groups[tails[key]], groups[name], self.similar * agree))
-                tails[key] = name
-        a = np.array([e[0] for e in edges] + [e[1] for e in edges])
-        b = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        pair = np.array([e[2] for e in edges] + [e[2].T for e in edges])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+            if key := alike(name):
+                if key in last:
+                    links.append((groups[last[key]], groups[name], self.similar * agree))
+                last[key] = name
+        return unary, links
+
+    def label(self, x: np.ndarray, known: np.ndarray, names: list[str], rounds: int = 50) -> np.ndarray:
+        """Beliefs by loopy sum-product messages; exact where links make no loop. known: a token's certain label, or -1."""
+        n, labels = len(x), self.single.shape[1]
+        unary, links = self.graph(x, known, names)
+        a = np.array([e[0] for e in links] + [e[1] for e in links])
+        b = np.array([e[1] for e in links] + [e[0] for e in links])
+        pair = np.array([e[2] for e in links] + [e[2].T for e in links])
+        back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         messages = np.zeros((len(a), labels))
         for _ in range(rounds):
             belief = unary.copy()
@@ -172,7 +234,7 @@ def nodes(text: str) -> tuple[list[Span], list[tuple[int, int]], list[tuple[int,
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: with the candidates to which the field gives a kind with a belief over one half."""
     base, soft, order = nodes(text)
-    if not soft or not base:
+    if not soft:
         return base, base
     x = np.array([features(text, s, e) for s, e, _ in order], float)
     p = field.label(x, np.array([k for _, _, k in order]), [normal(text[s:e]) for s, e, _ in order])
@@ -180,38 +242,36 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     return base, sorted([*base, *more])
 
 
+def lessons(text: str) -> Iterator[tuple[int, ...]]:
+    """A row for each token of a text: label, labels before and after, votes of equal and similar tokens, features. What the
+    patterns find has their kind; another candidate has the kind of a find of its name, or of a similar one, in the same text, else none."""
+    order = nodes(text)[2]
+    names = [normal(text[s:e]) for s, e, _ in order]
+    kinds = {name: k for (_, _, k), name in zip(order, names) if k > 0}
+    like = {alike(name): k for name, k in kinds.items() if alike(name)}
+    labels = [k if k > 0 else kinds.get(name, like.get(alike(name), 0)) for (_, _, k), name in zip(order, names)]
+    for i, ((s, e, _), vote) in enumerate(zip(order, votes(labels, names))):
+        yield labels[i], labels[i - 1] if i else 0, labels[i + 1] if i + 1 < len(order) else 0, *vote, *map(int, features(text, s, e))
+
+
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> Field:
-    """A field fitted on the candidates of about `sample` documents (chosen by a hash of their id; all, if there are fewer),
-    labelled by the patterns: what they find has their kind, every other candidate none."""
+    """A field fitted on the tokens of about `sample` documents (chosen by a hash of their id; all, if there are fewer), labelled
+    as lessons() says. Null and empty texts teach nothing; of an empty table comes a field that never adds anything."""
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(max(1, n))) < sample).select(F.col(text_col).alias("text"))
-    width, labels = len(features("", 0, 0)), len(KINDS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
-        follows = np.zeros((labels, labels))
+        seen: dict[tuple[int, ...], int] = {}
         for b in batches:
             for text in b.column(0).to_pylist():
-                last = 0
-                for s, e, k in nodes(text or "")[2]:
-                    key = (max(k, 0), *map(int, features(text, s, e)))
-                    seen[key] = seen.get(key, 0) + 1
-                    follows[last, max(k, 0)] += 1
-                    last = max(k, 0)
-        rows = [[float(v), *map(float, k)] for k, v in seen.items()] + [[-1.0, *follows.ravel()]]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["row"])
-
-    # distinct rows of ones and zeros with their counts: bounded by the features, not the documents
-    x, y, weight, follows = [], [], [], np.zeros((labels, labels))
-    for (row,) in some.mapInArrow(run, "row array<double>").collect():
-        if row[0] < 0:
-            follows += np.array(row[1:]).reshape(labels, labels)
-        else:
-            weight.append(row[0])
-            y.append(int(row[1]))
-            x.append(row[2:])
-    times = np.ceil(np.array(weight) / max(1.0, sum(weight) / 20_000)).astype(int) if weight else np.zeros(0, int)
-    return Field.fit(np.repeat(np.array(x).reshape(-1, width), times, axis=0), np.repeat(np.array(y, int), times), follows)
+                for row in lessons(text or ""):
+                    seen[row] = seen.get(row, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(seen.values(), pa.int64())], ["row", "n"])
+
+    # distinct rows of small numbers with their counts: bounded by what they can say, not by the documents
+    found = some.mapInArrow(run, "row array<int>, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()
+    rows = np.array([r.row for r in found], int).reshape(-1, 5 + len(features("", 0, 0)))
+    return Field.fit(rows[:, 5:].astype(float), rows[:, 0], rows[:, 1:5], np.array([r.n for r in found], float))
 
 
 def written(spans: list[Span]) -> str:
@@ -221,7 +281,8 @@ def written(spans: list[Span]) -> str:
 def found(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and masked text if asked for). Counts are of base spans.
 
-    A null text is empty and has no spans. Positions are code points, ends exclusive. In masked text each span (where they
+    A null text is empty and has no spans; texts of any length are read whole; repeated rows stay; an empty table gives no rows;
+    other columns than the two named are not read. Positions are code points, ends exclusive. In masked text each span (where they
     overlap, their union) gives way to its kind in angle brackets, a null text stays null.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked string" * masked
@@ -250,7 +311,8 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, field: Field, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """All rows and columns of docs with the text masked, and its length, where there is such a column, counted anew."""
+    """All rows and columns of docs, whatever their names, with the text masked, and its length, where there is such a column,
+    counted anew; a null text stays null."""
     schema, names = docs.schema, docs.columns
     arrow = arrow_schema(docs.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
 

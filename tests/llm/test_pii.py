@@ -69,3 +69,53 @@ def test_edges(spark):
     assert by[None].spans == "email:0:5,ip:8:15" and by[None].masked == "<EMAIL> é <IP>"
     assert by[6].n_ip == 20_000
     assert pii.found(df.where("false"), pii.trained(df.where("false"))).count() == 0
+
+
+def test_messages_equal_enumeration():
+    """Exact where links make no loop; the same labels where they do."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    labels = len(pii.KINDS) + 1
+    for names in (["a", "b", "c"], ["a"], ["111111111", "b", "c", "d"], ["x@y.z", "b", "x@y.z"], ["a", "a", "b", "a"]):
+        field = pii.Field(rng.normal(size=(16, labels)), 0.3 * rng.normal(size=(labels, labels)), 2.0, 1.0)
+        x, known = rng.integers(0, 2, (len(names), 16)).astype(float), np.array([-1] * len(names))
+        known[-1] = 2
+        unary, links = field.graph(x, known, names)
+        p = np.zeros((len(names), labels))
+        for y in itertools.product(range(labels), repeat=len(unary)):
+            weight = np.exp(sum(unary[i, k] for i, k in enumerate(y)) + sum(m[y[a], y[b]] for a, b, m in links))
+            for i in range(len(names)):
+                p[i, y[i]] += weight
+        p /= p.sum(axis=1, keepdims=True)
+        got = field.label(x, known, names)
+        if len(set(names)) == len(names):
+            assert np.allclose(got, p, atol=1e-4)
+        assert (got.argmax(axis=1) == p.argmax(axis=1)).all()
+
+
+def test_potentials_are_learned(spark):
+    """Equal and similar tokens draw each other as strongly as the texts teach; without a lesson nothing is added."""
+    lines = ["Call +1 (555) 010-4477 today, or 555 010 4477 at night, 555.010.4477 too.", "Mail jo@ex.org or jo (at) ex (dot) org.", "Rows 20200101 and 20200102."]
+    field = pii.trained(spark.createDataFrame([(i, x) for i, x in enumerate(lines * 20)], "doc_id long, text string"))
+    assert field.equal > 1
+    assert pii.all_spans("Rows 20190101 of it", field) == ([], [])
+    # without a find in the same text: what a candidate looks like decides
+    assert pii.all_spans("write to ann (at) ex (dot) org now", field) == ([], [(0, 9, 30)])
+    nothing = pii.trained(spark.createDataFrame([(1, "no tokens")], "doc_id long, text string"))
+    assert pii.all_spans(lines[0], nothing)[1] == pii.base_spans(lines[0])
+
+
+def test_candidates_of_any_length():
+    text = "x " + "1 2-" * 5000 + "3 and " + "a" * 5000 + " (at) " + "b" * 300 + " (dot) c" * 40
+    assert [e - s for s, e in pii.soft_spans(text, [])] == [4 * 5000 + 1, 5000 + 6 + 300 + 8 * 40]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x@y.z", "p", 5, 6), (1, "x@y.z", "p", 5, 6)], "doc_id long, text string, masked string, n_ip long, spans int")
+    out = pii.found(df, pii.trained(df), masked=True).collect()
+    assert len(out) == 2 and all((r.n_email, r.n_ip, r.masked) == (1, 0, "<EMAIL>") for r in out)
+    kept = pii.redacted(df, pii.trained(df)).collect()
+    assert [tuple(r) for r in kept] == [(1, "<EMAIL>", "p", 5, 6)] * 2
