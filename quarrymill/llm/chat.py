@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ from quarrymill.llm.base import arrow_schema, cut, table
 #: Turns whose events one task numbers.
 STRETCH = 4096
 LATE = 1 << 62
+#: Links of a conversation that one task puts in order; conversations with more are put in order round by round over all tasks.
+LINKS = 100_000
+NODE = "c long, kind string, id string, k long, d int, cyclic boolean"
 EVENT = "conv_id long, turn long, kind string, id string, name string, body string, after array<string>"
 
 
@@ -108,17 +112,94 @@ def checked(kind: str, id_: str | None, name: str | None, body: str | None, sche
     return not wrong, "; ".join(wrong), text
 
 
-def linked(events: DataFrame, schemas: dict[str, dict], rounds: int = 64) -> DataFrame:
+def settled(t: list[int], before: list[int], after: list[int]) -> list[tuple[int, int, bool]]:
+    """(k, d, cyclic) of nodes with turns t under links before -> after: a node's key is the greatest of its own (t, 0) and of
+    (k, d + 1) of those before it. Who waits for a circle is never free; it keeps (t, 0) and is cyclic."""
+    following: list[list[int]] = [[] for _ in t]
+    waits, keys = [0] * len(t), [(x, 0) for x in t]
+    for a, b in zip(before, after):
+        following[a].append(b)
+        waits[b] += 1
+    free = [i for i, n in enumerate(waits) if not n]
+    done = [False] * len(t)
+    while free:
+        i = free.pop()
+        done[i] = True
+        for j in following[i]:
+            keys[j] = max(keys[j], (keys[i][0], keys[i][1] + 1))
+            waits[j] -= 1
+            if not waits[j]:
+                free.append(j)
+    return [(*k, False) if ok else (x, 0, True) for k, ok, x in zip(keys, done, t)]
+
+
+def _in_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """settled() for each conversation, as NODE."""
+    arrow = arrow_schema(nodes.sparkSession, NODE)
+
+    def run(own: pa.Table, links: pa.Table) -> pa.Table:
+        c, kind, id_, t = (own.column(n).to_pylist() for n in ("c", "kind", "id", "t"))
+        at = {x: i for i, x in enumerate(zip(kind, id_))}
+        before, after = ([at[x] for x in zip(links.column(a).to_pylist(), links.column(b).to_pylist())] for a, b in (("pk", "pid"), ("kind", "id")))
+        found = settled(t, before, after)
+        return pa.table([pa.array(x, f.type) for x, f in zip((c, kind, id_, *zip(*found)), arrow)], schema=arrow) if found else arrow.empty_table()
+
+    return cut(nodes).groupBy("c").cogroup(cut(edges).groupBy("c")).applyInArrow(run, NODE)
+
+
+def _in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same over all tasks: whoever waits for nobody is free, and tells those after it; as many rounds as the longest chain has links."""
+    key = ["c", "kind", "id"]
+    todo, left, done = cut(nodes.select(*key, "t", F.col("t").alias("k"), F.lit(0).alias("d"))), cut(edges), []
+    while True:
+        free = cut(todo.join(left.select(*key).distinct(), key, "left_anti").select(*key, "k", "d"))
+        if free.isEmpty():
+            break
+        done.append(free.withColumn("cyclic", F.lit(False)))
+        if len(done) == 16:  # else the plan would grow with the rounds
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        who = free.select("c", F.col("kind").alias("pk"), F.col("id").alias("pid"), F.col("k").alias("fk"), (F.col("d") + 1).alias("fd"))
+        told = left.join(who, ["c", "pk", "pid"]).groupBy(*key).agg(F.max(F.struct("fk", "fd")).alias("n"))
+        todo = todo.join(free.select(*key), key, "left_anti").join(told, key, "left")
+        later = F.col("n").isNotNull() & (F.struct(F.col("n.fk").alias("k"), F.col("n.fd").alias("d")) > F.struct("k", "d"))
+        todo = cut(todo.select(*key, "t", F.when(later, F.col("n.fk")).otherwise(F.col("k")).alias("k"), F.when(later, F.col("n.fd")).otherwise(F.col("d")).alias("d")))
+        left = cut(left.join(who.select("c", "pk", "pid"), ["c", "pk", "pid"], "left_anti"))
+    done.append(todo.select(*key, F.col("t").alias("k"), F.lit(0).alias("d"), F.lit(True).alias("cyclic")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def placed(nodes: DataFrame, edges: DataFrame, links: int = LINKS) -> DataFrame:
+    """Who must move, or is cyclic, as NODE. nodes: (c, kind, id, t); edges: (c, pk, pid, kind, id), what comes before what.
+
+    Where no link runs back in time, as in most conversations, turns are the order and there is no circle. Others are put in order
+    by settled(), in one task each if they have few links, else over all tasks; there is no limit to chains either way.
+    """
+    by = lambda kind, id_, t: nodes.select("c", F.col("kind").alias(kind), F.col("id").alias(id_), F.col("t").alias(t))
+    edges = edges.join(by("pk", "pid", "pt"), ["c", "pk", "pid"]).join(by("kind", "id", "st"), ["c", "kind", "id"])
+    size = cut(edges.groupBy("c").agg(F.count("*").alias("size"), F.max(F.col("pt") >= F.col("st")).alias("back")).where("back").select("c", "size"))
+    if size.isEmpty():
+        return nodes.sparkSession.createDataFrame([], NODE)
+    key, found = ["c", "pk", "pid", "kind", "id"], None
+    for which in (f"size <= {links}", f"size > {links}"):
+        few = size.where(which).select("c")
+        if not few.isEmpty():
+            out = (_in_tasks if "<=" in which else _in_rounds)(nodes.join(few, "c", "left_semi"), edges.join(few, "c", "left_semi").select(*key))
+            found = out if found is None else found.unionByName(out)
+    moved = found.join(nodes, ["c", "kind", "id"]).where("k <> t or d > 0 or cyclic")
+    return cut(moved.select("c", "kind", "id", "k", "d", "cyclic"))
+
+
+def linked(events: DataFrame, schemas: dict[str, dict], links: int = LINKS) -> DataFrame:
     """(conv_id, position, turn, kind, id, linked, call_turn, cyclic, valid, errors, json), a row for each event.
 
     events: see EVENT. A `call` has an id, a tool's name, arguments as JSON, and ids it comes `after`; a `result` names its
     call by id; a `message` has its role as name. Results meet calls in a join on (conv_id, id); where calls share an id the
     one with the least turn counts; a result without a call, and a call without a result, has linked = false. Positions are
     gapless from 0 in each conversation, by turn, but a result never stands before its call, nor a call before the results it
-    comes after. Whoever waits in a circle (or still moved after half of the rounds, when these end) keeps to its turn and is
-    marked cyclic. Null turns come last; a null conv_id is a
+    comes after, however long the chain. Whoever waits in a circle, or for one, keeps to its turn and is marked cyclic. Null turns come last; a null conv_id is a
     conversation of its own; null ids link nothing; repeated rows stay. Conversations are numbered in stretches of turns, so
-    none is ever in one task as a whole.
+    no large one is ever in one task as a whole. Bodies of any length are read whole; an empty table gives no rows; other columns of
+    events are not read.
     """
     spark = events.sparkSession
     own = events.select(F.coalesce("conv_id", F.lit(-LATE)).alias("c"), "conv_id", "turn", F.coalesce("turn", F.lit(LATE)).alias("t"), "kind", "id", "name", "body", "after")
@@ -126,30 +207,11 @@ def linked(events: DataFrame, schemas: dict[str, dict], rounds: int = 64) -> Dat
     answered = own.where("kind = 'result' and id is not null").select("c", "id").distinct().withColumn("answered", F.lit(True))
     own = own.join(calls, ["c", "id"], "left").join(answered, ["c", "id"], "left")
     own = own.withColumn("linked", F.when(F.col("kind") == "call", F.coalesce("answered", F.lit(False))).when(F.col("kind") == "result", F.col("call_t").isNotNull()))
-    # nodes of the order: calls and results by id; only who must move is looked at
-    state = own.where("kind <> 'message' and id is not null").groupBy("c", "kind", "id").agg(F.min("t").alias("t"))
-    state = cut(state.withColumns({"k": F.col("t"), "d": F.lit(0)}))
+    nodes = own.where("kind <> 'message' and id is not null").groupBy("c", "kind", "id").agg(F.min("t").alias("t"))
     edges = own.where("kind = 'result' and call_t is not null").select("c", F.lit("call").alias("pk"), F.col("id").alias("pid"), F.lit("result").alias("kind"), "id").unionByName(
         own.where("kind = 'call' and id is not null").select("c", F.lit("result").alias("pk"), F.explode("after").alias("pid"), F.lit("call").alias("kind"), "id")
     )
-    edges = cut(edges.where("pid is not null").distinct())
-    moved = state.select(F.col("c"), F.col("kind").alias("pk"), F.col("id").alias("pid"), "k", "d")
-    waiting = None  # who still moved in the second half of the rounds
-    for i in range(rounds + 1):
-        new = edges.join(moved, ["c", "pk", "pid"]).groupBy("c", "kind", "id").agg(F.max(F.struct("k", (F.col("d") + 1).alias("d"))).alias("n")).select("c", "kind", "id", F.col("n.k").alias("nk"), F.col("n.d").alias("nd"))
-        new = cut(new.join(state.select("c", "kind", "id", "k", "d"), ["c", "kind", "id"]).where("nk > k or (nk = k and nd > d)").select("c", "kind", "id", "nk", "nd"))
-        if new.isEmpty():
-            break
-        if i > rounds // 2:
-            waiting = new.select("c", "kind", "id") if waiting is None else waiting.unionByName(new.select("c", "kind", "id"))
-        if i == rounds:
-            state = state.join(waiting.distinct().withColumn("cyclic", F.lit(True)), ["c", "kind", "id"], "left").withColumns({"k": F.when(F.col("cyclic"), F.col("t")).otherwise(F.col("k")), "d": F.when(F.col("cyclic"), 0).otherwise(F.col("d"))})
-            break
-        state = cut(state.join(new, ["c", "kind", "id"], "left").select("c", "kind", "id", "t", F.coalesce("nk", "k").alias("k"), F.coalesce("nd", "d").alias("d")))
-        moved = new.select("c", F.col("kind").alias("pk"), F.col("id").alias("pid"), F.col("nk").alias("k"), F.col("nd").alias("d"))
-    if "cyclic" not in state.columns:
-        state = state.withColumn("cyclic", F.lit(None).cast("boolean"))
-    late = state.where("k <> t or d > 0 or cyclic").select("c", "kind", "id", "k", "d", "cyclic")
+    late = placed(cut(nodes), cut(edges.where("pid is not null").distinct()), links)
     own = own.join(late, ["c", "kind", "id"], "left")
     own = own.withColumns({"k": F.greatest(F.coalesce("k", "t"), "t"), "d": F.coalesce("d", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))}).withColumn("part", F.expr(f"k div {STRETCH}"))
     count = own.groupBy("c", "part").count()

@@ -19,8 +19,28 @@ def test_query_equals_sql(spark):
     assert got == sorted(duckdb.sql(chat.OP7_SQL).fetchall(), key=str)
 
 
-def events(spark, rows):
-    return chat.linked(spark.createDataFrame(rows, chat.EVENT), SCHEMAS, rounds=6).orderBy("conv_id", "position").collect()
+def events(spark, rows, links=chat.LINKS):
+    return chat.linked(spark.createDataFrame(rows, chat.EVENT), SCHEMAS, links).orderBy("conv_id", "position").collect()
+
+
+def test_chains_of_any_length(spark):
+    """70 calls, each to come after the next later one: the order turns round, and nothing is called a circle."""
+    rows = [(1, 2 * i, "call", f"k{i}", "add", '{"a": 1}', [f"k{i + 1}"] if i < 69 else None) for i in range(70)]
+    rows += [(1, 2 * i + 1, "result", f"k{i}", None, "", None) for i in range(70)]
+    rows += [(2, 0, "call", "x", "add", "{}", ["y"]), (2, 1, "call", "y", "add", "{}", ["x"]), (2, 2, "result", "x", None, "", None), (2, 3, "result", "y", None, "", None)]
+    out = events(spark, rows)
+    own = [r for r in out if r.conv_id == 1]
+    assert [(r.kind, r.id) for r in own] == [(k, f"k{i}") for i in range(69, -1, -1) for k in ("call", "result")]
+    assert not any(r.cyclic for r in own) and all(r.cyclic for r in out if r.conv_id == 2)
+
+
+def test_both_ways_of_ordering_agree(spark):
+    rows = []
+    for c in range(6):
+        for i in range(5):
+            rows += [(c, (7 * i + c) % 11, "call", f"k{i}", "add", "{}", [f"k{(i * (c + 2) + 1) % 6}", "none"] if i else None), (c, (3 * i + c) % 11, "result", f"k{i}", None, "", None)]
+    a, b = events(spark, rows), events(spark, rows, links=0)
+    assert a == b and any(r.cyclic for r in a) and any(not r.cyclic for r in a)
 
 
 def test_order_links_and_checks(spark, monkeypatch):
