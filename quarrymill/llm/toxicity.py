@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.base import arrow_schema, table
 
-#: Labelled rows used for fitting, at most; the lexicon's units, at most; folds of those rows.
-SAMPLE, UNITS, FOLDS = 9_000, 3_000, 4
+#: Labelled rows used for fitting, at most; folds of those rows.
+SAMPLE, FOLDS = 9_000, 4
 #: Words of the second person in the languages of the tables.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen deinem deiner euch ihr sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
 WORD = re.compile(r"[^\W\d_]+")
@@ -59,7 +59,7 @@ def features(text: str, seen: Seen) -> np.ndarray:
     n, data = max(1, len(words)), np.frombuffer(text.encode(), np.uint8)
     weight = np.fromiter(map(seen.__getitem__, words), float, len(words))
     hits = np.nonzero(weight)[0]
-    second = np.array([i for i, w in enumerate(words) if w in SECOND], np.int64) if len(hits) else np.zeros(0, np.int64)
+    second = np.array([i for i, w in enumerate(words) if w in SECOND], np.int64)
     near = 0
     if len(hits) and len(second):
         k = np.searchsorted(second, hits)
@@ -69,7 +69,7 @@ def features(text: str, seen: Seen) -> np.ndarray:
     size, letters = max(1, len(data)), max(1, int(count[65:91].sum() + count[97:123].sum()))
     marks = int(count[33] + count[63])
     return np.array([
-        weight.sum() / n, weight.max(initial=0.0), np.sort(weight)[-3:].sum(), len(hits) / n, min(len(hits), 20), min(len({words[i] for i in hits[:200].tolist()}), 20),
+        weight.sum() / n, weight.max(initial=0.0), np.sort(weight)[-3:].sum(), len(hits) / n, min(len(hits), 20), min(len({words[i] for i in hits.tolist()}), 20),
         len(second) / n, near / n, count[65:91].sum() / letters, marks / size, (count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()) / size,
         count[48:58].sum() / size, len(MASKED.findall(text)) / n, len(SPACED.findall(text)) / n, len(REPEATED.findall(text)) / n, len(set(words)) / n,
     ])
@@ -187,9 +187,10 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model fitted on at most about `sample` labelled rows, chosen by a hash of their id, none of which is kept out.
 
     Executors count the lexicon's units by fold and label, then give each row's features under the lexicon of the other
-    folds; the driver gets at most `UNITS` units and `sample` rows of 16 numbers, boosts trees on all folds but one and
-    calibrates on that one. Labels without text, null labels and repeated labels (the greatest counts) do no harm; without
-    any rows of both labels the score is a constant.
+    folds; the driver gets the units that at least three toxic rows of the sample hold and `sample` rows of 16 numbers, boosts
+    trees on all folds but one and calibrates on that one. Labels without text, null labels and repeated labels (the greatest
+    counts) do no harm; without any rows of both labels, as of an empty table, the score is a constant. Texts of any length
+    count as a whole, words of any length too. Only the columns named here are read, so other names cannot clash.
     """
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null").where(~kept_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -204,7 +205,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             for fold, toxic, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 total[fold, toxic] += 1
-                for u in {u for w in set(WORD.findall((text or "").lower())) if len(w) <= 40 for u in units(w)}:
+                for u in {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}:
                     if u not in found:
                         found[u] = np.zeros((FOLDS, 2), np.int64)
                     found[u][fold, toxic] += 1
@@ -217,8 +218,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     cells = range(2 * FOLDS)
     counted = rows.mapInArrow(count, "unit string, n array<long>").groupBy("unit").agg(*[F.sum(F.col("n")[i]).alias(f"c{i}") for i in cells])
     clean, toxic = [sum((F.col(f"c{i}") for i in cells if i % 2 == t), F.lit(0)) for t in (0, 1)]
-    strong = counted.withColumn("by", F.when(F.col("unit") == "", 1e18).otherwise(toxic * F.log((toxic + 0.25) / (clean + 0.25)))).where((F.col("unit") == "") | ((toxic >= 3) & (toxic * 2 > clean)))
-    counts = {r[0]: np.array(r[1 : 1 + 2 * FOLDS], np.int64).reshape(FOLDS, 2) for r in strong.orderBy(F.desc("by"), "unit").limit(UNITS).collect()}
+    strong = counted.where((F.col("unit") == "") | ((toxic >= 3) & (toxic * 2 > clean)))
+    counts = {r[0]: np.array(r[1 : 1 + 2 * FOLDS], np.int64).reshape(FOLDS, 2) for r in strong.collect()}
     total = counts.pop("", np.zeros((FOLDS, 2), np.int64))
     whole = _lexicon(counts, total, None)
     others = [_lexicon(counts, total, f) for f in range(FOLDS)]
@@ -243,7 +244,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row; a null text is empty."""
+    """(doc_id, score) for each row, repeated ones too; a null text is empty, an empty one has a score like any other. Texts are
+    measured whole; an empty table gives no rows; columns other than the two named are not read."""
     arrow = arrow_schema(docs.sparkSession, "doc_id long, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,54 @@ def test_boosting_finds_an_interaction():
     edges = [np.quantile(x[:, j], np.linspace(0.02, 0.98, 40)) for j in range(3)]
     trees, start = toxicity.boosted(toxicity.binned(x, edges), y, 41)
     assert ((toxicity.margins(toxicity.binned(x, edges), trees, start) > 0) == y).mean() > 0.95
+
+
+def test_features_of_whole_texts():
+    """Different hits after many of one kind count, and the second person counts without any."""
+    seen = toxicity.Seen({"=bad": 3.0, "=worse": 3.0})
+    one, two = toxicity.features("bad " * 250, seen), toxicity.features("bad " * 250 + "worse", seen)
+    assert (one[5], two[5]) == (1, 2)
+    assert toxicity.features("you and your friends", seen)[6] == 0.5
+
+
+def test_scores_equal_a_plain_walk():
+    """Binning, trees and calibration against plain loops over the same model."""
+    rng = np.random.default_rng(0)
+    x = rng.random((400, toxicity.WIDTH)).round(2)
+    y = (x[:, 0] + 0.3 * rng.random(400) > 0.6).astype(float)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0.02, 0.995, 40))) for j in range(toxicity.WIDTH)]
+    trees, start = toxicity.boosted(toxicity.binned(x, edges), y, 41, rounds=12)
+    margin = toxicity.margins(toxicity.binned(x, edges), trees, start)
+    raw, calibrated = toxicity.isotonic(margin, y)
+    model = toxicity.Model({}, edges, trees, start, raw, calibrated)
+    got = toxicity.scores(x, model)
+    for row, value in zip(x[:60], got[:60]):
+        bins = [sum(e < v for e in edge) for v, edge in zip(row, edges)]
+        total = start
+        for tree in trees:
+            node = 0
+            while node < len(tree.feature):
+                node = 2 * node + (1 if bins[tree.feature[node]] <= tree.upto[node] else 2)
+            total += tree.value[node - len(tree.feature)]
+        k = int(np.searchsorted(raw, total))
+        if k == 0 or k == len(raw):
+            level = calibrated[min(k, len(raw) - 1)]
+        else:
+            low, high = raw[k - 1], raw[k]
+            level = calibrated[k - 1] + (calibrated[k] - calibrated[k - 1]) * ((total - low) / (high - low) if high > low else 1)
+        assert abs(value - (0.999 * min(max(level, 0), 1) + 0.001 / (1 + np.exp(-total)))) < 1e-9
+    order = np.argsort(margin)
+    assert (np.diff(got[order]) >= -1e-12).all() and got.min() >= 0 and got.max() <= 1
+
+
+def test_long_words_and_clashing_names(spark):
+    word = "schimpf" * 9
+    rows = [(i, (word if i % 2 else "gut") + " text " * 5, 7, 0.5) for i in range(120)] + [(500, None, 1, None), (500, "", 1, None), (None, "x", 2, None), (501, "y " * 200_000, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.trained(docs, labels)
+    assert "=" + word in model.lexicon
+    out = toxicity.scored(docs, model).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out) and out[0].__fields__ == ["doc_id", "score"]
+    empty = toxicity.scored(docs.where("false"), toxicity.trained(docs.where("false"), labels))
+    assert empty.count() == 0
