@@ -59,6 +59,25 @@ def test_hypergeometric():
 
 
 def test_matrix():
-    rows = [7, 0, 100, 13, 1]
-    m = sharding.communication(rows, 8, 3)
-    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and m.min() >= 0
+    rows, rng = [7, 0, 100, 13, 1], np.random.default_rng(3)
+    free = sharding.shard_sizes(sum(rows), 8, rng)
+    m = sharding.communication(rows, free, rng)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == free and max(free) - min(free) <= 1 and m.min() >= 0
+
+
+def test_matrix_in_groups(spark):
+    """Two levels give the margins of one, and the draws of one: a cell's mean and spread are the hypergeometric's."""
+    rows = {p: 10 + p % 5 for p in range(40)}
+    cells = []
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        groups = [sum(rows[p] for p in range(g, g + 8)) for g in range(0, 40, 8)]
+        totals = sharding.communication(groups, sharding.shard_sizes(sum(rows.values()), 4, rng), rng)
+        own = [sharding.communication([rows[p] for p in range(g, g + 8)], totals[g // 8].tolist(), np.random.default_rng([seed, g])) for g in range(0, 40, 8)]
+        m = np.concatenate(own)
+        assert m.sum(axis=1).tolist() == list(rows.values()) and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+        cells += m[[p for p in rows if rows[p] == 12]].ravel().tolist()
+    assert abs(np.mean(cells) - 3) < 0.1 and abs(np.var(cells) - 12 * 0.25 * 0.75) < 0.2
+    count = spark.createDataFrame(list(rows.items()), "part long, n long")
+    upto = {r.part: r.upto for r in sharding.bounds(count, 4, 5, group=8).collect()}
+    assert set(upto) == set(rows) and all(sorted(u) == u and len(u) == 3 and u[-1] <= rows[p] for p, u in upto.items())
