@@ -27,27 +27,44 @@ BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figcap
 MEDIA = frozenset("img audio video source embed".split())
 
 
+class Figure:
+    """An open figure: its media items, what its caption says so far, where among the items the caption began, and whether it is open."""
+
+    def __init__(self) -> None:
+        self.media: list[list] = []
+        self.caption: list[str] = []
+        self.at: int | None = None
+        self.open = False
+
+
 def parsed(page: str) -> list[tuple[int, str, str | None, str | None]]:
     """(position, kind, text, reference) of a page in reading order, kind `text` or `media`.
 
-    A media item's text is its caption: what the figure's figcaption says, else its alt text, else null. Scripts, styles and
-    comments are dropped; an unclosed one ends the page. Text between block tags is one item, blanks collapsed.
+    A media item's text is its caption: all that the figcaption of its figure says, before or after it and over any number of
+    blocks, else its alt text, else null. A figcaption ends with its figure at the latest; one of a figure without media, or of
+    no figure, is text. Scripts, styles and comments are dropped; an unclosed one ends the page. Text between block tags is one
+    item, blanks collapsed.
     """
     items: list[list] = []
     words: list[str] = []
-    figure, caption = [], None  # media of the open figure; where its caption's text began
+    figures: list[Figure] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
-        if not text:
-            return
-        if caption is not None and figure:
-            for k in figure:
-                items[k][1] = text
-        else:
+        if text and figures and figures[-1].open:
+            figures[-1].caption.append(text)
+        elif text:
             items.append(["text", text, None])
 
+    def close() -> None:
+        figure = figures.pop()
+        text = " ".join(figure.caption)
+        for item in figure.media:
+            item[1] = text or item[1]
+        if text and not figure.media:
+            items.insert(figure.at or 0, ["text", text, None])
+
     end = 0
     for m in TAG.finditer(page):
         words.append(page[end : m.start()])
@@ -55,17 +72,25 @@ def parsed(page: str) -> list[tuple[int, str, str | None, str | None]]:
         if name in BLOCKS:
             flush()
         if name == "figure":
-            figure = []
-        elif name == "figcaption":
-            caption = None if m[2] else True
+            if not m[2]:
+                figures.append(Figure())
+            elif figures:
+                close()
+        elif name == "figcaption" and figures:
+            figures[-1].open = not m[2]
+            if figures[-1].at is None:
+                figures[-1].at = len(items)
         elif name in MEDIA and not m[2]:
             flush()
             own = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[4])}
             if own.get("src"):
-                figure.append(len(items))
                 items.append(["media", own.get("alt") or None, own["src"]])
+                if figures:
+                    figures[-1].media.append(items[-1])
     words.append(page[end:])
     flush()
+    while figures:
+        close()
     return [(k, *item) for k, item in enumerate(items)]
 
 
@@ -121,7 +146,8 @@ def feature(rows: np.ndarray) -> str:
 
 
 def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, items array<struct<position,kind,text,ref>>) for each page, in reading order: see parsed. Null and empty pages have no items."""
+    """(id, items array<struct<position,kind,text,ref>>) for each page, in reading order: see parsed. Null and empty pages
+    have no items; repeated rows stay; pages of any length are read whole; an empty table gives no rows; other columns are not read."""
     arrow = arrow_schema(pages.sparkSession, "id long, items array<struct<position:int,kind:string,text:string,ref:string>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +170,8 @@ def resolved(items: DataFrame, store: DataFrame) -> DataFrame:
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, page, media): each text's payload as a picture, and a page that names it by its digest.
 
-    The picture is null where the same task has written the same digest before. A null text is empty.
+    The picture is null where the same task has written the same digest before. A null text is empty; repeated rows stay, each with
+    its page; texts of any length are stored whole; an empty table gives no rows; columns other than the two named are not read.
     """
     schema = "doc_id long, digest string, page string, media binary"
     arrow = arrow_schema(docs.sparkSession, schema)
@@ -169,7 +196,8 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def read_back(store: DataFrame) -> DataFrame:
     """What the stored pictures hold, one row a digest: (digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
 
-    UTF-8 has no byte 255, so the bytes before the padding are the text's.
+    UTF-8 has no byte 255, so the bytes before the padding are the text's. A digest stored several times is one row; an empty store
+    gives none.
     """
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     arrow = arrow_schema(store.sparkSession, schema)

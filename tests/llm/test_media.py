@@ -58,3 +58,51 @@ def test_pages_resolve(spark):
     rows = media.resolved(media.sequences(pages, "page_id", "html"), store).collect()
     assert sorted((r.id, r.position, r.kind, r.text, r.ref, r.media and bytes(r.media)) for r in rows if r.kind == "media") == [(1, 1, "media", "one", "d1", b"abc"), (1, 2, "media", None, "d2", None), (2, 0, "media", None, "d1", b"abc")]
     assert len(rows) == 4
+
+
+def test_captions():
+    assert media.parsed("<figure><img src=a><figcaption><p>One</p><p>two</p></figcaption></figure>x") == [(0, "media", "One two", "a"), (1, "text", "x", None)]
+    assert media.parsed("<figure><figcaption>Lead<img src=a alt=q></figcaption></figure>") == [(0, "media", "Lead", "a")]
+    assert media.parsed("<figure><img src=a><figcaption>open</figure><figure><img src=b alt=B>body</figure>") == [(0, "media", "open", "a"), (1, "media", "B", "b"), (2, "text", "body", None)]
+    assert media.parsed("<p>a</p><figure><figcaption>alone</figcaption><p>b</p></figure>c") == [(0, "text", "a", None), (1, "text", "alone", None), (2, "text", "b", None), (3, "text", "c", None)]
+    assert media.parsed("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out") == [(0, "media", "out", "a"), (1, "media", "in", "b")]
+    assert media.parsed("<figcaption>no figure</figcaption>") == [(0, "text", "no figure", None)]
+
+
+def test_real_pages(spark):
+    """All words of the tables' pages in order, as the standard library's parser gives them."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            own = dict(attrs)
+            self.off += tag in ("script", "style")
+            if tag in media.MEDIA and own.get("src"):
+                self.words += (own.get("alt") or "").split()
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words += data.split()
+
+    d = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    got = {r.id: " ".join(x.text for x in r["items"] if x.text) for r in media.sequences(pages, "page_id", "html").collect()}
+    for page, text in duckdb.sql(f"select page_id, html from '{d}/pages.parquet'").fetchall():
+        own = Plain()
+        own.feed(text)
+        assert "".join(got[page].split()) == "".join(own.words), page
+
+
+def test_repeats_and_clashes(spark):
+    df = spark.createDataFrame([(1, "a", 5, "p"), (1, "a", 6, "q")], "doc_id long, text string, id int, page string")
+    own = media.stored(df)
+    assert len(own.collect()) == 2 and len({r.digest for r in own.collect()}) == 1
+    assert len(media.resolved(media.sequences(own, "doc_id", "page"), media.read_back(own)).where("kind = 'media' and n_bytes = 1").collect()) == 2
+    assert media.sequences(df.where("false"), "doc_id", "page").count() == 0
