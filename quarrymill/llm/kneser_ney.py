@@ -20,6 +20,11 @@ BROADCAST = 2_000_000
 BEGIN, END = "\x02", "\x03"
 
 
+def plain(text: str) -> str:
+    """BEGIN and END in a text as U+FFFD, so that no n-gram inside a text can look like one at its ends."""
+    return text.replace(BEGIN, "\ufffd").replace(END, "\ufffd")
+
+
 def grams(word: str, order: int) -> list[str]:
     """The n-gram that ends at each symbol of a word: `order` symbols, fewer only where it starts at the word's beginning."""
     s = BEGIN + word + END
@@ -29,9 +34,9 @@ def grams(word: str, order: int) -> list[str]:
 def stretches(text: str, order: int) -> list[str]:
     """The words of a text, each with the blank (or end) that follows it and the `order` - 1 symbols before it.
 
-    BEGIN and END in a text are written as U+FFFD, so that they only ever stand at its ends.
+    BEGIN and END stand only at a text's ends: see plain.
     """
-    words = text.replace(BEGIN, "\ufffd").replace(END, "\ufffd").split()
+    words = plain(text).split()
     s, at, out = BEGIN * (order - 1) + " ".join(words) + END, 0, []
     for w in words:
         out.append(s[at : at + order + len(w)])
@@ -128,7 +133,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars:
         marks = F.broadcast(marks)
     marked = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").alias("tag")).join(marks, "doc_id", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
     each_, before = (across, order - 1) if whole else (grams, -1)
-    tokens = (lambda text: stretches(text, order)) if whole else str.split
+    tokens = (lambda text: stretches(text, order)) if whole else (lambda text: plain(text).split())
     own = kept(B.blocks(marked, tokens, lambda w: [w], _keys(order, each_), ordered=False, chars=chars))
     exploded = own.select("block", F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("block", F.col("k.keys").alias("gram"), F.col("k.counts").alias("a"))
     counts = cut(exploded.groupBy("gram").agg(F.sum("a").alias("a")))
@@ -160,7 +165,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     Trusted text is what labels (doc_id, quality) call good. The model is of most of it, and a language's threshold is a quantile
     of the perplexity of its rest, chosen by a hash of the id, as text looks likelier to a model that has seen it (a language
     without any takes that of all; too little trusted text to hold any out: all of it serves for both; none at all: nothing is
-    rejected). Repeated rows stay; a null language is a language of its own; a null doc_id is never trusted.
+    rejected). Repeated rows stay; a null language is a language of its own; a null doc_id is never trusted. Texts of any length
+    count as a whole; an empty table gives no rows; columns other than doc_id, text and lang are not read.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long"))
     present = cut(docs.select(F.col("doc_id").cast("long"), F.length(F.trim(F.coalesce("text", F.lit("")))).alias("n")).where("n > 0").join(good, "doc_id", "left_semi").select("doc_id").distinct())
