@@ -131,17 +131,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+#: Buckets at most, so that what their bounds take on the driver and in tasks doesn't grow; larger buckets are sorted on disk and read through.
+BUCKETS = 20_000
+
+
 def succession(docs: DataFrame, rows: int = 4096) -> DataFrame:
     """(bucket, guest, doc_id, text) with each bucket's rows in descending doc_id and, after them, the first row of the next
     bucket as a guest; the last bucket's guest is the very first row.
 
     Buckets are ranges between doc_ids that occur, taken at approximate quantiles, so the first row of a bucket is known by
-    its doc_id alone. Nulls count as less than any doc_id. One shuffle; no task holds more than a few buckets.
+    its doc_id alone. Nulls count as less than any doc_id. One shuffle; there are at most BUCKETS buckets.
     """
     spark = docs.sparkSession
     own = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, highest = own.agg(F.count("*"), F.max("key")).first()
-    parts = max(1, math.ceil((n or 0) / rows))
+    parts = max(1, min(BUCKETS, math.ceil((n or 0) / rows)))
     cuts = docs.where("doc_id is not null").select(F.col("doc_id").cast("double").alias("q")).approxQuantile("q", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     # as doubles, ids above 2**53 are rounded: a cut must be an id that occurs
     near = spark.createDataFrame([(float(x),) for x in sorted(set(cuts))] or [(0.0,)], "q double")
