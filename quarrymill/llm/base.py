@@ -2,63 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.base import arrow_schema, cut, kept, mapped, utf8
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder that the session names; sets one only where none is named, as in tests."""
-    _shared(df.sparkSession)
-    return df.checkpoint()
-
-
-def _shared(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrymill-"))
-    return context.getCheckpointDir()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a compressed Parquet table in the same shared folder; for large columns of which later steps read some."""
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+__all__ = ["arrow_schema", "components", "cut", "kept", "mapped", "released", "seeded", "table", "utf8"]
 
 
-def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """A text column as UTF-8; null is empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def mapped(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]]) -> DataFrame:
-    """Arrow batches of some columns through `each`, which gives dicts of output columns for each batch."""
-    arrow = arrow_schema(df.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in each(batch):
-                yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return df.select(*columns).mapInArrow(run, schema)
-
-
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def released() -> None:

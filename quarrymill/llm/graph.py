@@ -1,38 +1,5 @@
-"""Connected components over links in a DataFrame."""
+"""Connected components over links in a DataFrame: those of the library."""
 
-from __future__ import annotations
+from quarrymill.operators.graphs import components as connected
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quarrymill.llm.base import cut
-
-
-def _nearest(links: DataFrame) -> DataFrame:
-    """For each node the least of its neighbours and itself. The least is taken before rows are shuffled."""
-    return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
-
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of `links` (u long, v long), root the least node reachable.
-
-    Alternating large-star and small-star steps; each costs two aggregates and a join on the node, whose hot keys Spark's
-    skew join splits. Links, like everything else here, stay distributed; the driver sees a count and a hash a round.
-    Self links and repeated links do no harm; no links give no rows.
-    """
-    links = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = large.join(_nearest(large), "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        links = cut(small.where("u <> v").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+__all__ = ["connected"]

@@ -1,93 +1,5 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands propose pairs, shingle sets confirm them."""
+"""Near copies by exact Jaccard similarity of 5-word shingles: the library's, with the thresholds of this subpackage."""
 
-from __future__ import annotations
+from quarrymill.operators.near import WORDS, bands, near_copies, shingles, similarity
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quarrymill.llm.base import cut, kept, mapped, utf8
-from quarrymill.llm.graph import connected
-
-#: Words in a shingle and the least similarity of near copies; bands and rows a band (a pair at 0.8 shares no band once in 20,000).
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Shingles hashed at once, so that a very long text needs little memory.
-BLOCK = 1 << 13
-_odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Distinct XXH64 of a text's word shingles, sorted; words as in simhash.fingerprint. Fewer words than a shingle has: the whole
-    sequence is the only shingle. No words: none."""
-    w = text.lower().split()
-    n = max(1, len(w) - words + 1) if w else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(n)], np.uint64))
-
-
-def bands(own: np.ndarray) -> list[int]:
-    """A signed long for each band, equal where all of a band's minima are."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), BLOCK):
-        x = own[i : i + BLOCK] * _odd
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, x.min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).view(np.int64)) for k, r in enumerate(rows)]
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; of two empty ones 1."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v, near) for each of the pairs (u, v)."""
-    found = sets.join(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "key", "left_semi")
-    found = found.groupBy("key").agg(F.first("shingles").alias("s"))
-    both = pairs.join(found.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(found.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-
-    def each(batch: pa.RecordBatch) -> Iterator[dict]:
-        sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        yield {"u": batch.column(0), "v": batch.column(1), "near": [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in sides]}
-
-    return mapped(both, ["u", "v", "a", "b"], "u long, v long, near boolean", each)
-
-
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for each row (doc_id, text): the smallest doc_id reachable over links of similarity `least` or more.
-
-    Equal shingle sets are one node. In each band's bucket all nodes are compared with the least one; those that are not near it
-    stay in the bucket and are compared with the least of themselves, until none is left, so that a large group of near
-    copies costs its size and not its square. Nulls and repeated rows are treated as in simhash.near_duplicates.
-    """
-
-    def each(batch: pa.RecordBatch) -> Iterator[dict]:
-        sets = [shingles(t, words) for t in utf8(batch.column(1))]
-        key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-        yield {"doc_id": batch.column(0), "key": key, "bands": [bands(s) if len(s) else [] for s in sets], "shingles": [s.tobytes() for s in sets]}
-
-    named = docs.select(F.col("doc_id").cast("long"), "text")
-    own = kept(mapped(named, ["doc_id", "text"], "doc_id long, key long, bands array<long>, shingles binary", each))
-    points = cut(own.groupBy("key").agg(F.min("doc_id").alias("least")))
-    waiting = own.select("key", F.explode("bands").alias("band")).distinct()
-    crowded = waiting.groupBy("band").count().where("count > 1").select("band")
-    waiting = cut(waiting.join(crowded, "band"))
-    links = None
-    while not waiting.isEmpty():
-        first = waiting.groupBy("band").agg(F.min("key").alias("u"))
-        open_ = cut(waiting.join(first, "band").where("key <> u").select("band", "u", F.col("key").alias("v")))
-        tried = cut(confirmed(open_.select("u", "v").distinct(), own.select("key", "shingles"), least))
-        near = tried.where("near").select("u", "v")
-        links = near if links is None else links.unionByName(near)
-        waiting = cut(open_.join(tried.where("not near").select("u", "v"), ["u", "v"], "left_semi").select("band", F.col("v").alias("key")))
-    if links is None:
-        return own.join(points, "key").select("doc_id", F.col("least").alias("component_id"))
-    placed = points.join(connected(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "key").join(placed.select("key", "root").join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+__all__ = ["WORDS", "bands", "near_copies", "shingles", "similarity"]
