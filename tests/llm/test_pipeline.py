@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from quarrymill.llm.pii import base_spans
 from tests.llm.test_packing import whole
-from tests.llm.test_simhash import brute
+from tests.llm.test_minhash import brute
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +31,7 @@ def test_stages(spark, steps):
     assert set(one) <= set(clean) <= set(good) <= set(whole_) and all(whole_[i] == t for i, t in one.items())
     assert sum(label[i][0] for i in label if i in good) > 0.97 * sum(q for q, _ in label.values())
     assert sum(label[i][1] for i in label if i in clean) < 0.25 * sum(label[i][1] for i in label if i in good)
-    groups = brute(sorted(clean.items()))
-    assert set(one) == {c for _, _, c in groups}
+    assert set(one) == brute(sorted(clean.items()))
     assert set(masked) == set(one) and not any(base_spans(t) for t in masked.values())
     assert any(masked[i] != one[i] for i in one) and all(masked[i] == one[i] for i in one if not base_spans(one[i]))
     assert all(r.n_chars == len(r.text) for r in steps[3].collect())
@@ -41,6 +40,13 @@ def test_stages(spark, steps):
     whole(pieces)
 
 
+def test_one_id_and_different_texts(spark, sf):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, a, "en", "t", 3), (2, a + " ", "en", "s", 4), (3, b, "en", "s", 5), (None, a, "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, a), (1, a), (1, b)] and out[0].__fields__ == docs.columns
+
+
 def test_edges(spark, sf):
     docs = spark.createDataFrame([(1, None, None, None, None), (1, "", "en", "s", 0), (None, "x", "en", "s", 1), (None, None, None, None, None), (7, "y " * 30_000, "xx", "s", 60_000)], "doc_id long, text string, lang string, source string, n_chars long")
     for rows in (docs, docs.where("false")):
