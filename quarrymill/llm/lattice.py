@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -24,8 +24,8 @@ SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Code points of a part whose bounds are one 64-bit mask; the bounds of longer parts are blocks of an array.
 MASK = 62
-#: Bits of a piece's id, and code points that a model's longest piece may have.
-IDS, LONG = 24, 1024
+#: Bits that an edge's code must at least have for its start: parts are shorter than two to this power.
+START = 16
 #: Documents in the sample whose most frequent parts are broadcast with their ids, and how many of these there are.
 SAMPLE, COMMON = 8_000, 1 << 17
 #: Code points of text in a block, but for a block of a single longer text; answers packed at once.
@@ -90,9 +90,9 @@ def read_model(data: bytes, fold: str | None = None) -> Pieces:
             prefix = bool(own.get(3, 1))
             if own.get(2) or own.get(4, 1):
                 raise ValueError("only models that keep texts as they are, spaces too, can be read")
-    if len(pieces) >= (1 << IDS) - 1 or max(map(len, pieces), default=0) >= LONG:
-        raise ValueError(f"a model may have {(1 << IDS) - 2} pieces of {LONG - 1} code points at most")
-    return Pieces(pieces, scores, normal, bytes_, fold or {1: "viterbi", 2: "merges"}[kind], prefix)
+    own = Pieces(pieces, scores, normal, bytes_, fold or {1: "viterbi", 2: "merges"}[kind], prefix)
+    layout(own)
+    return own
 
 
 @cache
@@ -110,6 +110,46 @@ def unknown_score(model: Pieces) -> float:
     return min((s for s, n in zip(model.scores, model.normal) if n), default=0.0) - 10.0
 
 
+class Layout(NamedTuple):
+    """How an edge is one number: bits of rank, start, length, whether it can be late, and id, from high to low. Numbers are in order of
+    rank, start and length. What is no piece has the greatest rank and id."""
+
+    ids: int
+    lengths: int
+
+    @property
+    def at_length(self) -> int:
+        return self.ids + 1
+
+    @property
+    def at_start(self) -> int:
+        return self.ids + 1 + self.lengths
+
+    @property
+    def at_rank(self) -> int:
+        return 63 - self.ids
+
+    @property
+    def unknown(self) -> int:
+        return (1 << self.ids) - 1
+
+    def code(self, rank: int, length: int, late: bool, id_: int) -> int:
+        return rank << self.at_rank | length << self.at_length | late << self.ids | id_
+
+    def sql(self, x: str) -> dict[str, str]:
+        """An edge's start, length, id and whether it is late, in SQL."""
+        start = f"cast(shiftright({x}, {self.at_start}) & {(1 << self.at_rank - self.at_start) - 1} as int)"
+        return {"s": start, "n": f"cast(shiftright({x}, {self.at_length}) & {(1 << self.lengths) - 1} as int)", "id": f"cast({x} & {self.unknown} as int)", "late": f"({x} & {1 << self.ids}) <> 0"}
+
+
+def layout(model: Pieces) -> Layout:
+    """Bits for a model; one too large to leave START bits for an edge's start is refused."""
+    out = Layout((len(model.pieces) + 1).bit_length(), max(map(len, known_pieces(model)), default=1).bit_length())
+    if out.at_rank - out.at_start < START:
+        raise ValueError(f"a model of {len(model.pieces)} pieces is too large for an edge's code")
+    return out
+
+
 class Cutter:
     """Cuts text where no piece can span: between two neighbours that stand beside each other in no piece."""
 
@@ -166,7 +206,7 @@ def late(known: dict[str, tuple[float, int]]) -> set[str]:
 
 def lattice(parts: DataFrame, vocabulary: DataFrame, longest: int, edge: str) -> DataFrame:
     """(part, edges array): every piece in every part, and a row of its own for each character that is no piece, as `edge` writes
-    it (over s, the start, and the vocabulary's columns), in order.
+    it (over s and n, start and length, and the vocabulary's columns), in order.
 
     Substrings of bounded length are exploded and joined with the pieces by equality; grouping by part needs no shuffle where
     parts are dealt by part.
@@ -174,7 +214,7 @@ def lattice(parts: DataFrame, vocabulary: DataFrame, longest: int, edge: str) ->
     at = parts.select("part", F.explode(F.expr("sequence(0, char_length(part) - 1)")).alias("s"))
     each = at.select("part", "s", F.explode(F.expr(f"sequence(1, least({longest}, char_length(part) - s))")).alias("n"))
     each = each.select("part", "s", "n", F.expr("substring(part, s + 1, n)").alias("piece"))
-    found = each.join(vocabulary, "piece", "left").where("id is not null or n = 1")
+    found = each.join(vocabulary, "piece", "left").where("code is not null or n = 1")
     return found.groupBy("part").agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"))
 
 
@@ -183,38 +223,31 @@ def bound(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-#: An edge of a short part as one number, in order of rank, start and length: 24 bits of rank, 6 of start, 6 of length, 1 if late, 24 of id.
-SHORT = f"shiftleft(coalesce(rank, {(1 << 24) - 1}L), 37) | shiftleft(cast(s as bigint), 31) | shiftleft(cast(n as bigint), 25) | shiftleft(cast(coalesce(late, false) as bigint), 24) | coalesce(id, {(1 << IDS) - 1}L)"
-#: An edge of a longer part, in the same order.
-WIDE = f"named_struct('rank', coalesce(rank, {(1 << 24) - 1}L), 's', s, 'n', n, 'late', coalesce(late, false), 'id', cast(coalesce(id, {(1 << IDS) - 1}L) as int))"
-
-
-def merged_short(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
-    """(part, path array<struct<s,id>>) of parts of at most MASK code points, folded by merges.
+def merged_short(own: Layout) -> str:
+    """SQL of the path, array<struct<s,id>>, of a part of at most MASK code points over its edges, folded by merges.
 
     Bounds between symbols are bits of a mask. One pass in order of rank, then start: an edge merges if its two ends are bounds
     and one bound is between. A merge that makes edges possible whose turn is over is followed by these, the best first.
     """
-    length, start = "cast(shiftright({0}, 25) & 63 as int)", "cast(shiftright({0}, 31) & 63 as int)"
-    n, s = length.format("x"), start.format("x")
-    inner, ends = f"shiftleft(shiftleft(1L, {n}) - 2, {s})", f"shiftleft(shiftleft(1L, {n}) | 1L, {s})"
+    x = own.sql("x")
+    inner, ends = f"shiftleft(shiftleft(1L, {x['n']}) - 2, {x['s']})", f"shiftleft(shiftleft(1L, {x['n']}) | 1L, {x['s']})"
     fits = f"(m & {ends}) = {ends} and bit_count(m & {inner}) = 1"
     possible = "y.x < x and (q & y.ends) = y.ends and bit_count(q & y.inner) = 1"
     after = f"aggregate(sequence(1, size(lates)), m & ~{inner}, (q, i) -> q & ~coalesce(get(filter(lates, y -> {possible}), 0).inner, 0L))"
     merge = f"if(exists(lates, y -> {possible.replace('q &', f'(m & ~{inner}) &')}), {after}, m & ~{inner})"
     begin = "shiftleft(1L, char_length(part) + 1) - 1"
-    fold = "aggregate(filter(edges, x -> (shiftright(x, 25) & 63) > 1), {0}, (m, x) -> if({1}, {2}, m))"
-    last = f"filter(edges, x -> (m & {ends}) = {ends} and (m & {inner}) = 0)"
-    path = f"transform(sort_array(transform({last}, x -> shiftleft(shiftright(x, 31) & 63, {IDS}) | (x & {(1 << IDS) - 1}))), x -> named_struct('s', cast(shiftright(x, {IDS}) as int), 'id', cast(x & {(1 << IDS) - 1} as int)))"
+    fold = f"aggregate(filter(edges, x -> {x['n']} > 1), {{0}}, (m, x) -> if({{1}}, {{2}}, m))"
     folded = f"if(size(lates) = 0, {fold.format(begin, fits, f'm & ~{inner}')}, {fold.format(begin, fits, merge)})"
-    late_edges = f"transform(filter(edges, x -> (x & {1 << 24}) <> 0), x -> named_struct('x', x, 'inner', {inner}, 'ends', {ends}))"
-    graph = lattice(parts, vocabulary, min(longest, MASK), SHORT)
-    return graph.select("part", F.expr(bound("m", bound("lates", late_edges, folded), path)).alias("path"))
+    lates = f"transform(filter(edges, x -> {x['late']}), x -> named_struct('x', x, 'inner', {inner}, 'ends', {ends}))"
+    last = f"filter(edges, x -> (m & {ends}) = {ends} and (m & {inner}) = 0)"
+    path = f"transform(sort_array(transform({last}, x -> shiftleft(cast({x['s']} as bigint), {own.ids}) | (x & {own.unknown}))), x -> named_struct('s', cast(shiftright(x, {own.ids}) as int), 'id', {x['id']}))"
+    return bound("m", bound("lates", lates, folded), path)
 
 
-def merged_wide(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
+def merged_wide(own: Layout) -> str:
     """The same for parts of any length. `m` has for each symbol's start where it ends, and 0 elsewhere, in blocks, so that a merge
     writes one block or two; late edges are in blocks as well, of which a merge looks at three."""
+    longest = (1 << own.lengths) - 1
     wide = max(64, longest)
     to = f"get(get(m, {{0}} div {wide}), ({{0}}) % {wide})"  # where the symbol that starts there ends
 
@@ -227,26 +260,34 @@ def merged_wide(parts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFr
         return f"""transform({m}, (own, b) -> if(b between {x}.s div {wide} and ({x}.s + {x}.n - 1) div {wide},
             transform(own, (v, i) -> if({at} = {x}.s, {x}.s + {x}.n, if({at} > {x}.s and {at} < {x}.s + {x}.n, 0, v))), own))"""
 
-    order = "named_struct('rank', {0}.rank, 's', {0}.s, 'n', {0}.n)"
     near = f"flatten(slice(lates, greatest(x.s div {wide}, 1), 3))"
     # whatever a merge makes possible spans it
-    ready = f"filter({near}, y -> y.s <= x.s and y.s + y.n >= x.s + x.n and {order.format('y')} < {order.format('x')} and {fits('y', 'a.m')})"
+    ready = f"filter({near}, y -> y.s <= x.s and y.s + y.n >= x.s + x.n and y.x < x.x and {fits('y', 'a.m')})"
     step = f"aggregate(array(array_min({ready})), a, (r, y) -> if(y is null, named_struct('m', r.m, 'more', false), named_struct('m', {merge('y', 'r.m')}, 'more', true)))"
     after = f"aggregate(sequence(1, {longest}), named_struct('m', {merge('x', 'm')}, 'more', true), (a, k) -> if(a.more, {step}, a), a -> a.m)"
     blocks = f"sequence(0, char_length(part) div {wide})"
     begin = f"transform({blocks}, b -> transform(sequence(0, {wide - 1}), i -> cast(b * {wide} + i + 1 as int)))"
-    folded = f"aggregate(filter(edges, x -> x.n > 1), {begin}, (m, x) -> if({fits('x', 'm')}, {after}, m))"
-    lates = bound("w", "filter(edges, x -> x.late)", f"transform({blocks}, b -> filter(w, y -> y.s div {wide} = b))")
-    last = f"filter(edges, x -> {to.format('x.s')} = x.s + x.n)"
+    folded = f"aggregate(filter(opened, x -> x.n > 1), {begin}, (m, x) -> if({fits('x', 'm')}, {after}, m))"
+    lates = bound("w", "filter(opened, x -> x.late)", f"transform({blocks}, b -> filter(w, y -> y.s div {wide} = b))")
+    last = f"filter(opened, x -> {to.format('x.s')} = x.s + x.n)"
     path = f"sort_array(transform({last}, x -> named_struct('s', x.s, 'id', x.id)))"
-    graph = lattice(parts, vocabulary, longest, WIDE)
-    return graph.select("part", F.expr(bound("m", bound("lates", lates, folded), path)).alias("path"))
+    fields = own.sql("x")
+    opened = f"transform(edges, x -> named_struct('x', x, 's', {fields['s']}, 'n', {fields['n']}, 'late', {fields['late']}, 'id', {fields['id']}))"
+    return bound("opened", opened, bound("m", bound("lates", lates, folded), path))
+
 
+def merged(parts: DataFrame, vocabulary: DataFrame, own: Layout, longest: int, mask: int = MASK) -> DataFrame:
+    """(part, path array<struct<s,id>>) of parts, folded by merges. vocabulary: (piece, code)."""
+    edge = f"coalesce(code, {own.code(own.unknown, 1, False, own.unknown)}L) | shiftleft(cast(s as bigint), {own.at_start})"
+    short = parts.select("part", F.assert_true(F.char_length("part") < 1 << own.at_rank - own.at_start, "a part is too long for an edge's code").alias("_")).where("_ is null").select("part")
+    path = f"if(char_length(part) <= {mask}, {merged_short(own)}, {merged_wide(own)})"
+    return lattice(short, vocabulary, longest, edge).select("part", F.expr(path).alias("path"))
 
-def best_path(parts: DataFrame, vocabulary: DataFrame, longest: int, unknown: float) -> DataFrame:
+
+def best_path(parts: DataFrame, vocabulary: DataFrame, own: Layout, longest: int, unknown: float) -> DataFrame:
     """(part, path array<struct<s,id>>) of parts of any length, folded by Viterbi: edges in order of their end, then start; each
-    place keeps the best sum of scores that reaches it, from the least start among equals."""
-    edge = f"named_struct('e', s + n, 's', s, 'score', coalesce(score, {unknown}D), 'id', cast(coalesce(id, {(1 << IDS) - 1}L) as int))"
+    place keeps the best sum of scores that reaches it, from the least start among equals. vocabulary: (piece, code, score)."""
+    edge = f"named_struct('e', s + n, 's', s, 'score', coalesce(score, {unknown}D), 'id', cast(coalesce(code, {own.unknown}L) & {own.unknown} as int))"
     value = "(if(x.e = a.e, get(a.v, x.s), if(x.s = a.e, a.best, get(a.v, x.s))) + x.score)"
     step = f"""aggregate(edges, named_struct('e', 0, 'best', 0D, 's', 0, 'id', 0, 'v', cast(array() as array<double>), 'back', cast(array() as array<struct<s:int,id:int>>)),
         (a, x) -> if(x.e = a.e,
@@ -258,33 +299,22 @@ def best_path(parts: DataFrame, vocabulary: DataFrame, longest: int, unknown: fl
     return lattice(parts, vocabulary, longest, edge).select("part", F.expr(bound("back", step, walk)).alias("path"))
 
 
-def encoded_sides(parts: DataFrame, model: Pieces) -> list[DataFrame]:
-    """Frames of (part, ids array<int>) that together have each distinct one of parts of text, none empty, once. They are dealt by
-    part as the parts are. Parts of any length take the same lattice."""
-    score = known_pieces(model)
+def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
+    """(part, ids array<int>) for the distinct ones of parts of text, none empty, dealt by part as the parts are. Parts of any length
+    take the same lattice."""
+    score, own = known_pieces(model), layout(model)
     place = {s: k for k, s in enumerate(sorted({s for s, _ in score.values()}, reverse=True))}
     merges, longest = model.fold == "merges", max(map(len, score), default=1)
     tardy = late(score) if merges else set()
-    rows = [(p, place[s], i, p in tardy, s) for p, (s, i) in score.items()]
-    vocabulary = F.broadcast(parts.sparkSession.createDataFrame(rows, "piece string, rank long, id long, late boolean, score double"))  # as large as the model's file
-    if merges:
-        # as an aggregate, so that no filter goes below the exchange that deals parts, which all uses share
-        sized = parts.groupBy("part").agg(F.max(F.char_length("part")).alias("size"))
-        short, wide = (sized.where(f"size {which} {MASK}").select("part") for which in ("<=", ">"))
-        paths = [merged_short(short, vocabulary, longest), merged_wide(wide, vocabulary, longest)]
-    else:
-        paths = [best_path(parts.distinct(), vocabulary, longest, unknown_score(model))]
+    rows = [(p, own.code(place[s], len(p), p in tardy, i), s) for p, (s, i) in score.items()]
+    vocabulary = F.broadcast(parts.sparkSession.createDataFrame(rows, "piece string, code long, score double"))  # as large as the model's file
+    parts = parts.select("part").distinct()
+    paths = merged(parts, vocabulary.select("piece", "code"), own, longest) if merges else best_path(parts, vocabulary, own, longest, unknown_score(model))
     # a character that is no piece falls back to its bytes
     byte_ids = "array(" + ", ".join(map(str, model.bytes_)) + ")"
     spelled = f"transform(filter(split(regexp_replace(hex(encode(substring(part, x.s + 1, 1), 'utf-8')), '(..)', '$1,'), ','), h -> h <> ''), h -> get({byte_ids}, cast(conv(h, 16, 10) as int)))"
-    unknown = (1 << IDS) - 1
-    ids = f"if(exists(path, x -> x.id = {unknown}), flatten(transform(path, x -> if(x.id = {unknown}, {spelled}, array(x.id)))), path.id)"
-    return [p.select("part", F.expr(bound("path", "path", ids)).alias("ids")) for p in paths]
-
-
-def encoded_parts(parts: DataFrame, model: Pieces) -> DataFrame:
-    """(part, ids array<int>): see encoded_sides."""
-    return reduce(DataFrame.unionByName, encoded_sides(parts, model))
+    ids = f"if(exists(path, x -> x.id = {own.unknown}), flatten(transform(path, x -> if(x.id = {own.unknown}, {spelled}, array(x.id)))), path.id)"
+    return paths.select("part", F.expr(bound("path", "path", ids)).alias("ids"))
 
 
 def decode(ids: np.ndarray, table_: list[bytes], prefix: bool) -> str:
@@ -508,7 +538,7 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
     # blocks are dealt once: both uses read all columns of the same exchange. Parts are dealt for about 20,000 of them a task, over
     # as many tasks as joins use, or these would deal them again
     wanted = own.mapInArrow(only_keys, "place long, part string").repartition(max(1 + (size or 0) // (8 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
-    found = reduce(DataFrame.unionByName, [wanted.join(side.hint("shuffle_hash"), "part") for side in encoded_sides(wanted.select("part"), model)])
+    found = wanted.join(encoded_parts(wanted, model).hint("shuffle_hash"), "part")
     answers = packed_answers(found.withColumn("crc", F.crc32(F.col("part").cast("binary"))))
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
 

@@ -73,11 +73,12 @@ def test_parts_of_any_length(spark, unigram):
     """Both folds on the same parts, and parts beyond one mask, as the library merges them or as a loop finds the best path."""
     rng = np.random.default_rng(3)
     parts = {"".join(rng.choice(list("thearonsi" + lattice.SPACE), n)) for n in rng.integers(1, 62, 300)} | {lattice.SPACE * n for n in range(1, 40)}
-    known = lattice.known_pieces(lattice.load(PATH))
-    rows = [(p, k, i, p in tardy, s) for tardy in [lattice.late(known)] for p, (s, i) in known.items() for k in [int(min(-s, 1 << 20))]]
-    vocabulary = spark.createDataFrame(rows, "piece string, rank long, id long, late boolean, score double")
+    model = lattice.load(PATH)
+    known, own = lattice.known_pieces(model), lattice.layout(model)
+    tardy = lattice.late(known)
+    vocabulary = spark.createDataFrame([(p, own.code(min(int(-s), own.unknown - 1), len(p), p in tardy, i)) for p, (s, i) in known.items()], "piece string, code long")
     df = spark.createDataFrame([(p,) for p in parts], "part string")
-    short, wide = ({r.part: [tuple(x) for x in r.path] for r in f(df, vocabulary, 16).collect()} for f in (lattice.merged_short, lattice.merged_wide))
+    short, wide = ({r.part: [tuple(x) for x in r.path] for r in lattice.merged(df, vocabulary, own, 16, mask).collect()} for mask in (lattice.MASK, 0))
     assert short == wide and len(short) == len(parts)
     long_ = ["".join(rng.choice(list("thearonsi"), n)) for n in (63, 64, 65, 127, 130, 700, 3000)] + ["th" * 400, "a" * 1000, "the" * 100]
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -98,8 +99,8 @@ def test_parts_of_any_length(spark, unigram):
 
 
 def test_too_large_a_model_is_refused(monkeypatch):
-    monkeypatch.setattr(lattice, "LONG", 8)
-    with pytest.raises(ValueError, match="at most"):
+    monkeypatch.setattr(lattice, "START", 40)
+    with pytest.raises(ValueError, match="too large"):
         lattice.read_model(open(PATH, "rb").read())
 
 
