@@ -1,40 +1,9 @@
-"""Documents in blocks of bounded size, each with a dictionary of its words: what is looked up for a word is looked up once a
-block, so that joins shuffle dictionaries and never the words of texts."""
+"""Lists of strings, compressed together."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quarrymill.llm.base import arrow_schema
-
-#: Code points of text in a block, at most, but for a block of a single longer text; words whose parts are remembered.
-CHARS, WORDS = 12 << 20, 60_000
-SCHEMA = "block long, doc_ids array<long>, tags array<string>, marks array<int>, sizes array<long>, payload binary, lexicon binary, keys array<string>, counts array<long>"
-
-
-class Numbers(dict):
-    """Words to their parts' numbers, as bytes: those of a common dictionary first, then a block's own as they first occur."""
-
-    def __init__(self, split: Callable[[str], list[str]], common: dict[str, int]):
-        self.split, self.common, self.parts = split, common, {}
-
-    def __missing__(self, word: str) -> bytes:
-        parts, common, first = self.parts, self.common, len(self.common)
-        out = []
-        for p in self.split(word):
-            n = common.get(p)
-            out.append(first + parts.setdefault(p, len(parts)) if n is None else n)
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = data = np.array(out, "<u4").tobytes()
-        return data
 
 
 def packed_strings(words: list[str]) -> bytes:
@@ -48,73 +17,3 @@ def strings(data: bytes) -> list[str]:
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
     text = raw[4 + 4 * n :].decode("utf-8", "surrogatepass")
     return [text[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def blocks(docs: DataFrame, tokens: Callable[[str], list[str]], split: Callable[[str], list[str]], keys: Callable[[list[str], np.ndarray], tuple[list[str], list[int]]] | None, ordered: bool, chars: int = CHARS, common: Callable[[], dict[str, int]] = dict) -> DataFrame:
-    """A row for each block of documents (doc_id long, text string, tag string, mark int): their ids, tags and marks, the documents' parts by number, the parts, and the keys
-    to look up with a count each.
-
-    tokens() cuts a text, split() a token (once a block for equal ones) into parts; keys() gets a block's parts and how often
-    each occurs in marked documents; without it the parts are the keys, and are not packed besides. Parts in the common
-    dictionary have its numbers and are no keys. Ordered documents keep the sequence of their parts, others only how often each occurs.
-    A null text is empty. A block's number tells the task and its order there, so the table must be kept, not computed again.
-    """
-    arrow = arrow_schema(docs.sparkSession, SCHEMA)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, done = TaskContext.get().partitionId() << 32, 0
-        ids: list[tuple[int | None, str | None, int]] = []
-        rows: list[bytes] = []
-        sizes: list[int] = []
-        marked: list[np.ndarray] = []
-        known, held, shared = Numbers(split, common()), 0, common()
-
-        def block() -> pa.RecordBatch:
-            nonlocal ids, rows, sizes, marked, known, held, done
-            parts = list(known.parts)
-            names, counts, lexicon = parts, [], b""
-            if keys:
-                times = np.zeros(len(parts), np.int64)
-                for x in marked:
-                    times += np.bincount(x, minlength=len(parts))
-                names, counts = keys(parts, times)
-                lexicon = packed_strings(parts)
-            raw = b"".join(rows)
-            out = [first + done, *map(list, zip(*ids)), sizes, zstandard.compress(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes(), 3), lexicon, names, counts]
-            ids, rows, sizes, marked, known, held, done = [], [], [], [], Numbers(split, shared), 0, done + 1
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(out, arrow)], schema=arrow)
-
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            for doc, text, tag, mark in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                text = text or ""
-                if ids and held + len(text) > chars:
-                    yield block()
-                own = b"".join(map(known.__getitem__, tokens(text)))
-                if mark:
-                    marked.append(np.frombuffer(own, "<u4").copy())
-                    if len(marked) >= 256:
-                        marked = [np.concatenate(marked)]
-                if not ordered:
-                    number, times = np.unique(np.frombuffer(own, "<u4"), return_counts=True)
-                    own = np.concatenate([np.diff(number, prepend=0), times]).astype("<u4").tobytes()
-                ids.append((doc, tag, mark))
-                rows.append(own)
-                sizes.append(len(own) // 4)
-                held += len(text)
-        if ids:
-            yield block()
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "tag", "mark").mapInArrow(run, SCHEMA)
-
-
-def documents(payload: bytes, sizes: np.ndarray) -> list[np.ndarray]:
-    """What blocks() kept of each document: its parts' numbers in order."""
-    raw = np.frombuffer(zstandard.decompress(payload), np.uint8)
-    flat = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-
-
-def unordered(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parts' numbers and how often each occurs, of a document kept without order."""
-    half = len(row) // 2
-    return np.cumsum(row[:half], dtype=np.int64), row[half:]

@@ -10,11 +10,11 @@ from quarrymill.llm import kneser_ney as kn
 
 
 class Plain:
-    """Interpolated modified Kneser-Ney over the words of some texts, by dictionaries."""
+    """Interpolated modified Kneser-Ney over some texts, by dictionaries."""
 
     def __init__(self, texts, order):
         self.order = order
-        top = Counter(g for t in texts for w in t.split() for g in kn.grams(w, order))
+        top = Counter(g for t in texts for g in kn.grams(kn.plain(t), order))
         self.counts = {order: {g: c for g, c in top.items() if len(g) == order}}
         for k in range(order - 1, 0, -1):
             own = Counter(g[1:] for g in self.counts[k + 1])
@@ -42,7 +42,7 @@ class Plain:
         return (c - min(c, self.d[k][min(c, 3) - 1]) if c else 0) / total + spared / total * self.p(g[1:])
 
     def perplexity(self, text):
-        logs = [math.log(self.p(g)) for w in text.split() for g in kn.grams(w, self.order)]
+        logs = [math.log(self.p(g)) for g in kn.grams(kn.plain(text), self.order)]
         return len(logs), math.exp(-sum(logs) / len(logs)) if logs else 1.0
 
 
@@ -82,21 +82,37 @@ def test_edges(spark):
     assert kn.judged(docs.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
 
 
-def test_across_words(spark, sf):
+def test_order_of_words_counts(spark, sf):
     rows = duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet' limit 60").fetchall()
     turned = [(1000 + d, " ".join((t or "").split()[::-1]), lang) for d, t, lang in rows]
     trusted = [d for d, _, _ in rows if d % 2 == 0]
-    docs = spark.createDataFrame([*rows, *turned, (2000, "Ω \x02\x03 \n≈", "xx"), (2001, " ", "en")], "doc_id long, text string, lang string").repartition(4)
-    got = {r.doc_id: r for r in kn.perplexities(docs, spark.createDataFrame([(d,) for d in trusted], "doc_id long"), 5, chars=20_000, whole=True).collect()}
-    joined = {r[0]: "_".join((r[1] or "").replace("_", "\ufffe").replace("\x02", "\ufffd").replace("\x03", "\ufffd").split()) for r in docs.collect()}
-    plain = Plain([joined[d] for d in trusted], 5)
-    for d, t in joined.items():
-        n, p = plain.perplexity(t)
-        assert got[d].n_symbols == n and math.isclose(got[d].perplexity, p, rel_tol=1e-9)
+    docs = spark.createDataFrame([*rows, *turned], "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in kn.perplexities(docs, spark.createDataFrame([(d,) for d in trusted], "doc_id long"), 5, chars=20_000).collect()}
     long = [d for d in trusted if got[d].n_symbols > 200]
     assert long and all(got[1000 + d].perplexity > got[d].perplexity for d in long)
 
 
+def test_windows(monkeypatch):
+    texts = ["a b", "", "\ufffd é日\U0001f600 x", "aaaa a", "\0\0 b\0"] * 3
+    want = [g for t in texts for g in kn.grams(t, 3)]
+    for alphabet in (None, 1):
+        own = kn.Windows(texts, 3)
+        if alphabet:
+            own.narrow = False  # as for an alphabet too large for a code
+        assert own.strings(own.of(texts)) == want
+        assert own.strings(own.distinct(texts)) and set(own.strings(own.distinct(texts))) == set(want)
+    assert [x for s in kn.slices(texts, 5) for x in s] == texts
+
+
+def test_signs_in_trusted_text(spark):
+    """A text's own U+0002 and U+0003 are no ends."""
+    docs = spark.createDataFrame([(1, "a\x02b b\x03", "en"), (2, "b", "en"), (3, "a\x02b", "en"), (4, "x " * 100_000, "en")], "doc_id long, text string, lang string")
+    plain = Plain(["a\x02b b\x03", "b"], 3)
+    got = {r.doc_id: r for r in kn.perplexities(docs, spark.createDataFrame([(1,), (2,)], "doc_id long"), 3).collect()}
+    for r in docs.collect():
+        assert math.isclose(got[r.doc_id].perplexity, plain.perplexity(r.text)[1], rel_tol=1e-9)
+
+
 def test_threshold_is_a_quantile(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     good = docs.selectExpr("doc_id", "1 as quality")
