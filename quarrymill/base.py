@@ -40,6 +40,17 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def released() -> None:
+    """Gives memory that is free back to the machine: Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """A text column as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -53,6 +64,7 @@ def mapped(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.Re
         for batch in batches:
             for out in each(batch):
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        released()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -17,6 +17,8 @@ from quarrymill.operators.graphs import components
 WORDS, BANDS, ROWS = 5, 25, 5
 #: Shingles hashed at once, so that a very long text needs little memory.
 BLOCK = 1 << 13
+#: Keys of sets (8 bytes each) that may be broadcast.
+BROADCAST = 1_000_000
 _odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -48,7 +50,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool) -> DataFrame:
     """(u, v, near) for each of the pairs (u, v): whether they are at least so similar, or more than so if strict."""
-    found = sets.join(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "key", "left_semi")
+    keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    if keys.count() <= BROADCAST:  # so that only the sets that are asked for are shuffled
+        keys = F.broadcast(keys)
+    found = sets.join(keys, "key", "left_semi")
     found = found.groupBy("key").agg(F.first("shingles").alias("s"))
     both = pairs.join(found.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(found.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
 
