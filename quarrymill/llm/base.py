@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.base import arrow_schema, cut, kept, mapped, utf8
+from quarrymill.base import arrow_schema, cut, kept, mapped, released, utf8
 
 __all__ = ["arrow_schema", "components", "cut", "kept", "mapped", "released", "seeded", "table", "utf8"]
 
@@ -16,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def released() -> None:
-    """Gives memory that is free back to the machine: Python workers outlive their tasks."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def seeded(seed: int, *columns: str) -> F.Column:
     """A hash that looks random: equal inputs and seeds give equal values wherever and however often a task runs."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
