@@ -55,11 +55,12 @@ class Words:
     time; each ends with a token that ends a word.
     """
 
-    def __init__(self, path: str, chunks: int = 200_000, runs: int = 300_000):
+    def __init__(self, path: str, chunks: int = 120_000, runs: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values()]  # found in a text before its case is folded
+        self.whole: set[bytes] = set()  # chunks met lately that hold one
         self.chunks, self.runs = Recent(chunks), Recent(runs)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -72,11 +73,11 @@ class Words:
         cut_up: dict[bytes, list[str]] = {}
         young = self.chunks.young  # missing() was asked for these chunks just now
         for c in chunks:
-            whole, text = c.decode(), c.decode().lower()
-            if SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                cut_up[c] = RUNS.findall(text)
+            text = c.decode()
+            if c not in self.whole and SIMPLE.fullmatch(low := text.lower()):
+                cut_up[c] = RUNS.findall(low)
             else:
-                young[c] = self._whole(whole)
+                young[c] = self._whole(text)
         new = list(self.runs.missing({r for runs in cut_up.values() for r in runs}))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
@@ -94,13 +95,17 @@ class Words:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of whole texts, of which a few, or a part of a long one, are looked up at a time."""
         for i in range(0, len(texts), 64):
+            if len(self.whole) > 10_000:
+                self.whole.clear()
             yield from self._some([self._cut(t) for t in texts[i : i + 64]])
 
     def _cut(self, text: bytes) -> list[bytes]:
         """Chunks between blanks, in lower case but for those that hold a special token or would then."""
         low, special = text.lower(), [s.encode() for s in self.special]
         if any(s in low for s in special):
-            return [c if any(s in c.lower() for s in special) else c.lower() for c in text.split()]
+            chunks = text.split()
+            self.whole.update(c for c in chunks if any(s in c.lower() for s in special))
+            return [c if c in self.whole else c.lower() for c in chunks]
         return low.split()
 
     def _some(self, cut_up: list[list[bytes]]) -> Iterator[bytes]:
