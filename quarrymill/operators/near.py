@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +66,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool) ->
     return mapped(both, ["u", "v", "a", "b"], "u long, v long, near boolean", each)
 
 
+def _crowded(waiting: DataFrame) -> DataFrame:
+    """Rows (key, band) of bands that hold more than one node."""
+    return cut(waiting.join(waiting.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band").select("key", "band"))
+
+
+def _chosen(waiting: DataFrame, most: int) -> DataFrame:
+    """(band, p): each band's least node and, by a hash, about `most` - 1 others."""
+    size = waiting.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / most)).cast("long")
+    others = (F.pmod(F.xxhash64("key", "band"), step) == 0) if most > 1 else F.lit(False)
+    return waiting.join(size, "band").where((F.col("key") == F.col("first")) | others).select("band", F.col("key").alias("p"))
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict: bool = False, also: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_hash, component_id, root) for each row (doc_id, text): the smallest doc_id reachable over links of similarity
     `least` or more (more than `least` if strict), the XXH64 of the row's text, and a number of its component that no other has,
     even if rows share a doc_id. `also`: pairs of ids (a, b) that other means propose, confirmed like all others.
 
     Equal shingle sets are one node. In each band's bucket all nodes are compared with the least one; those that are not near it
-    stay in the bucket and are compared with the least of themselves, until none is left, so that a large group of near
-    copies costs its size and not its square. A null text is empty, and empty texts are copies of each other; a row with a null id
+    stay in the bucket and are compared with some of themselves, twice as many each round (128 at most), until none is left, so that
+    a large group of near copies costs its size and not its square, and one of unlike texts few rounds. Whoever is near a
+    chosen node leaves the bucket with it, and meets those that stay in the other buckets they share. A null text is empty, and empty texts are copies of each other; a row with a null id
     links others and is no component's id unless no row of it has one. Repeated rows stay; an empty table gives no rows.
     """
 
@@ -84,24 +99,27 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, shingles binary", each))
     points = cut(own.groupBy("key").agg(F.min("doc_id").alias("least")))
-    waiting = own.select("key", F.explode("bands").alias("band")).distinct()
-    crowded = waiting.groupBy("band").count().where("count > 1").select("band")
-    waiting = cut(waiting.join(crowded, "band"))
-    links = None
+    waiting = _crowded(own.select("key", F.explode("bands").alias("band")).distinct())
+    links: list[DataFrame] = []
     if also is not None:
         ids = own.where("doc_id is not null").select("doc_id", "key").distinct()
         pairs = also.join(ids.select(F.col("doc_id").alias("a"), F.col("key").alias("u")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("key").alias("v")), "b")
-        links = cut(confirmed(cut(pairs.where("u <> v").select("u", "v").distinct()), own.select("key", "shingles"), least, strict)).where("near").select("u", "v")
+        links.append(cut(confirmed(cut(pairs.where("u <> v").select("u", "v").distinct()), own.select("key", "shingles"), least, strict)).where("near").select("u", "v"))
+    rounds = 0
     while not waiting.isEmpty():
-        first = waiting.groupBy("band").agg(F.min("key").alias("u"))
-        open_ = cut(waiting.join(first, "band").where("key <> u").select("band", "u", F.col("key").alias("v")))
-        tried = cut(confirmed(open_.select("u", "v").distinct(), own.select("key", "shingles"), least, strict))
-        near = tried.where("near").select("u", "v")
-        links = near if links is None else links.unionByName(near)
-        waiting = cut(open_.join(tried.where("not near").select("u", "v"), ["u", "v"], "left_semi").select("band", F.col("v").alias("key")))
-    if links is None:
+        chosen = cut(_chosen(waiting, 1 << min(rounds, 7)))
+        open_ = cut(waiting.join(chosen, "band").where("key <> p").select("band", "p", "key"))
+        tried = cut(confirmed(open_.select(F.least("p", "key").alias("u"), F.greatest("p", "key").alias("v")).distinct(), own.select("key", "shingles"), least, strict).where("near").select("u", "v"))
+        links.append(tried)
+        if len(links) == 8:  # else the plan would grow with the rounds
+            links = [cut(reduce(DataFrame.unionByName, links))]
+        both = tried.select(F.col("u").alias("p"), F.col("v").alias("key")).unionByName(tried.select(F.col("v").alias("p"), F.col("u").alias("key")))
+        done = open_.join(both, ["p", "key"], "left_semi").select("band", "key").unionByName(chosen.select("band", F.col("p").alias("key"))).distinct()
+        waiting = _crowded(waiting.join(done, ["band", "key"], "left_anti"))
+        rounds += 1
+    if not links:
         return own.select("doc_id", "text_hash", "key").join(points, "key").select("doc_id", "text_hash", F.col("least").alias("component_id"), F.col("key").alias("root"))
-    placed = points.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = points.join(components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("doc_id", "text_hash", "key").join(placed.select("key", "root").join(ids, "root"), "key").select("doc_id", "text_hash", "component_id", "root")
 
