@@ -69,10 +69,25 @@ class Words:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _many(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, encoded together; each ends with a token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ends = np.nonzero(self.last[ids])[0] + 1
+        if len(ends) != len(runs):
+            return [self._whole(r) for r in runs]
+        raw, at = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at)]
+
     def _learn(self, chunks: set[bytes]) -> None:
         cut_up: dict[bytes, list[str]] = {}
         young = self.chunks.young  # missing() was asked for these chunks just now
+        letters = [c for c in chunks if c.isalpha()]  # ASCII letters only: one run
+        for i in range(0, len(letters), 4096):
+            part = letters[i : i + 4096]
+            young.update(zip(part, self._many(b" ".join(part).decode().split(" "))))
         for c in chunks:
+            if c.isalpha():
+                continue
             text = c.decode()
             if c not in self.whole and SIMPLE.fullmatch(low := text.lower()):
                 cut_up[c] = RUNS.findall(low)
@@ -81,13 +96,7 @@ class Words:
         new = list(self.runs.missing({r for runs in cut_up.values() for r in runs}))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.nonzero(self.last[ids])[0] + 1
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), (4 * ends).tolist()
-                self.runs.young.update(zip(part, [raw[a:b] for a, b in zip([0, *at], at)]))
-            else:
-                self.runs.young.update((r, self._whole(r)) for r in part)
+            self.runs.young.update(zip(part, self._many(part)))
         known = self.runs.young
         for c, runs in cut_up.items():
             young[c] = b"".join([known[r] for r in runs])
