@@ -56,12 +56,12 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def mapped(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]]) -> DataFrame:
-    """Arrow batches of some columns through `each`, which gives dicts of output columns for each batch."""
+def mapped(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], rows: int = 10_000) -> DataFrame:
+    """Arrow batches of some columns, of so many rows at most, through `each`, which gives dicts of output columns for each batch."""
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
             for out in each(batch):
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         released()

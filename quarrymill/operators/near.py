@@ -63,7 +63,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool) ->
         found = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in sides]
         yield {"u": batch.column(0), "v": batch.column(1), "near": [s > least if strict else s >= least for s in found]}
 
-    return mapped(both, ["u", "v", "a", "b"], "u long, v long, near boolean", each)
+    return mapped(both, ["u", "v", "a", "b"], "u long, v long, near boolean", each, rows=128)
 
 
 def _crowded(waiting: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
         yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "key": key, "bands": [bands(s) if len(s) else [] for s in sets], "shingles": [s.tobytes() for s in sets]}
 
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, shingles binary", each))
+    own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, shingles binary", each, rows=128))
     points = cut(own.groupBy("key").agg(F.min("doc_id").alias("least")))
     waiting = _crowded(own.select("key", F.explode("bands").alias("band")).distinct())
     links: list[DataFrame] = []
