@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.base import arrow_schema, table
+from quarrymill.llm.base import arrow_schema, released, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -317,10 +317,11 @@ def redacted(docs: DataFrame, field: Field, text_col: str = "text", length_col:
     arrow = arrow_schema(docs.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             texts = [None if t is None else mask(t, all_spans(t, field)[1]) for t in b.column(names.index(text_col)).to_pylist()]
             new = {text_col: pa.array(texts, pa.string()), length_col: pa.array([None if t is None else len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new[n].cast(f.type) if n in new else b.column(i) for i, (n, f) in enumerate(zip(names, arrow))], schema=arrow)
+        released()
 
     return docs.mapInArrow(run, schema)
 

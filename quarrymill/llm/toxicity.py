@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.base import arrow_schema, table
+from quarrymill.llm.base import arrow_schema, released, table
 
 #: Labelled rows used for fitting, at most; folds of those rows.
 SAMPLE, FOLDS = 9_000, 4
@@ -43,7 +43,7 @@ class Seen(dict):
     def __missing__(self, word: str) -> float:
         weight = max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[word] = weight
         return weight
@@ -250,9 +250,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen(model.lexicon)
-        for b in batches:
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             x = np.array([features(t or "", seen) for t in b.column(1).to_pylist()], float).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(x, model), pa.float64())], schema=arrow)
+        released()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
