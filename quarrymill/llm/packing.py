@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,10 @@ SIMPLE = re.compile(rf"[{LETTERS}!-&(-@\[-`{{-~]+")
 RUNS = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
+#: A sign at the end of a chunk, after a letter: a token of its own wherever it stands.
+CLOSING = re.compile(rb"([a-z])([,.!?;:])(?=[ \t\n\r\f\v]|\Z)")
+
+
 class Recent:
     """Keys to values in two generations: the older one goes when the younger is full, but for what was asked for meanwhile."""
 
@@ -37,14 +42,11 @@ class Recent:
         """Those of the keys that have no value; the others are young afterwards."""
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, set()
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.add(k)
-        return out
+        young, old = self.young, self.old
+        absent = [k for k in keys if k not in young]
+        back = [k for k in absent if k in old]
+        young.update(zip(back, map(old.__getitem__, back)))
+        return set(absent).difference(back)
 
 
 class Words:
@@ -55,9 +57,10 @@ class Words:
     time; each ends with a token that ends a word.
     """
 
-    def __init__(self, path: str, chunks: int = 120_000, runs: int = 200_000):
+    def __init__(self, path: str, chunks: int = 150_000, runs: int = 150_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values()]  # found in a text before its case is folded
         self.whole: set[bytes] = set()  # chunks met lately that hold one
@@ -71,7 +74,7 @@ class Words:
 
     def _many(self, runs: list[str]) -> list[bytes]:
         """Ids of runs, encoded together; each ends with a token that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.nonzero(self.last[ids])[0] + 1
         if len(ends) != len(runs):
             return [self._whole(r) for r in runs]
@@ -109,13 +112,13 @@ class Words:
             yield from self._some([self._cut(t) for t in texts[i : i + 64]])
 
     def _cut(self, text: bytes) -> list[bytes]:
-        """Chunks between blanks, in lower case but for those that hold a special token or would then."""
+        """Chunks between blanks, closing signs apart, in lower case but for those that hold a special token or would then."""
         low, special = text.lower(), [s.encode() for s in self.special]
         if any(s in low for s in special):
             chunks = text.split()
             self.whole.update(c for c in chunks if any(s in c.lower() for s in special))
             return [c if c in self.whole else c.lower() for c in chunks]
-        return low.split()
+        return CLOSING.sub(rb"\1 \2", low).split()
 
     def _some(self, cut_up: list[list[bytes]]) -> Iterator[bytes]:
         wide = 1 << 18
@@ -123,12 +126,10 @@ class Words:
             for t in cut_up:
                 yield b"".join([next(self._some([t[start : start + wide]])) for start in range(0, max(1, len(t)), wide)])
             return
-        found = [list(map(self.chunks.young.get, t)) for t in cut_up]
-        new = {c for t, f in zip(cut_up, found) if None in f for c, ids in zip(t, f) if ids is None}
-        self._learn(self.chunks.missing(new))
-        young = self.chunks.young
-        for t, f in zip(cut_up, found):
-            yield b"".join([young[c] if ids is None else ids for c, ids in zip(t, f)] if None in f else f)
+        self._learn(self.chunks.missing(set().union(*cut_up)))
+        known = self.chunks.young.__getitem__
+        for t in cut_up:
+            yield b"".join(map(known, t))
 
 
 @cache
