@@ -176,7 +176,7 @@ def test_pairs(spark):
     assert [(code.split("\n")[f.head].split("(")[0], f.end - f.head) for f in pairs.functions(code)] == [("def one", 10)]
     assert pairs.unit(code, "two") == "def two() {\n  if a { b; }\n}" and pairs.unit(code, "none") == ""
     odd = "    static def:pub g(x: int) -> int {\n\n        s = \"\"\"a {\n        b }\n        c\"\"\";\n        #* {\n        *#\n\n        if x {\n            y = 1;\n        }\n    }\nz = 0;"
-    long_ = "def h() {\n" + "    v = 1;\n" * 2000 + "}\n" + odd
+    long_ = odd + "\ndef h() {\n" + "    v = 1;\n" * 2000 + "}\n"
     docs = spark.createDataFrame([(str(i), c) for i, c in enumerate([code, odd, long_, "no code"] * 40)] + [("n", None)], "k string, code string")
     out = pairs.completion_pairs(docs, "k", "code").collect()
     text = {r.k: r.code for r in docs.collect()}

@@ -8,12 +8,12 @@ from quarrymill import plans
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck(sf):
-    con = duckdb.connect()
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+def tables(request):
+    d, con = f"/root/testdata/{request.param}", duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    return con
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    return d, con
 
 
 def rows(found):
@@ -21,8 +21,9 @@ def rows(found):
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
-def test_equals_sql(spark, duck, sf, name):
-    df = plans.QUERIES[name](spark, sf)
+def test_equals_sql(spark, tables, name):
+    d, duck = tables
+    df = plans.QUERIES[name](spark, d)
     columns = sorted(df.columns)
     quoted = ", ".join(f'"{c}"' for c in columns)
     sql = f"select {quoted} from ({plans.SQL[name]})"
