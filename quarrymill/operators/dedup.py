@@ -46,13 +46,13 @@ def shingles(words: Column, k: int) -> Column:
 def contamination(docs: DataFrame, held: DataFrame, k: int = 14, broadcast: int = 1_000_000) -> DataFrame:
     """E6 (from prose): (doc_id, shared, total) for documents that share k-word shingles with held-out texts.
 
-    docs: (doc_id unique, words); held: (words). Held-out shingles come first and once each, so a shared passage never makes pairs.
-    A shingle is a 64-bit hash while it is looked for; hits are then compared as text. Where held-out shingles are few, by
-    count, they are broadcast, and documents are neither exploded into a shuffle nor built twice; else they meet in a join by hash.
+    docs: (doc_id, words); held: (words). Held-out shingles come first and once each, so a shared passage never makes pairs; where
+    they are few, by count, they are broadcast, so that documents' shingles are never shuffled; rows of documents are counted
+    where they are, before any shuffle by document.
     """
-    hashed = lambda words: F.transform(shingles(words, k), lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))
-    keys = _cut(held.select(F.explode(hashed(F.col("words"))).alias("x")).select(F.col("x.h").alias("hh"), F.col("x.s").alias("hs")).distinct())
-    small = keys.count() <= broadcast
-    own = docs.select("doc_id", hashed(F.col("words")).alias("x")).select("doc_id", F.size("x").alias("total"), F.explode("x").alias("x"))
-    hits = own.join(F.broadcast(keys) if small else keys, (F.col("x.h") == F.col("hh")) & (F.col("x.s") == F.col("hs")))
-    return hits.groupBy("doc_id").agg(F.count("*").cast("int").alias("shared"), F.first("total").alias("total"))
+    keys = _cut(held.select(F.explode(shingles(F.col("words"), k)).alias("s")).distinct())
+    keys = F.broadcast(keys) if keys.count() <= broadcast else keys
+    own = docs.select("doc_id", F.explode(shingles(F.col("words"), k)).alias("s"))
+    total = docs.select("doc_id", F.size(shingles(F.col("words"), k)).alias("total"))
+    hits = own.join(keys, "s", "left_semi").groupBy("doc_id").agg(F.count("*").cast("int").alias("shared"))
+    return hits.join(total, "doc_id")
