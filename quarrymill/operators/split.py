@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,22 +73,24 @@ def stratified(df: DataFrame, key: str, strata: list[str], shares: tuple[tuple[s
     """H9 (from prose): column `split` with each stratum shared out by rank of its rows' draws.
 
     Draws are counted in ranges, of about `rows` rows of the whole table, and only the ranges where a share ends are ranked, so
-    no stratum is ever in one task. Null strata are strata; the key must be unique.
+    no stratum is ever in one task. A share ends at the half-even rounding of the stratum's size times the shares so far, as a
+    decimal, as SQL has it: in doubles, products just above a half fall on it. Null strata are strata; the key must be unique, but for
+    nulls, which come last.
     """
     parts = max(16, -(-df.count() // rows))
-    drawn = df.withColumn("_d", draw(F.col(key), salt)).withColumn("_p", F.floor(F.col("_d") * parts).cast("int"))
+    drawn = df.withColumn("_d", draw(F.col(key), salt)).withColumn("_p", F.coalesce(F.floor(F.col("_d") * parts).cast("int"), F.lit(parts)))
     names = [f"_s{i}" for i in range(len(strata))]
     count = drawn.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)], F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*names)  # a row a range
     upto, limits = 0.0, []
     for _, share in shares[:-1]:
         upto += share
-        limits.append(F.bround(F.col("_n") * upto, 0).cast("long"))
+        limits.append(F.bround(F.col("_n").cast("decimal(19,0)") * F.lit(Decimal(repr(upto))), 0).cast("long"))
     count = count.withColumn("_n", F.sum("_c").over(w)).withColumn("_b", F.sum("_c").over(w.orderBy("_q")) - F.col("_c")).withColumn("_l", F.array(*limits))
     count = count.withColumn("_edge", F.exists("_l", lambda x: (x > F.col("_b")) & (x < F.col("_b") + F.col("_c")))).select(*names, "_q", "_b", "_l", "_edge")
     same = [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(strata, names)]
     placed = cut(drawn.join(count, reduce(lambda a, b: a & b, same, F.col("_p") == F.col("_q"))))
-    ranked = placed.where("_edge").withColumn("_i", F.row_number().over(Window.partitionBy(*names, "_q").orderBy("_d", key)))
+    ranked = placed.where("_edge").withColumn("_i", F.row_number().over(Window.partitionBy(*names, "_q").orderBy(F.col("_d").asc_nulls_last(), key)))
     both = ranked.unionByName(placed.where("not _edge").withColumn("_i", F.lit(1)))
     behind = F.size(F.filter("_l", lambda x: x < F.col("_b") + F.col("_i")))  # shares that end before this row
     split = F.element_at(F.array(*[F.lit(name) for name, _ in shares]), behind + 1)

@@ -39,6 +39,17 @@ def test_stratified_in_ranges(spark):
     assert all(s.count("train") == round(0.9 * len(s)) for s in sizes.values())
 
 
+def test_stratified_equals_sql(spark, tmp_path):
+    sizes = [70, 150, 190, 5, 15, 25, 10, 30, 1, 2]  # the first three times 0.95 are just above a half
+    rows = [(1000 * k + i, f"l{k % 3}" if k else None, f"s{k}") for k, n in enumerate(sizes) for i in range(n)] + [(None, "l1", "s1")] * 3
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(plans.SQL["q_split_stratified"]).fetchall()
+    got = plans.QUERIES["q_split_stratified"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_medians(spark):
     rng = np.random.default_rng(2)
     rows = [("a", float(x)) for x in rng.integers(0, 9, 101)] + [("b", float(x)) for x in rng.random(50)] + [(None, 1.0), (None, 4.0), ("c", None), ("d", 7.0)]
