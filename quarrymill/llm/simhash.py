@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.base import arrow_schema, components, cut, mapped, table, utf8
 from quarrymill.llm.graph import connected
+from quarrymill.operators.near import majority
 
 #: Fingerprints that are compared all with all at the bottom of a tree.
 LEAF = 192
-#: Bits counted at once, so that a very long text needs little memory.
-BLOCK = 1 << 16
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -35,10 +34,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     start, stop = (end - length)[:n].tolist(), (end[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(line[s:e], 42) for s, e in zip(start, stop)], np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, BLOCK):
-        ones += np.unpackbits(h[i : i + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

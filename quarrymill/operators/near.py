@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,6 +21,11 @@ WORDS, BANDS, ROWS = 5, 25, 5
 BLOCK = 1 << 13
 #: Keys of sets (8 bytes each) that may be broadcast.
 BROADCAST = 1_000_000
+#: Standard deviations by which signs of two sets may differ more than those of sets at the threshold do on average. A pair at 0.8 is
+#: beyond once in a million, far less often than it shares no band; beyond CHOSEN nodes a bucket and round, so many rows (band, node) may be open.
+SPREAD, CHOSEN, OPEN = 5.5, 128, 2_000_000
+#: Longs of 16 minima's last four bits each.
+SIGNS = -(-BANDS * ROWS // 16)
 _odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -31,18 +37,59 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(n)], np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A signed long for each band, equal where all of a band's minima are."""
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes under each of BANDS x ROWS permutations."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(own), BLOCK):
         x = own[i : i + BLOCK] * _odd
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, x.min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
+    return least
+
+
+def bands(own: np.ndarray, least: np.ndarray | None = None) -> list[int]:
+    """A signed long for each band, equal where all of a band's minima are."""
+    rows = (minima(own) if least is None else least).reshape(BANDS, ROWS)
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).view(np.int64)) for k, r in enumerate(rows)]
 
 
+def majority(h: np.ndarray) -> int:
+    """SimHash of 64-bit hashes: bit i is 1 if it is set in over half of them; of none 0."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h)).view(">u8")[0])
+
+
+def signs(own: np.ndarray, least: np.ndarray) -> list[int]:
+    """A set's size, its SimHash and the last four bits of its minima, as signed longs."""
+    last = np.zeros(16 * SIGNS, np.uint64)
+    last[: len(least)] = least & np.uint64(15)
+    longs = (last.reshape(SIGNS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+    return [len(own), *np.concatenate([np.array([majority(own)], np.uint64), longs]).view(np.int64).tolist()]
+
+
+def bounds(least: float) -> tuple[int, int]:
+    """Differing bits of SimHashes and differing ends of minima beyond which two sets surely enough are less similar than `least`."""
+    both = 2 * least / (1 + least)  # cosine of two sets of equal size; of others it is greater
+    return tuple(math.ceil(n * q + SPREAD * math.sqrt(n * q * (1 - q))) for n, q in ((64, math.acos(min(1.0, both)) / math.pi), (BANDS * ROWS, (1 - least) * 15 / 16)))
+
+
+def alike(least: float) -> Column:
+    """Whether signs a and b may be those of sets at `least` or more: sizes exactly, SimHashes and minima by their bounds."""
+    bits, ends = bounds(least)
+    a, b = (lambda i: F.col("a")[i]), (lambda i: F.col("b")[i])
+    apart = F.lit(0)
+    for i in range(2, 2 + SIGNS):
+        x = a(i).bitwiseXOR(b(i))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    near = F.least(a(0), b(0)) >= F.greatest(a(0), b(0)) * F.lit(least) - F.lit(1e-6)
+    return near & (F.bit_count(a(1).bitwiseXOR(b(1))) <= bits) & (apart <= ends)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; of two empty ones 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -67,26 +114,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool) ->
 
 
 def _crowded(waiting: DataFrame) -> DataFrame:
-    """Rows (key, band) of bands that hold more than one node."""
-    return cut(waiting.join(waiting.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band").select("key", "band"))
+    """Rows (key, band, ...) of bands that hold more than one node."""
+    return cut(waiting.join(waiting.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band").select(waiting.columns))
 
 
 def _chosen(waiting: DataFrame, most: int) -> DataFrame:
-    """(band, p): each band's least node and, by a hash, about `most` - 1 others."""
+    """(band, p, b): each band's least node and, by a hash, about `most` - 1 others, with their signs."""
     size = waiting.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("first"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / most)).cast("long")
     others = (F.pmod(F.xxhash64("key", "band"), step) == 0) if most > 1 else F.lit(False)
-    return waiting.join(size, "band").where((F.col("key") == F.col("first")) | others).select("band", F.col("key").alias("p"))
+    return waiting.join(size, "band").where((F.col("key") == F.col("first")) | others).select("band", F.col("key").alias("p"), F.col("signs").alias("b"))
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict: bool = False, also: DataFrame | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict: bool = False) -> DataFrame:
     """(doc_id, text_hash, component_id, root) for each row (doc_id, text): the smallest doc_id reachable over links of similarity
     `least` or more (more than `least` if strict), the XXH64 of the row's text, and a number of its component that no other has,
-    even if rows share a doc_id. `also`: pairs of ids (a, b) that other means propose, confirmed like all others.
+    even if rows share a doc_id.
 
     Equal shingle sets are one node. In each band's bucket all nodes are compared with the least one; those that are not near it
-    stay in the bucket and are compared with some of themselves, twice as many each round (128 at most), until none is left, so that
-    a large group of near copies costs its size and not its square, and one of unlike texts few rounds. Whoever is near a
+    stay in the bucket and are compared with some of themselves, twice as many each round, until none is left, so that
+    a large group of near copies costs its size and not its square, and one of unlike texts few rounds. Two nodes are first compared by
+    their signs (size, SimHash of the distinct shingles, ends of minima), which travel with them; only pairs that their SimHashes and
+    minima don't tell apart are open, and their sets are joined and compared exactly. If many are, no round takes more than 128 nodes a bucket. Whoever is near a
     chosen node leaves the bucket with it, and meets those that stay in the other buckets they share. A null text is empty, and empty texts are copies of each other; a row with a null id
     links others and is no component's id unless no row of it has one. Repeated rows stay; an empty table gives no rows.
     """
@@ -94,29 +143,30 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = [shingles(t, words) for t in utf8(batch.column(1))]
         key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-        yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "key": key, "bands": [bands(s) if len(s) else [] for s in sets], "shingles": [s.tobytes() for s in sets]}
+        least_ = [minima(s) if len(s) else None for s in sets]
+        both = {"bands": [bands(s, m) if len(s) else [] for s, m in zip(sets, least_)], "signs": [signs(s, m) if len(s) else [] for s, m in zip(sets, least_)]}
+        yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "key": key, **both, "shingles": [s.tobytes() for s in sets]}
 
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, shingles binary", each, rows=128))
+    own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, signs array<long>, shingles binary", each, rows=128))
     points = cut(own.groupBy("key").agg(F.min("doc_id").alias("least")))
     waiting = _crowded(own.select("key", F.explode("bands").alias("band")).distinct())
+    waiting = cut(waiting.join(own.select("key", "signs").dropDuplicates(["key"]), "key"))  # to the few that share a bucket
     links: list[DataFrame] = []
-    if also is not None:
-        ids = own.where("doc_id is not null").select("doc_id", "key").distinct()
-        pairs = also.join(ids.select(F.col("doc_id").alias("a"), F.col("key").alias("u")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("key").alias("v")), "b")
-        links.append(cut(confirmed(cut(pairs.where("u <> v").select("u", "v").distinct()), own.select("key", "shingles"), least, strict)).where("near").select("u", "v"))
-    rounds = 0
+    most = 1
     while not waiting.isEmpty():
-        chosen = cut(_chosen(waiting, 1 << min(rounds, 7)))
-        open_ = cut(waiting.join(chosen, "band").where("key <> p").select("band", "p", "key"))
+        chosen = cut(_chosen(waiting, most))
+        open_ = waiting.withColumnRenamed("signs", "a").join(chosen, "band").where((F.col("key") != F.col("p")) & alike(least))
+        open_ = cut(open_.select("band", "p", "key"))
         tried = cut(confirmed(open_.select(F.least("p", "key").alias("u"), F.greatest("p", "key").alias("v")).distinct(), own.select("key", "shingles"), least, strict).where("near").select("u", "v"))
         links.append(tried)
         if len(links) == 8:  # else the plan would grow with the rounds
             links = [cut(reduce(DataFrame.unionByName, links))]
         both = tried.select(F.col("u").alias("p"), F.col("v").alias("key")).unionByName(tried.select(F.col("v").alias("p"), F.col("u").alias("key")))
         done = open_.join(both, ["p", "key"], "left_semi").select("band", "key").unionByName(chosen.select("band", F.col("p").alias("key"))).distinct()
+        if most < CHOSEN or open_.count() < OPEN:
+            most *= 2
         waiting = _crowded(waiting.join(done, ["band", "key"], "left_anti"))
-        rounds += 1
     if not links:
         return own.select("doc_id", "text_hash", "key").join(points, "key").select("doc_id", "text_hash", F.col("least").alias("component_id"), F.col("key").alias("root"))
     placed = points.join(components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

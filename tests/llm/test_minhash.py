@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quarrymill.llm import minhash
+from quarrymill.operators import near
 
 
 def brute(rows):
@@ -42,3 +45,37 @@ def test_bucket_of_unlike(spark):
     sets = [minhash.shingles(t) for t in (b"a b c d e f", b"A b  c d e f", b"a b", b"")]
     assert minhash.similarity(sets[0], sets[1]) == 1.0 and minhash.similarity(sets[0], sets[2]) == 0.0 and len(sets[3]) == 0
     assert minhash.bands(sets[0]) == minhash.bands(sets[1]) != minhash.bands(sets[2])
+
+
+def test_signs_before_sets(spark, monkeypatch):
+    """Texts that share a passage, and so buckets, but are unlike, are told apart without their sets; nearer ones are compared."""
+    rnd, seen = random.Random(7), []
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rnd.randrange(10**6)}" for _ in range(56)])) for i in range(80)]  # Jaccard about a third
+    rows += [(80, rows[3][1] + " more"), (81, rows[5][1] + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    exact = near.confirmed
+    monkeypatch.setattr(near, "confirmed", lambda pairs, *rest: seen.append(pairs.count()) or exact(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {80: 3, 81: 5}
+    assert 2 <= sum(seen) < 40
+
+
+def test_simhash_decides(spark, sf, monkeypatch):
+    """Pairs whose SimHashes differ in more bits than the bound are not linked; the bound lets all pairs at the threshold pass."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t"), (2, "a b c d e f g h i j k l m n o p q r s t u")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, sf).collect()} == {1}
+    bits, ends = near.bounds(0.8)
+    rng = np.random.default_rng(3)
+    for n in (5, 10, 25, 60, 200):
+        for _ in range(150):
+            u = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            k = n // 5
+            x = rng.integers(0, k + 1)
+            a, b = np.sort(np.delete(u, range(x))), np.sort(np.delete(u, range(x, k)))
+            s, t = (np.array(near.signs(y, near.minima(y)), np.int64).view(np.uint64) for y in (a, b))
+            d = s[2:] ^ t[2:]
+            d = (d | d >> np.uint64(1) | d >> np.uint64(2) | d >> np.uint64(3)) & np.uint64(0x1111111111111111)
+            assert near.similarity(a, b) >= 0.8 and np.bitwise_count(s[1] ^ t[1]) <= bits and np.bitwise_count(d).sum() <= ends
+    monkeypatch.setattr(near, "bounds", lambda least: (-1, ends))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, sf).collect()} == {1, 2}
