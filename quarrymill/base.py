@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,24 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_memories: list[Callable[[], None]] = []
+
+
+def remembered(make: Callable) -> Callable:
+    """make, cached; what it has made is forgotten in tasks that don't use it."""
+    found = cache(make)
+    _memories.append(found.cache_clear)
+    return found
+
+
+def forget() -> None:
+    """Frees what earlier operators' tasks have remembered: Python workers outlive them."""
+    for clear in _memories:
+        clear()
+    if _memories:
+        released()
+
+
 def released() -> None:
     """Gives memory that is free back to the machine: Python workers outlive their tasks."""
     import ctypes
@@ -56,11 +75,14 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def mapped(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], rows: int = 10_000) -> DataFrame:
-    """Arrow batches of some columns, of so many rows at most, through `each`, which gives dicts of output columns for each batch."""
+def mapped(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], rows: int = 10_000, remembers: bool = False) -> DataFrame:
+    """Arrow batches of some columns, of so many rows at most, through `each`, which gives dicts of output columns for each batch.
+    remembers: `each` uses what earlier tasks have remembered."""
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         for batch in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
             for out in each(batch):
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)

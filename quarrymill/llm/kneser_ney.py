@@ -12,14 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.base import arrow_schema, cut, released, table
+from quarrymill.llm.base import arrow_schema, cut, forget, released, table
 
 #: Symbols (characters, blanks and the ends of a text) in an n-gram; the quantile of trusted documents; one of so many of them is held out of the model for it.
 ORDER, QUANTILE, HELD = 4, 0.99, 4
 #: Ids of trusted documents that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST = 2_000_000
 #: Code points of text in a block, but for a block of a single longer text; those whose n-grams are looked at together; n-grams that a task counts at once.
-CHARS, SLICE, COUNTED = 12 << 20, 2 << 20, 400_000
+CHARS, SLICE, COUNTED = 12 << 20, 1 << 20, 400_000
 BEGIN, END = "\x02", "\x03"
 BLOCK = "block long, doc_ids array<long>, tags array<string>, marks array<int>, sizes array<long>, texts binary"
 #: Bits of an n-gram's place in its block.
@@ -107,6 +107,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
     """(gram, a): how often each n-gram occurs in documents (text). Tasks count before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         found: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
@@ -201,6 +202,7 @@ def blocked(docs: DataFrame, chars: int) -> DataFrame:
     arrow = arrow_schema(docs.sparkSession, BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         first, done, held = TaskContext.get().partitionId() << 11, 0, 0
         rows: list[tuple] = []
         texts: list[bytes] = []
@@ -300,6 +302,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, chars:
     arrow = arrow_schema(spark, "place long, gram string")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for block, sizes, raw in zip(*[b.column(c).to_pylist() for c in ("block", "sizes", "texts")]):
                 texts = opened(raw, sizes)

@@ -7,14 +7,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.base import cut, mapped, table, utf8
+from quarrymill.llm.base import cut, mapped, remembered, table, utf8
 
 #: Rows of one length that one task numbers.
 RUN = 1_000_000
@@ -132,7 +131,7 @@ class Words:
             yield b"".join(map(known, t))
 
 
-@cache
+@remembered
 def words(path: str) -> Words:
     return Words(path)
 
@@ -151,7 +150,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str =
         yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "ids"), zip(*rows))) if rows else {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], schema, each)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], schema, each, remembers=True)
 
 
 class Sums:

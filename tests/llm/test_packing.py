@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarrymill.llm import packing
+from quarrymill.llm import base, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -118,3 +118,11 @@ def test_runs_of_a_hot_length(spark, monkeypatch):
     monkeypatch.setattr(packing, "RUN", 50)
     df = spark.createDataFrame([(i, 700 if i % 3 else 648) for i in range(900)], "doc_id long, length long")
     assert whole(packing.packed(df, ["doc_id"]).collect()) == 300
+
+
+def test_words_are_forgotten(spark):
+    """Workers that outlive packing's tasks don't keep its memories through other operators' tasks."""
+    docs = spark.createDataFrame([(i, f"some word{i} here") for i in range(50)], "doc_id long, text string").coalesce(1)
+    assert packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 50
+    left = base.mapped(docs, ["doc_id"], "n long", lambda batch: iter([{"n": [packing.words.cache_info().currsize]}]))
+    assert [r.n for r in left.collect()] == [0]
