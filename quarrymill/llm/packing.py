@@ -26,7 +26,9 @@ RUNS = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
 #: A sign at the end of a chunk, after a letter: a token of its own wherever it stands.
-CLOSING = re.compile(rb"([a-z])([,.!?;:])(?=[ \t\n\r\f\v]|\Z)")
+CLOSING = re.compile(rb"[,.!?;:](?<=[a-z].)(?=[ \t\n\r\f\v]|\Z)")  # the sign first, so that letters are skipped fast
+#: Texts, and bytes of them, whose chunks are looked up at a time.
+TEXTS, BYTES = 512, 1 << 19
 
 
 class Recent:
@@ -71,12 +73,12 @@ class Words:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _many(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs, encoded together; each ends with a token that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+    def _many(self, line: str, n: int) -> list[bytes]:
+        """Ids of n runs with blanks between them, encoded together; each ends with a token that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
         ends = np.nonzero(self.last[ids])[0] + 1
-        if len(ends) != len(runs):
-            return [self._whole(r) for r in runs]
+        if len(ends) != n:
+            return [self._whole(r) for r in line.split(" ")]
         raw, at = ids.tobytes(), (4 * ends).tolist()
         return [raw[a:b] for a, b in zip([0, *at], at)]
 
@@ -86,10 +88,8 @@ class Words:
         letters = [c for c in chunks if c.isalpha()]  # ASCII letters only: one run
         for i in range(0, len(letters), 4096):
             part = letters[i : i + 4096]
-            young.update(zip(part, self._many(b" ".join(part).decode().split(" "))))
-        for c in chunks:
-            if c.isalpha():
-                continue
+            young.update(zip(part, self._many(b" ".join(part).decode(), len(part))))
+        for c in chunks.difference(letters):
             text = c.decode()
             if c not in self.whole and SIMPLE.fullmatch(low := text.lower()):
                 cut_up[c] = RUNS.findall(low)
@@ -98,17 +98,21 @@ class Words:
         new = list(self.runs.missing({r for runs in cut_up.values() for r in runs}))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            self.runs.young.update(zip(part, self._many(part)))
+            self.runs.young.update(zip(part, self._many(" ".join(part), len(part))))
         known = self.runs.young
         for c, runs in cut_up.items():
             young[c] = b"".join([known[r] for r in runs])
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of whole texts, of which a few, or a part of a long one, are looked up at a time."""
-        for i in range(0, len(texts), 64):
-            if len(self.whole) > 10_000:
-                self.whole.clear()
-            yield from self._some([self._cut(t) for t in texts[i : i + 64]])
+        at = held = 0
+        for i, t in enumerate(texts, 1):
+            held += len(t)
+            if i == len(texts) or i - at == TEXTS or held + len(texts[i]) > BYTES:
+                if len(self.whole) > 10_000:
+                    self.whole.clear()
+                yield from self._some([self._cut(t) for t in texts[at:i]])
+                at, held = i, 0
 
     def _cut(self, text: bytes) -> list[bytes]:
         """Chunks between blanks, closing signs apart, in lower case but for those that hold a special token or would then."""
@@ -117,7 +121,7 @@ class Words:
             chunks = text.split()
             self.whole.update(c for c in chunks if any(s in c.lower() for s in special))
             return [c if c in self.whole else c.lower() for c in chunks]
-        return CLOSING.sub(rb"\1 \2", low).split()
+        return CLOSING.sub(rb" \g<0>", low).split()
 
     def _some(self, cut_up: list[list[bytes]]) -> Iterator[bytes]:
         wide = 1 << 18

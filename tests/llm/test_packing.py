@@ -126,3 +126,15 @@ def test_words_are_forgotten(spark):
     assert packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 50
     left = base.mapped(docs, ["doc_id"], "n long", lambda batch: iter([{"n": [packing.words.cache_info().currsize]}]))
     assert [r.n for r in left.collect()] == [0]
+
+
+def test_lookups_of_many_texts(monkeypatch):
+    """Ids don't depend on how many texts are looked up at a time; closing signs stay with what isn't a letter."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [b"", b"End. Of, it; 5, x.. y.\n", b"a, b.", b".", b"no\x0bend!\tq?", "é, ü. ß:".encode(), b"w. " * 300, b"A,b, C.d."] * 3
+    known = packing.Words(path)
+    want = [np.array(known.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most, size in ((1, 1 << 20), (512, 1), (512, 1 << 20)):
+        monkeypatch.setattr(packing, "TEXTS", most)
+        monkeypatch.setattr(packing, "BYTES", size)
+        assert list(packing.Words(path).ids(texts)) == want
