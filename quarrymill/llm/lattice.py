@@ -537,8 +537,10 @@ def encoded(docs: DataFrame, model: Pieces, chars: int = CHARS, sample: int = SA
 
     # blocks are dealt once: both uses read all columns of the same exchange. Parts are dealt for about 20,000 of them a task, over
     # as many tasks as joins use, or these would deal them again
-    wanted = own.mapInArrow(only_keys, "place long, part string").repartition(max(1 + (size or 0) // (8 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
-    found = wanted.join(encoded_parts(wanted, model).hint("shuffle_hash"), "part")
+    wanted = own.mapInArrow(only_keys, "place long, part string").where("part is not null").repartition(max(1 + (size or 0) // (8 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    # so are parts: a place, which is never null, goes along, or the different ones would be dealt once more without places
+    different = wanted.groupBy("part").agg(F.first("place").alias("place")).where("place is not null")
+    found = wanted.join(encoded_parts(different, model).hint("shuffle_hash"), "part")
     answers = packed_answers(found.withColumn("crc", F.crc32(F.col("part").cast("binary"))))
     arrow = arrow_schema(spark, "doc_id long, ids array<int>")
 

@@ -54,6 +54,17 @@ def test_odd_texts_and_no_common_parts(spark):
     assert lattice.encoded(df.where("false"), lattice.load(PATH)).count() == 0
 
 
+def test_parts_are_dealt_once(spark):
+    """Blocks, and their parts, are each shuffled once, though each is read twice."""
+    df = spark.createDataFrame([(i, f"some word{i} hereqz{i % 7}") for i in range(50)], "doc_id long, text string").repartition(3)
+    ids = lattice.encoded(df, lattice.load(PATH), most=1)
+    assert len(ids.collect()) == 50
+    plan = ids._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    for what in ("part", "block"):
+        dealt = [x for x in plan if f"Exchange hashpartitioning({what}#" in x and "REPARTITION" in x]
+        assert len(dealt) == 2 and sum("ReusedExchange" in x for x in dealt) == 1, what
+
+
 def test_unigram_by_viterbi(spark, unigram):
     sp = sentencepiece.SentencePieceProcessor(model_proto=unigram)
     model = lattice.read_model(unigram)
