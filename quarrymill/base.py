@@ -10,6 +10,9 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of kept tables, and of rows that go to Python at a time in small_batches.
+GROUP, BATCH = 8 << 20, 4 << 20
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a checkpoint in the shared folder that the session names; sets one only where none is named, as in tests.
@@ -32,15 +35,21 @@ def shared(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """Cuts lineage with a compressed Parquet table in the same shared folder; for large columns of which later steps read some.
-    It is deleted when the driver ends."""
+    Row groups are small, as tasks hold one when they write and a column of one when they read. It is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python workers at most BATCH bytes (or one row) at a time, not 64 MB: an executor holds a
+    batch several times, in the JVM's buffers, which double, and in each worker. What operators return doesn't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 _memories: list[Callable[[], None]] = []
 
 

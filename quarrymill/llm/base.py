@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.base import arrow_schema, cut, forget, kept, mapped, released, remembered, utf8
+from quarrymill.base import arrow_schema, cut, forget, kept, mapped, released, remembered, small_batches, utf8
 
-__all__ = ["arrow_schema", "components", "cut", "forget", "kept", "mapped", "released", "remembered", "seeded", "table", "utf8"]
+__all__ = ["arrow_schema", "components", "cut", "forget", "kept", "mapped", "released", "remembered", "seeded", "small_batches", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -136,16 +136,17 @@ class Words:
 
 
 @remembered
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, most: int) -> Words:
+    return Words(path, most, most)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, most: int = 150_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids as little-endian 32-bit binary): each text's ids and a
-    closing 0, cut only where longer than the capacity. A null text is empty and gives one piece of length 1."""
+    closing 0, cut only where longer than the capacity. A null text is empty and gives one piece of length 1. most: chunks, and
+    runs, that each generation of a worker's memories of words has; fewer take less memory and more time."""
 
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
-        known, rows = words(vocabulary), []
+        known, rows = words(vocabulary, most), []
         for doc, own in zip(batch.column(0).to_pylist(), known.ids(utf8(batch.column(1)))):
             ids = own + bytes(4)
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):

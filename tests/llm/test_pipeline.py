@@ -1,9 +1,13 @@
 """The pipeline's stages against their operators, and its law as a whole."""
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarrymill import base
 from quarrymill.llm.pii import base_spans
 from tests.llm.test_packing import whole
 from tests.llm.test_minhash import brute
@@ -40,6 +44,20 @@ def test_stages(spark, steps):
     whole(pieces)
 
 
+def test_little_is_held_at_once(spark, sf):
+    """After any stage was asked for, rows go to Python in small batches, and kept tables have small row groups."""
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = spark.range(6000, numPartitions=1).select("id", F.concat(*[F.sha2(F.concat("id", F.lit(f" {k}")), 256) for k in range(100)]).alias("text"))  # 38 MB
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, sf)
+        sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+        assert sum(r.n for r in sizes) == 6000 and max(r.size for r in sizes) < 2 * base.BATCH
+    table = base.kept(wide)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+    assert table.count() == 6000 and all(m.row_group(i).total_byte_size < 2 * base.GROUP for m in groups for i in range(m.num_row_groups))
+
+
 def test_one_id_and_different_texts(spark, sf):
     a, b = "one two three four five six", "seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, a, "en", "t", 3), (2, a + " ", "en", "s", 4), (3, b, "en", "s", 5), (None, a, "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
