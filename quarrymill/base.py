@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,13 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints of frames that are gone. It does so only after the driver has collected its
+    garbage, which in a loop of many small rounds may not come before the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session hands rows to Python workers at most BATCH bytes (or one row) at a time, not 64 MB: an executor holds a
     batch several times, in the JVM's buffers, which double, and in each worker. What operators return doesn't depend on it."""
@@ -105,3 +114,22 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """Smallest node that each of n nodes reaches over the links a-b, by hooking and pointer jumping."""
+    labels = np.arange(n) if labels is None else labels
+    while len(a):
+        low = np.minimum(labels[a], labels[b])
+        new = labels.copy()
+        np.minimum.at(new, labels[a], low)
+        np.minimum.at(new, labels[b], low)
+        while True:
+            jumped = new[new]
+            if np.array_equal(jumped, new):
+                break
+            new = jumped
+        labels = new
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+    return labels

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.base import arrow_schema, cut, forget, kept, mapped, released, remembered, small_batches, utf8
+from quarrymill.base import arrow_schema, components, cut, forget, kept, mapped, released, remembered, small_batches, utf8
 
 __all__ = ["arrow_schema", "components", "cut", "forget", "kept", "mapped", "released", "remembered", "seeded", "small_batches", "table", "utf8"]
 
@@ -18,22 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def seeded(seed: int, *columns: str) -> F.Column:
     """A hash that looks random: equal inputs and seeds give equal values wherever and however often a task runs."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
-
-
-def components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """Smallest node that each of n nodes reaches over the links a-b, by hooking and pointer jumping."""
-    labels = np.arange(n) if labels is None else labels
-    while len(a):
-        low = np.minimum(labels[a], labels[b])
-        new = labels.copy()
-        np.minimum.at(new, labels[a], low)
-        np.minimum.at(new, labels[b], low)
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        labels = new
-        apart = labels[a] != labels[b]
-        a, b = a[apart], b[apart]
-    return labels

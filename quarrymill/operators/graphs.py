@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.base import cut as _cut
+from quarrymill.base import components as _joined, cut as _cut
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -22,18 +25,34 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return rank
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _in_one_task(links: DataFrame) -> DataFrame:
+    """components() of links that fit a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if got:
+            u, v = (np.concatenate(x) for x in zip(*got))
+            nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = nodes[_joined(len(nodes), index[: len(u)], index[len(u) :])]
+            yield from pa.table({"node": nodes, "root": root}).to_batches(1 << 16)
+
+    return links.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(links: DataFrame, rounds: int = 60, few: int = 0) -> DataFrame:
     """(node, root) for each node of `links` (u long, v long), root the least node reachable.
 
     Alternating large-star and small-star steps; each costs two aggregates and a join on the node, whose hot keys Spark's
     skew join splits. The number of rounds grows with the logarithm of the longest path; the driver sees a count and a hash a
-    round. Self links and repeated links do no harm; no links give no rows.
+    round. Self links and repeated links do no harm; no links give no rows. Up to `few` links are followed in one task.
     """
 
     def nearest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
     links = _cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if few and links.count() <= few:
+        return _cut(_in_one_task(links))
     before = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.base import cut, kept, mapped, utf8
+from quarrymill.base import cut, kept, mapped, swept, utf8
 from quarrymill.operators.graphs import components
 
 #: Words in a shingle; bands and rows a band (a pair at 0.8 shares no band once in 20,000, one at 0.85 once in three million).
@@ -26,6 +26,9 @@ BROADCAST = 1_000_000
 SPREAD, CHOSEN, OPEN = 5.5, 128, 2_000_000
 #: Longs of 16 minima's last four bits each.
 SIGNS = -(-BANDS * ROWS // 16)
+#: Bytes of a node that waits in a bucket; bytes of waiting nodes and of sets, pairs of signs and links up to which one task joins or
+#: follows them: a round of a few thousand rows would else take as many tasks, files and shuffles as one of millions.
+ROW, FEW_ROWS, FEW_SETS, FEW_PAIRS, FEW_LINKS = 160, 16 << 20, 64 << 20, 200_000, 1_000_000
 _odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,13 +99,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool) -> DataFrame:
-    """(u, v, near) for each of the pairs (u, v): whether they are at least so similar, or more than so if strict."""
-    keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+def _one(df: DataFrame, few: bool) -> DataFrame:
+    """In one partition, which needs no shuffle for any join or sum, if it is few; else as it is."""
+    return df.coalesce(1) if few else df
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool, few: bool = False) -> DataFrame:
+    """(u, v, near) for each of the pairs (u, v): whether they are at least so similar, or more than so if strict. few: in one task."""
+    pairs = _one(pairs, few)
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     if keys.count() <= BROADCAST:  # so that only the sets that are asked for are shuffled
         keys = F.broadcast(keys)
     found = sets.join(keys, "key", "left_semi")
-    found = found.groupBy("key").agg(F.first("shingles").alias("s"))
+    found = _one(found.groupBy("key").agg(F.first("shingles").alias("s")), few)
     both = pairs.join(found.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(found.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
 
     def each(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -135,7 +144,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     stay in the bucket and are compared with some of themselves, twice as many each round, until none is left, so that
     a large group of near copies costs its size and not its square, and one of unlike texts few rounds. Two nodes are first compared by
     their signs (size, SimHash of the distinct shingles, ends of minima), which travel with them; only pairs that their SimHashes and
-    minima don't tell apart are open, and their sets are joined and compared exactly. If many are, no round takes more than 128 nodes a bucket. Whoever is near a
+    minima don't tell apart are open, and their sets are joined and compared exactly. If many are, no round takes more than 128 nodes a bucket.
+    Rounds, and links, that are few rows go through one task, and what a round leaves behind is deleted before the next. Whoever is near a
     chosen node leaves the bucket with it, and meets those that stay in the other buckets they share. A null text is empty, and empty texts are copies of each other; a row with a null id
     links others and is no component's id unless no row of it has one. Repeated rows stay; an empty table gives no rows.
     """
@@ -153,23 +163,31 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     waiting = _crowded(own.select("key", F.explode("bands").alias("band")).distinct())
     waiting = cut(waiting.join(own.select("key", "signs").dropDuplicates(["key"]), "key"))  # to the few that share a bucket
     links: list[DataFrame] = []
-    most = 1
-    while not waiting.isEmpty():
-        chosen = cut(_chosen(waiting, most))
-        open_ = waiting.withColumnRenamed("signs", "a").join(chosen, "band").where((F.col("key") != F.col("p")) & alike(least))
-        open_ = cut(open_.select("band", "p", "key"))
-        tried = cut(confirmed(open_.select(F.least("p", "key").alias("u"), F.greatest("p", "key").alias("v")).distinct(), own.select("key", "shingles"), least, strict).where("near").select("u", "v"))
+    most, n = 1, waiting.count()
+    while n:
+        few = n * ROW <= FEW_ROWS
+        waiting = _one(waiting, few)
+        chosen = _one(cut(_chosen(waiting, most)), few)
+        left = waiting.repartition(8) if few and n * most > FEW_PAIRS else waiting  # few rows, but more pairs than one task should compare
+        open_ = left.withColumnRenamed("signs", "a").join(chosen, "band").where((F.col("key") != F.col("p")) & alike(least))
+        open_ = _one(cut(open_.select("band", "p", "key", (F.col("a")[0] + F.col("b")[0]).alias("size"))), few)
+        pairs = open_.select(F.least("p", "key").alias("u"), F.greatest("p", "key").alias("v"), "size").distinct()
+        size = 8 * (pairs.agg(F.sum("size")).first()[0] or 0)
+        tried = confirmed(pairs.select("u", "v"), own.select("key", "shingles"), least, strict, size <= FEW_SETS) if size else pairs.withColumn("near", F.lit(False))
+        tried = _one(cut(tried.where("near").select("u", "v")), few)
         links.append(tried)
         if len(links) == 8:  # else the plan would grow with the rounds
             links = [cut(reduce(DataFrame.unionByName, links))]
-        both = tried.select(F.col("u").alias("p"), F.col("v").alias("key")).unionByName(tried.select(F.col("v").alias("p"), F.col("u").alias("key")))
-        done = open_.join(both, ["p", "key"], "left_semi").select("band", "key").unionByName(chosen.select("band", F.col("p").alias("key"))).distinct()
+        both = _one(tried.select(F.col("u").alias("p"), F.col("v").alias("key")).unionByName(tried.select(F.col("v").alias("p"), F.col("u").alias("key"))), few)
+        done = _one(open_.join(both, ["p", "key"], "left_semi").select("band", "key").unionByName(chosen.select("band", F.col("p").alias("key"))), few).distinct()
         if most < CHOSEN or open_.count() < OPEN:
             most *= 2
         waiting = _crowded(waiting.join(done, ["band", "key"], "left_anti"))
+        n = waiting.count()
+        swept(docs.sparkSession)
     if not links:
         return own.select("doc_id", "text_hash", "key").join(points, "key").select("doc_id", "text_hash", F.col("least").alias("component_id"), F.col("key").alias("root"))
-    placed = points.join(components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = points.join(components(reduce(DataFrame.unionByName, links), few=FEW_LINKS).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("doc_id", "text_hash", "key").join(placed.select("key", "root").join(ids, "root"), "key").select("doc_id", "text_hash", "component_id", "root")
 

@@ -7,6 +7,7 @@ import numpy as np
 import corpus_pipeline
 from quarrymill.llm import minhash
 from quarrymill.operators import near
+from quarrymill.operators.graphs import components
 
 
 def brute(rows):
@@ -79,3 +80,45 @@ def test_simhash_decides(spark, sf, monkeypatch):
             assert near.similarity(a, b) >= 0.8 and np.bitwise_count(s[1] ^ t[1]) <= bits and np.bitwise_count(d).sum() <= ends
     monkeypatch.setattr(near, "bounds", lambda least: (-1, ends))
     assert {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, sf).collect()} == {1, 2}
+
+
+def test_small_rounds_are_small(spark, monkeypatch):
+    """Rounds over few rows take few tasks, however many partitions a shuffle has, and find what rounds over all tasks find."""
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rnd.randrange(10**6)}" for _ in range(40)])) for i in range(60)]  # unlike, in many of each other's buckets
+    for i in range(20):
+        words = rows[i][1].split()
+        words[rnd.randrange(65, 100)] = "x"
+        rows.append((60 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint()
+    context, found, tasks = spark.sparkContext, [], []
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for few in (True, False):
+            if not few:
+                for name in ("FEW_ROWS", "FEW_SETS", "FEW_PAIRS", "FEW_LINKS"):
+                    monkeypatch.setattr(near, name, 0, raising=False)
+            context.setJobGroup(f"small rounds {few}", "")
+            found.append({r.doc_id: r.component_id for r in near.near_copies(docs).collect()})
+            track = context.statusTracker()
+            stages = {s for j in track.getJobIdsForGroup(f"small rounds {few}") for s in track.getJobInfo(j).stageIds}
+            tasks.append(sum(i.numTasks for i in map(track.getStageInfo, stages) if i and i.numCompletedTasks))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and {i for i, c in found[0].items() if i == c} == brute(rows)
+    assert tasks[0] < 0.5 * tasks[1], tasks
+
+
+def test_few_links_in_one_task(spark):
+    rnd = random.Random(3)
+    links = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(250)] + [(7, 7)]
+    frame = spark.createDataFrame(links, "u long, v long").repartition(3)
+    many, few = ({tuple(r) for r in components(frame, few=n).collect()} for n in (0, 1000))
+    assert many == few and len(many) > 100
+    assert components(frame.where("false"), few=1000).count() == 0
