@@ -26,9 +26,11 @@ BROADCAST = 1_000_000
 SPREAD, CHOSEN, OPEN = 5.5, 128, 2_000_000
 #: Longs of 16 minima's last four bits each.
 SIGNS = -(-BANDS * ROWS // 16)
-#: Bytes of a node that waits in a bucket; bytes of waiting nodes and of sets, pairs of signs and links up to which one task joins or
-#: follows them: a round of a few thousand rows would else take as many tasks, files and shuffles as one of millions.
-ROW, FEW_ROWS, FEW_SETS, FEW_PAIRS, FEW_LINKS = 160, 16 << 20, 64 << 20, 200_000, 1_000_000
+#: Bits of the shortest odd sketch, and where it begins in a node's signs.
+ODD, AT = 1024, 2 + SIGNS
+#: Bytes of a node that waits in a bucket, besides its signs; bytes of waiting nodes and of sets, pairs of signs and links up to which one
+#: task joins or follows them: a round of a few thousand rows would else take as many tasks, files and shuffles as one of millions.
+ROW, FEW_ROWS, FEW_SETS, FEW_PAIRS, FEW_LINKS = 80, 32 << 20, 64 << 20, 200_000, 1_000_000
 _odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,24 +75,43 @@ def signs(own: np.ndarray, least: np.ndarray) -> list[int]:
     return [len(own), *np.concatenate([np.array([majority(own)], np.uint64), longs]).view(np.int64).tolist()]
 
 
+def odd(own: np.ndarray) -> list[int]:
+    """A set's odd sketch, as signed longs: bit i of m is the parity of the hashes that are i modulo m, a power of two, ODD at least and no
+    less than the set's size. Members that two sets share cancel out, so their sketches differ in no more bits than the sets in members.
+    A sketch of m bits, its halves xored, is that of m / 2."""
+    m = max(ODD, 1 << (len(own) - 1).bit_length())
+    bits = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def bounds(least: float) -> tuple[int, int]:
     """Differing bits of SimHashes and differing ends of minima beyond which two sets surely enough are less similar than `least`."""
     both = 2 * least / (1 + least)  # cosine of two sets of equal size; of others it is greater
     return tuple(math.ceil(n * q + SPREAD * math.sqrt(n * q * (1 - q))) for n, q in ((64, math.acos(min(1.0, both)) / math.pi), (BANDS * ROWS, (1 - least) * 15 / 16)))
 
 
+def unshared() -> Column:
+    """Bits in which the odd sketches of signs a and b differ, the longer one folded to the shorter: at least so many members are in one
+    set only. 0 if one is over twice as long, as that of less than half the size."""
+    n = F.least(F.size("a"), F.size("b")) - AT
+    one = lambda side, i: F.get(side, i + AT).bitwiseXOR(F.coalesce(F.get(side, i + n + AT), F.lit(0).cast("long")))
+    bits = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda sum_, i: sum_ + F.bit_count(one("a", i).bitwiseXOR(one("b", i))))
+    return F.when(F.greatest(F.size("a"), F.size("b")) - AT <= 2 * n, bits).otherwise(0)
+
+
 def alike(least: float) -> Column:
-    """Whether signs a and b may be those of sets at `least` or more: sizes exactly, SimHashes and minima by their bounds."""
+    """Whether signs a and b may be those of sets at `least` or more: sizes and odd sketches exactly, SimHashes and minima by their bounds."""
     bits, ends = bounds(least)
     a, b = (lambda i: F.col("a")[i]), (lambda i: F.col("b")[i])
     apart = F.lit(0)
-    for i in range(2, 2 + SIGNS):
+    for i in range(2, AT):
         x = a(i).bitwiseXOR(b(i))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     near = F.least(a(0), b(0)) >= F.greatest(a(0), b(0)) * F.lit(least) - F.lit(1e-6)
-    return near & (F.bit_count(a(1).bitwiseXOR(b(1))) <= bits) & (apart <= ends)
+    sure = unshared() <= (a(0) + b(0)) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)  # members that sets at `least` don't share
+    return near & (F.bit_count(a(1).bitwiseXOR(b(1))) <= bits) & (apart <= ends) & sure
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -143,8 +164,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     Equal shingle sets are one node. In each band's bucket all nodes are compared with the least one; those that are not near it
     stay in the bucket and are compared with some of themselves, twice as many each round, until none is left, so that
     a large group of near copies costs its size and not its square, and one of unlike texts few rounds. Two nodes are first compared by
-    their signs (size, SimHash of the distinct shingles, ends of minima), which travel with them; only pairs that their SimHashes and
-    minima don't tell apart are open, and their sets are joined and compared exactly. If many are, no round takes more than 128 nodes a bucket.
+    their signs (size, SimHash of the distinct shingles, ends of minima, odd sketch), which travel with them; only pairs that these
+    don't tell apart are open, and their sets are joined and compared exactly. Sketches grow with the sets, so that few pairs are open that are
+    not near: of copies of one text that are unlike each other, too, no more sets are joined than nodes leave buckets. If many pairs are
+    open, no round takes more than 128 nodes a bucket.
     Rounds, and links, that are few rows go through one task, and what a round leaves behind is deleted before the next. Whoever is near a
     chosen node leaves the bucket with it, and meets those that stay in the other buckets they share. A null text is empty, and empty texts are copies of each other; a row with a null id
     links others and is no component's id unless no row of it has one. Repeated rows stay; an empty table gives no rows.
@@ -154,7 +177,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
         sets = [shingles(t, words) for t in utf8(batch.column(1))]
         key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
         least_ = [minima(s) if len(s) else None for s in sets]
-        both = {"bands": [bands(s, m) if len(s) else [] for s, m in zip(sets, least_)], "signs": [signs(s, m) if len(s) else [] for s, m in zip(sets, least_)]}
+        both = {"bands": [bands(s, m) if len(s) else [] for s, m in zip(sets, least_)], "signs": [signs(s, m) + odd(s) if len(s) else [] for s, m in zip(sets, least_)]}
         yield {"doc_id": batch.column(0), "text_hash": batch.column(2), "key": key, **both, "shingles": [s.tobytes() for s in sets]}
 
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
@@ -163,9 +186,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     waiting = _crowded(own.select("key", F.explode("bands").alias("band")).distinct())
     waiting = cut(waiting.join(own.select("key", "signs").dropDuplicates(["key"]), "key"))  # to the few that share a bucket
     links: list[DataFrame] = []
-    most, n = 1, waiting.count()
+    held = [F.count("*"), F.coalesce(F.sum(F.size("signs")), F.lit(0))]
+    most, (n, longs) = 1, waiting.agg(*held).first()
     while n:
-        few = n * ROW <= FEW_ROWS
+        few = n * ROW + longs * 8 <= FEW_ROWS
         waiting = _one(waiting, few)
         chosen = _one(cut(_chosen(waiting, most)), few)
         left = waiting.repartition(8) if few and n * most > FEW_PAIRS else waiting  # few rows, but more pairs than one task should compare
@@ -183,7 +207,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
         if most < CHOSEN or open_.count() < OPEN:
             most *= 2
         waiting = _crowded(waiting.join(done, ["band", "key"], "left_anti"))
-        n = waiting.count()
+        n, longs = waiting.agg(*held).first()
         swept(docs.sparkSession)
     if not links:
         return own.select("doc_id", "text_hash", "key").join(points, "key").select("doc_id", "text_hash", F.col("least").alias("component_id"), F.col("key").alias("root"))

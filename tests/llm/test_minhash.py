@@ -122,3 +122,40 @@ def test_few_links_in_one_task(spark):
     many, few = ({tuple(r) for r in components(frame, few=n).collect()} for n in (0, 1000))
     assert many == few and len(many) > 100
     assert components(frame.where("false"), few=1000).count() == 0
+
+
+def test_unlike_copies_of_one_text(spark, monkeypatch):
+    """Copies of one text that are at 0.5 to 0.8 to each other are told apart by their odd sketches; few of their sets are compared."""
+    rnd, seen = random.Random(13), []
+    base = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.randint(4, 7)):
+            words[at] = f"w{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(160 + i, rows[i][1] + " more") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    exact = near.confirmed
+    monkeypatch.setattr(near, "confirmed", lambda pairs, *rest: seen.append(pairs.count()) or exact(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
+    assert all(got[160 + i] == got[i] for i in range(10)) and {i for i, c in got.items() if i == c} == brute(rows)
+    assert sum(seen) < 200, seen
+
+
+def test_odd_sketches_lose_no_pair(spark):
+    """Pairs at the threshold are open whatever their sizes, sketches of two lengths included; pairs a little below are mostly not."""
+    rng = np.random.default_rng(17)
+    pairs = []
+    for n in (1, 5, 9, 146, 1100, 1280, 2300, 9000):  # at 1280 and 2300 the smaller set's sketch is half as long
+        for below in (False, True):
+            for _ in range(5):
+                u = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+                k = int(n * (0.28 if below else 0.2))
+                x = int(rng.integers(0, k + 1)) if below or n not in (1280, 2300) else k
+                a, b = np.sort(np.delete(u, range(x))), np.sort(np.delete(u, range(x, k)))
+                pairs.append((*(near.signs(y, near.minima(y)) + near.odd(y) for y in (a, b)), near.similarity(a, b) >= 0.8))
+    assert any(len(a) != len(b) for a, b, _ in pairs)
+    found = spark.createDataFrame(pairs, "a array<long>, b array<long>, near boolean").select("near", near.alike(0.8).alias("open"), near.unshared().alias("n")).collect()
+    assert all(r.open for r in found if r.near) and all(r.open == s.open for r, s in zip(found, spark.createDataFrame([(b, a, n) for a, b, n in pairs], "a array<long>, b array<long>, near boolean").select(near.alike(0.8).alias("open")).collect()))
+    assert sum(r.open for r in found if not r.near) < 0.2 * sum(not r.near for r in found)
