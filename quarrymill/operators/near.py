@@ -27,10 +27,10 @@ SPREAD, CHOSEN, OPEN = 5.5, 128, 2_000_000
 #: Longs of 16 minima's last four bits each.
 SIGNS = -(-BANDS * ROWS // 16)
 #: Bits of the shortest odd sketch, and where it begins in a node's signs.
-ODD, AT = 1024, 2 + SIGNS
+ODD, AT = 512, 2 + SIGNS
 #: Bytes of a node that waits in a bucket, besides its signs; bytes of waiting nodes and of sets, pairs of signs and links up to which one
 #: task joins or follows them: a round of a few thousand rows would else take as many tasks, files and shuffles as one of millions.
-ROW, FEW_ROWS, FEW_SETS, FEW_PAIRS, FEW_LINKS = 80, 32 << 20, 64 << 20, 200_000, 1_000_000
+ROW, FEW_ROWS, FEW_SETS, FEW_PAIRS, FEW_LINKS = 48, 16 << 20, 64 << 20, 200_000, 1_000_000
 _odd = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -125,13 +125,16 @@ def _one(df: DataFrame, few: bool) -> DataFrame:
     return df.coalesce(1) if few else df
 
 
+def _asked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those of the rows whose key is among the keys. Up to BROADCAST keys are broadcast, so that only these rows are shuffled."""
+    keys = keys.distinct()
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, "key", "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, least: float, strict: bool, few: bool = False) -> DataFrame:
     """(u, v, near) for each of the pairs (u, v): whether they are at least so similar, or more than so if strict. few: in one task."""
     pairs = _one(pairs, few)
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    if keys.count() <= BROADCAST:  # so that only the sets that are asked for are shuffled
-        keys = F.broadcast(keys)
-    found = sets.join(keys, "key", "left_semi")
+    found = _asked(sets, pairs.select(F.explode(F.array("u", "v")).alias("key")))
     found = _one(found.groupBy("key").agg(F.first("shingles").alias("s")), few)
     both = pairs.join(found.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(found.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
 
@@ -184,7 +187,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     own = kept(mapped(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, key long, bands array<long>, signs array<long>, shingles binary", each, rows=128))
     points = cut(own.groupBy("key").agg(F.min("doc_id").alias("least")))
     waiting = _crowded(own.select("key", F.explode("bands").alias("band")).distinct())
-    waiting = cut(waiting.join(own.select("key", "signs").dropDuplicates(["key"]), "key"))  # to the few that share a bucket
+    signed = _asked(own.select("key", "signs"), waiting.select("key")).dropDuplicates(["key"])  # of the few that share a bucket
+    waiting = cut(waiting.join(signed, "key"))
     links: list[DataFrame] = []
     held = [F.count("*"), F.coalesce(F.sum(F.size("signs")), F.lit(0))]
     most, (n, longs) = 1, waiting.agg(*held).first()
