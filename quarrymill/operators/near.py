@@ -169,8 +169,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = 0.8, strict:
     a large group of near copies costs its size and not its square, and one of unlike texts few rounds. Two nodes are first compared by
     their signs (size, SimHash of the distinct shingles, ends of minima, odd sketch), which travel with them; only pairs that these
     don't tell apart are open, and their sets are joined and compared exactly. Sketches grow with the sets, so that few pairs are open that are
-    not near: of copies of one text that are unlike each other, too, no more sets are joined than nodes leave buckets. If many pairs are
-    open, no round takes more than 128 nodes a bucket.
+    not near, among unlike copies of one text, too. If many are, no round takes more than 128 nodes a bucket.
     Rounds, and links, that are few rows go through one task, and what a round leaves behind is deleted before the next. Whoever is near a
     chosen node leaves the bucket with it, and meets those that stay in the other buckets they share. A null text is empty, and empty texts are copies of each other; a row with a null id
     links others and is no component's id unless no row of it has one. Repeated rows stay; an empty table gives no rows.
